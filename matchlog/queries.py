@@ -31,8 +31,8 @@ QUERIES: dict[str, Query] = {}
 # The sample log has a few dozen rows per game and spread-out starts.
 LAST_ROWS = 20
 TOP = 5
-RADIUS = 60.0
-SUPPORT = 5
+RADIUS = 25.0
+SUPPORT = 3
 TRAIN_GAMES = 100
 TREES = {"maxIter": 3, "maxDepth": 3}
 
