@@ -101,20 +101,26 @@ def step_stats(
         "total_std",
         F.when(F.col("total_n") > 1, F.sqrt(F.col("total_m2") / (F.col("total_n") - 1))),
     )
-    per_game = totals.groupBy("game_id").agg(
-        *[
-            F.max(F.when(F.col("player") == p, F.col(f"total_{stat}"))).alias(f"p{p}_moving_{stat}")
-            for stat in ("mean", "std")
-            for p in PLAYERS
-        ]
+    # each minute row also brings its player's totals, as one cell more
+    cells = totals.select(
+        "game_id",
+        F.inline(
+            F.array(
+                F.struct(shaping.player_cell().alias("cell"), "mean", "std"),
+                F.struct(
+                    (F.col("player") * 1000 + minutes).alias("cell"),
+                    F.col("total_mean").alias("mean"),
+                    F.col("total_std").alias("std"),
+                ),
+            )
+        ),
     )
-    per_slice = shaping.spread(
-        totals,
-        shaping.player_cell(),
-        shaping.player_cells(range(minutes), "cam_moving_p{p}_{}{m}"),
-        {"mean": F.max("mean"), "std": F.max("std")},
+    names = shaping.player_cells(range(minutes), "cam_moving_p{p}_{}{m}") | {
+        p * 1000 + minutes: f"p{p}_moving_{{}}" for p in PLAYERS
+    }
+    return shaping.spread(
+        cells, F.col("cell"), names, {"mean": F.max("mean"), "std": F.max("std")}
     )
-    return per_game.join(per_slice, "game_id")
 
 
 def sided_points(
@@ -126,9 +132,10 @@ def sided_points(
     row counts are found per (game, stretch) and handed back to the rows on that key, so
     a long game is spread over many tasks.
     """
-    placed = ordered.with_block(points(log), block_rows=block_rows).repartition(
-        "game_id", ordered.BLOCK
-    )
+    # the join below would demand these keys of one of the two reads only
+    keyed = points(log).where(F.col("game_id").isNotNull() & F.col("seq").isNotNull())
+    placed = ordered.with_block(keyed, block_rows=block_rows)
+    placed = placed.where(F.col(ordered.BLOCK).isNotNull()).repartition("game_id", ordered.BLOCK)
     first = {
         f"base_{axis}{p}": F.min_by(
             F.when(F.col("player") == p, F.col(axis)), F.when(F.col("player") == p, F.col("seq"))
@@ -138,8 +145,6 @@ def sided_points(
     }
     per_block = placed.groupBy("game_id", ordered.BLOCK).agg(
         F.count(F.lit(1)).alias("rows"),
-        # every row has a minute; naming it keeps both reads of the shuffle identical
-        F.max("slice").alias("last_slice"),
         *[e.alias(n) for n, e in first.items()],
     )
     whole_game = Window.partitionBy("game_id").orderBy(ordered.BLOCK).rowsBetween(

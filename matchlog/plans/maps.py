@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchlog.functions import scalar, text
@@ -65,42 +65,47 @@ def fit_centres(
     return model, sorted((float(c[0]), float(c[1])) for c in model.clusterCenters())
 
 
+def _nearest(x: Column, y: Column, centres: list[tuple[float, float]]) -> Column:
+    """(distance, number from 1) of the nearest centre; null without a position."""
+    options = [
+        F.struct(
+            scalar.distance(x, y, F.lit(cx), F.lit(cy)).alias("distance"),
+            F.lit(i).alias("starting"),
+        )
+        for i, (cx, cy) in enumerate(centres, start=1)
+    ]
+    return F.when(x.isNotNull() & y.isNotNull(), F.array_min(F.array(*options)))
+
+
+def _within(nearest: Column, radius: float) -> Column:
+    return F.when(nearest["distance"] <= radius, nearest["starting"]).otherwise(0)
+
+
 def assign_starts(
     points: DataFrame, centres: list[tuple[float, float]], radius: float = RADIUS
 ) -> DataFrame:
     """Number (from 1) of the nearest centre and its distance; 0 outside the radius."""
-    nearest = F.array_min(
-        F.array(
-            *[
-                F.struct(
-                    scalar.distance(
-                        F.col("location_x"), F.col("location_y"), F.lit(x), F.lit(y)
-                    ).alias("distance"),
-                    F.lit(i).alias("starting"),
-                )
-                for i, (x, y) in enumerate(centres, start=1)
-            ]
-        )
-    )
-    found = points.withColumn("_near", nearest)
-    return found.select(
+    near = _nearest(F.col("location_x"), F.col("location_y"), centres)
+    return points.withColumn("_near", near).select(
         *points.columns,
-        F.when(F.col("_near.distance") > radius, 0)
-        .otherwise(F.col("_near.starting"))
-        .alias("starting"),
+        _within(F.col("_near"), radius).alias("starting"),
         F.col("_near.distance").alias("distance"),
     )
 
 
-def game_starts(positions: DataFrame, starts: DataFrame) -> DataFrame:
-    """Start numbers of both players for every game, 0 where unknown."""
-    per_game = starts.groupBy("game_id").agg(
+def game_starts(
+    positions: DataFrame, centres: list[tuple[float, float]], radius: float = RADIUS
+) -> DataFrame:
+    """Start numbers of both players for every game, 0 where unknown or outside the radius."""
+    return positions.select(
+        "game_id",
         *[
-            F.max(F.when(F.col("player") == p, F.col("starting"))).alias(f"player{p}_starting")
+            _within(
+                _nearest(F.col(f"player{p}_x"), F.col(f"player{p}_y"), centres), radius
+            ).alias(f"player{p}_starting")
             for p in PLAYERS
-        ]
+        ],
     )
-    return positions.select("game_id").join(per_game, "game_id", "left").fillna(0)
 
 
 def map_table(games: DataFrame, support: int = SUPPORT) -> DataFrame:
@@ -138,63 +143,51 @@ def map_table(games: DataFrame, support: int = SUPPORT) -> DataFrame:
     )
 
 
-def _opponents(maps: DataFrame) -> DataFrame:
-    """(known start, the other start, map) for every map; an unknown other is left out."""
-    pairs = F.array(
-        *[
-            F.struct(F.col(a).alias("known"), F.col(b).alias("other"))
-            for a, b in (("m0", "m1"), ("m1", "m0"), ("m2", "m1"))
-        ]
-    )
-    return maps.select("map", F.inline(pairs)).where(F.col("other") != 0)
+def _with_maps(games: DataFrame, maps: DataFrame) -> DataFrame:
+    """Games with the whole map table, at most one row per start, as a scalar subquery."""
+    rows = F.collect_list(F.struct("map", "m0", "m1", "m2"))
+    return games.withColumn("_maps", maps.select(F.array_sort(rows)).scalar())
 
 
 def impute_starts(games: DataFrame, maps: DataFrame) -> DataFrame:
     """Unknown starts inferred from the opponent's through the map table.
 
-    The first map with the known start decides. If both are unknown, player 0 may still
-    get a start from a map that pairs "unknown"; player 1 then follows from that map on.
+    Maps are tried in order. A start pairs with the first other one of its map, and the
+    third start of a map with the second. A map may pair "unknown" (0) itself.
     """
-    pairs = _opponents(maps)
-    # at most one row per start number from here on
-    first = pairs.groupBy("known").agg(F.min_by("other", "map").alias("other"))
-    unknown = pairs.where(F.col("known") == 0).agg(
-        F.min("map").alias("from_map"), F.min_by("other", "map").alias("start")
-    )
-    both = (
-        unknown.join(pairs, (F.col("known") == F.col("start")) & (F.col("map") >= F.col("from_map")))
-        .agg(F.min_by("other", "map").alias("chained"))
-        .withColumn("known", F.lit(0))
-    )
-    p0, p1 = F.col("player0_starting"), F.col("player1_starting")
-    # lookups hold one row per start number, so they are broadcast however many games there are
-    by_p1 = F.broadcast(first.select(F.col("known").alias("_k1"), F.col("other").alias("_o1")))
-    by_p0 = F.broadcast(
-        first.where("known <> 0").select(F.col("known").alias("_k0"), F.col("other").alias("_o0"))
-    )
-    by_none = F.broadcast(both.select(F.col("known").alias("_kb"), "chained"))
-    return (
-        games.join(by_p1, p1 == F.col("_k1"), "left")
-        .join(by_p0, p0 == F.col("_k0"), "left")
-        .join(by_none, (p0 + p1) == F.col("_kb"), "left")
-        .select(
-            "game_id",
-            F.when(p0 != 0, p0).otherwise(F.coalesce("_o1", F.lit(0))).alias("player0_starting"),
-            F.when(p1 != 0, p1)
-            .otherwise(F.coalesce("_o0", "chained", F.lit(0)))
-            .alias("player1_starting"),
+
+    def inferred(unknown: Column, known: Column, m: Column) -> Column:
+        return (
+            F.when(unknown != 0, unknown)
+            .when((known == m["m0"]) | (known == m["m2"]), m["m1"])
+            .when(known == m["m1"], m["m0"])
+            .otherwise(unknown)
         )
+
+    def step(acc: Column, m: Column) -> Column:
+        p0 = inferred(acc["p0"], acc["p1"], m)
+        return F.struct(p0.alias("p0"), inferred(acc["p1"], p0, m).alias("p1"))
+
+    known = F.struct(F.col("player0_starting").alias("p0"), F.col("player1_starting").alias("p1"))
+    done = _with_maps(games, maps).select("game_id", F.aggregate("_maps", known, step).alias("_s"))
+    return done.select(
+        "game_id",
+        F.col("_s.p0").alias("player0_starting"),
+        F.col("_s.p1").alias("player1_starting"),
     )
 
 
 def assign_maps(games: DataFrame, maps: DataFrame) -> DataFrame:
     """Map number by player 0's start; the last map with that start wins."""
-    members = maps.select(
-        "map", F.explode(F.array("m0", "m1", "m2")).alias("player0_starting")
+    start = F.col("player0_starting")
+    fitting = F.filter(
+        "_maps", lambda m: (m["m0"] == start) | (m["m1"] == start) | (m["m2"] == start)
     )
-    last = members.groupBy("player0_starting").agg(F.max("map").alias("map"))
-    return games.join(F.broadcast(last), "player0_starting", "left").select(
-        "game_id", "player0_starting", "player1_starting", "map"
+    return _with_maps(games, maps).select(
+        "game_id",
+        "player0_starting",
+        "player1_starting",
+        F.try_element_at(fitting, F.lit(-1))["map"].alias("map"),
     )
 
 
@@ -210,9 +203,7 @@ def map_data(
     support: int = SUPPORT,
 ) -> DataFrame:
     """Start numbers and map of every game, for given start centres."""
-    positions = start_positions(log)
-    starts = assign_starts(start_points(positions), centres, radius)
-    games = game_starts(positions, starts)
+    games = game_starts(start_positions(log), centres, radius)
     maps = map_table(games, support)
     return assign_maps(impute_starts(games, maps), maps)
 

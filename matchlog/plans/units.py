@@ -282,10 +282,15 @@ def without_neutral(held: DataFrame, neutral: DataFrame, every: bool = False) ->
     return held.join(last, ["game_id", "claimed_at"], "left_anti")
 
 
-def top_slots(log: DataFrame, k: int = TOP_NAMES, ranks: DataFrame | None = None) -> DataFrame:
+def top_slots(
+    log: DataFrame,
+    accepted: DataFrame,
+    k: int = TOP_NAMES,
+    ranks: DataFrame | None = None,
+) -> DataFrame:
     """Units held per name slot: slot i counts the i-th most mentioned name of the
-    player's species. ``ranks`` are the training log's when ``log`` is another one."""
-    accepted = first_claims(log)
+    player's species. ``accepted`` are the log's ``first_claims``, read twice here;
+    ``ranks`` are the training log's when ``log`` is another one."""
     if ranks is None:
         ranks = top_names(name_frequency(accepted), k)
     picked = log.where(F.col("event") == "Selection")
@@ -313,6 +318,7 @@ def roster(log: DataFrame, owned: DataFrame, prefix: int = 4) -> DataFrame:
     """Both players' units side by side in unit-id order, headed by species and result.
 
     Positions are counted per id prefix, so that no player's units are sorted in one task.
+    ``owned`` is read twice.
     """
     placed = ordered.with_rank(
         owned,

@@ -237,6 +237,11 @@ def native_units(spark, sf_dir):
     return native.join(said, ["species", "name"], "left").fillna(0)
 
 
+def _accepted(spark, sf_dir):
+    """Accepted mentions, kept as a table because names are ranked and then counted."""
+    return materialize(units.first_claims(match_log(spark, sf_dir)))
+
+
 @query
 def unit_name_frequency(spark, sf_dir):
     return units.name_frequency(units.first_claims(match_log(spark, sf_dir)))
@@ -244,24 +249,24 @@ def unit_name_frequency(spark, sf_dir):
 
 @query
 def top_unit_slots(spark, sf_dir):
-    return units.top_slots(match_log(spark, sf_dir), TOP)
+    return units.top_slots(match_log(spark, sf_dir), _accepted(spark, sf_dir), TOP)
 
 
 @query
 def slot_ratios(spark, sf_dir):
-    return rounded(assemble.slot_ratios(units.top_slots(match_log(spark, sf_dir), TOP), TOP))
+    slots = units.top_slots(match_log(spark, sf_dir), _accepted(spark, sf_dir), TOP)
+    return rounded(assemble.slot_ratios(slots, TOP))
 
 
 @query
 def rare_units(spark, sf_dir):
-    return units.rare_names(
-        units.name_frequency(units.first_claims(match_log(spark, sf_dir))), TOP
-    )
+    frequency = materialize(units.name_frequency(units.first_claims(match_log(spark, sf_dir))))
+    return units.rare_names(frequency, TOP)
 
 
 @query
 def neutral_units(spark, sf_dir):
-    accepted = units.first_claims(match_log(spark, sf_dir))
+    accepted = _accepted(spark, sf_dir)
     neutral = units.neutral_names(units.name_frequency(accepted))
     left = units.without_neutral(units.holdings(accepted), neutral)
     return left.select("game_id", "player", "unit_id", "name")
@@ -270,7 +275,7 @@ def neutral_units(spark, sf_dir):
 @query
 def roster_side_by_side(spark, sf_dir):
     log = match_log(spark, sf_dir)
-    return units.roster(log, units.ownership(log, UNITS))
+    return units.roster(log, materialize(units.ownership(log, UNITS)))
 
 
 # --- maps ---
@@ -294,8 +299,7 @@ def map_assignment(spark, sf_dir):
 @query
 def unresolved_starts(spark, sf_dir):
     positions = maps.start_positions(match_log(spark, sf_dir))
-    starts = maps.assign_starts(maps.start_points(positions), list(CENTRES), RADIUS)
-    return maps.unresolved(maps.game_starts(positions, starts))
+    return maps.unresolved(maps.game_starts(positions, list(CENTRES), RADIUS))
 
 
 @query

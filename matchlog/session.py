@@ -29,7 +29,7 @@ def materialize(df: DataFrame) -> DataFrame:
     session without that setting gets a folder of its own.
     """
     sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
+    if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
         if not folder:
             if not sc.master.startswith("local"):

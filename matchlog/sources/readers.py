@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -122,11 +123,16 @@ class UnitCatalog:
         return sorted({r[0] for r in self.rows})
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(list(self.rows), schema.UNIT_INFO)
+        """The catalogue as a local relation, whose known size lets Spark broadcast it."""
+        columns = [list(c) for c in zip(*self.rows)] or [[] for _ in schema.UNIT_INFO.names]
+        return spark.createDataFrame(pa.table(columns, names=schema.UNIT_INFO.names))
 
     def species_sets(self, spark: SparkSession) -> DataFrame:
-        """Each unit with the set of species that own it."""
-        return self.frame(spark).groupBy("unit").agg(F.collect_set("species").alias("owners"))
+        """Each unit with the species that own it."""
+        owners = {u: sorted({r[1] for r in self.rows if r[0] == u}) for u in self.units}
+        return spark.createDataFrame(
+            pa.table([list(owners), list(owners.values())], names=["unit", "owners"])
+        )
 
     def combat_supply(self) -> Column:
         """Map from unit name to supply, workers left out, the last row per name winning."""
