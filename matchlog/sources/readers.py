@@ -99,6 +99,11 @@ def read_repeated_headers(spark: SparkSession, path: str, key: str = "game_id")
     return spark.read.schema(layout).csv(path, header=True, enforceSchema=True)
 
 
+def load_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """A feature table written by ranges of games."""
+    return spark.read.parquet(path).drop("game_chunk")
+
+
 @dataclass(frozen=True)
 class UnitCatalog:
     """The unit dimension: one row per (unit, species), at most ``MAX_CATALOG_ROWS``."""
