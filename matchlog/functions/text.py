@@ -17,6 +17,8 @@ TARGET = (
     r"Location:\s\(([0-9]*)[.0-9]*,\s([0-9]*)[.0-9]*.*?\)"
 )
 MENTIONS = r"([0-9A-Za-z]*)\s\[([0-9A-Z]*)\]"
+# The first location again, x and y kept together in one group.
+COORDINATE_PAIR = r"(?:Location:|at)\s\(([0-9]*[.0-9]*,\s[0-9]*)[.0-9]*.*?\)"
 FIRST_PRODUCED = r"(?:Build|Train|Morph|Spawn|UpgradeTo|TransformTo|WarpIn)+([0-9A-Za-z]*)"
 
 # Verb of each production family and the pattern of its abilities.
@@ -41,6 +43,18 @@ EVOLVE_WORD = "Evlove"
 ATTACK_WORDS = ("Attack",)
 
 
+def coordinate_pair(contents: Column) -> Column:
+    """The text "x, y" of the first location, y cut to its integer part; "" without one."""
+    return F.regexp_extract(contents, COORDINATE_PAIR, 1)
+
+
+def pair_part(pair: Column, axis: int) -> Column:
+    """Integer part of x (axis 1) or y (axis 2) of a coordinate pair; null if there is none."""
+    if axis == 1:
+        return F.substring_index(F.substring_index(pair, ",", 1), ".", 1).try_cast("int")
+    return F.substring_index(pair, ",", -1).try_cast("int")
+
+
 def coordinate(contents: Column, axis: int) -> Column:
     """Integer part of x (axis 1) or y (axis 2) in the first location; null without one."""
     return F.regexp_extract(contents, COORDINATES, axis).try_cast("int")
@@ -79,9 +93,10 @@ def produced_units(contents: Column) -> Column:
         hits = F.array_join(F.regexp_extract_all(contents, F.lit(pattern), 0), ",")
         for noise in (*PRODUCTION_NOISE, verb):
             hits = F.replace(hits, F.lit(noise), F.lit(""))
-        return hits
+        # every pattern holds its verb, so most texts need no regex
+        return F.when(F.contains(contents, F.lit(verb)), hits).otherwise("")
 
-    return F.concat(*[F.coalesce(family(*v), F.lit("")) for v in PRODUCTION_VERBS])
+    return F.concat(*[family(*v) for v in PRODUCTION_VERBS])
 
 
 def first_produced(contents: Column) -> Column:
@@ -92,10 +107,18 @@ def first_produced(contents: Column) -> Column:
 
 
 def mentions(contents: Column) -> Column:
-    """Array of (name, unit_id) for every unit mentioned in a selection, in order."""
-    names = F.regexp_extract_all(contents, F.lit(MENTIONS), 1).alias("name")
-    ids = F.regexp_extract_all(contents, F.lit(MENTIONS), 2).alias("unit_id")
-    return F.arrays_zip(names, ids)
+    """Array of the unit mentions ``Name [ID]`` in a selection, in order."""
+    return F.regexp_extract_all(contents, F.lit(MENTIONS), 0)
+
+
+def mention_name(mention: Column) -> Column:
+    """The name before the bracket; may be empty."""
+    return mention.substr(F.lit(1), F.instr(mention, "[") - 2)
+
+
+def mention_id(mention: Column) -> Column:
+    """The id inside the bracket."""
+    return F.substring_index(F.substring_index(mention, "[", -1), "]", 1)
 
 
 def mention_names(contents: Column) -> Column:
@@ -114,6 +137,5 @@ def is_worker(name: Column) -> Column:
 
 def start_coordinate(contents: Column, axis: int) -> Column:
     """Decimal x (axis 1) or y (axis 2) between the first parentheses."""
-    inside = F.get(F.split(contents, r"\("), F.lit(1))
-    pair = F.split(F.get(F.split(inside, r"\)"), F.lit(0)), ",")
-    return F.get(pair, F.lit(axis - 1)).try_cast("double")
+    inside = F.split_part(F.split_part(contents, F.lit("("), F.lit(2)), F.lit(")"), F.lit(1))
+    return F.split_part(inside, F.lit(","), F.lit(axis)).try_cast("double")

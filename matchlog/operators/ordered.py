@@ -82,10 +82,12 @@ def mark_last(
         count
     )
     newest = Window.partitionBy(*keys, BLOCK).orderBy(F.desc(order))
+    # numbered before the join, which then finds its input sorted
     return (
-        rows.join(offsets, [*keys, BLOCK])
-        .withColumn("is_last", F.col("_later") + F.row_number().over(newest) <= n)
-        .drop("_later")
+        rows.withColumn("_back", F.row_number().over(newest))
+        .join(offsets, [*keys, BLOCK])
+        .withColumn("is_last", F.col("_later") + F.col("_back") <= n)
+        .drop("_later", "_back")
     )
 
 
@@ -112,9 +114,10 @@ def with_rank(
     )
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     return (
-        placed.join(sizes, [*keys, "_bucket"])
-        .withColumn(name, F.col("_before") + F.row_number().over(inside))
-        .drop("_bucket", "_before")
+        placed.withColumn("_at", F.row_number().over(inside))
+        .join(sizes, [*keys, "_bucket"])
+        .withColumn(name, F.col("_before") + F.col("_at"))
+        .drop("_bucket", "_before", "_at")
     )
 
 

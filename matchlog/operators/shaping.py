@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from matchlog.sources.schema import PLAYERS
 
 
+def with_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that later filters and projections do not compute again.
+
+    Spark substitutes plain columns into the filters above them; it does not look into the
+    output of a generator, here an array of one element.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def spread(
     df: DataFrame,
     cell: Column,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchlog.functions import scalar, text
@@ -61,23 +61,23 @@ def attack_events(
     contents = F.col("event_contents")
     is_attack = F.col("event") == "Ability"
     supply = catalog.combat_supply()
-    known = F.filter(text.mention_names(contents), lambda n: F.map_contains_key(supply, n))
-    supplies = F.transform(known, lambda n: F.element_at(supply, n))
-    total = F.aggregate(supplies, F.lit(0.0), lambda acc, v: acc + v)
-    kept = (
+
+    def add(total: Column, name: Column) -> Column:
+        found = F.try_element_at(supply, name)
+        return F.coalesce(total + found, found, total)
+
+    # null without any known combat unit
+    total = F.aggregate(text.mention_names(contents), F.lit(None).cast("double"), add)
+    considered = (
         log.where(
-            (F.col("event") == "Selection")
-            | (is_attack & F.contains(contents, F.lit("Attack")))
-        )
-        .select(
-            "game_id",
-            "player",
-            "seq",
-            scalar.minute(F.col("time")).alias("slice"),
-            is_attack.alias("is_attack"),
-            F.when(~is_attack & (F.size(supplies) > 0), total).alias("supply"),
+            (F.col("event") == "Selection") | (is_attack & F.contains(contents, F.lit("Attack")))
         )
+        .withColumn("slice", scalar.minute(F.col("time")))
         .where(F.col("slice") < ATTACK_MINUTES)
+    )
+    kept = (
+        shaping.with_once(considered, "supply", F.when(~is_attack, total))
+        .select("game_id", "player", "seq", "slice", is_attack.alias("is_attack"), "supply")
         .where(F.col("is_attack") | F.col("supply").isNotNull())
     )
     return (

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from matchlog.functions import scalar
 from matchlog.operators import ordered, shaping
 from matchlog.plans import ability, actions, camera, units
+from matchlog.session import materialize
 from matchlog.sources.readers import UnitCatalog
 from matchlog.sources.schema import PLAYERS
 
@@ -21,14 +22,18 @@ def feature_tables(
     last_rows: int = camera.LAST_ROWS,
     block_rows: int = ordered.BLOCK_ROWS,
 ) -> dict[str, DataFrame]:
-    """The feature tables by name, each with one row per game."""
+    """The feature tables by name, each with one row per game.
+
+    Positions are parsed once and kept as a narrow table for the three tables made of them.
+    """
+    moves = materialize(camera.points(log))
     return {
         "unit_counts": units.unit_counts_dense(log, catalog, block_rows=block_rows),
         "ability": ability.game_rows(log, catalog.frame(log.sparkSession), maps),
-        "camera_homeaway": camera.home_away(log, last_rows, block_rows),
-        "camera_center_moves": camera.center_drift(log),
+        "camera_homeaway": camera.home_away(moves, last_rows, block_rows),
+        "camera_center_moves": camera.center_drift(moves),
         "user_activity": actions.agility(log),
-        "camera_moving_stats": camera.step_stats(log, block_rows=block_rows),
+        "camera_moving_stats": camera.step_stats(moves, block_rows=block_rows),
         "attack_units": actions.attack_strength(log, catalog, block_rows),
     }
 

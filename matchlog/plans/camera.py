@@ -14,24 +14,25 @@ LAST_ROWS = 300
 
 
 def points(log: DataFrame) -> DataFrame:
-    """Camera moves and right clicks with integer coordinates, rows without any left out."""
-    return (
-        log.where(F.col("event").isin("Camera", "Right Click"))
-        .select(
-            "game_id",
-            "player",
-            "seq",
-            scalar.minute(F.col("time")).alias("slice"),
-            text.coordinate(F.col("event_contents"), 1).alias("x"),
-            text.coordinate(F.col("event_contents"), 2).alias("y"),
-        )
-        .where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    )
+    """Camera moves and right clicks with integer coordinates, rows without any left out.
+
+    All plans below start from this narrow relation, so it can be parsed once and kept.
+    """
+    moved = log.where(F.col("event").isin("Camera", "Right Click"))
+    paired = shaping.with_once(moved, "pair", text.coordinate_pair(F.col("event_contents")))
+    return paired.select(
+        "game_id",
+        "player",
+        "seq",
+        scalar.minute(F.col("time")).alias("slice"),
+        text.pair_part(F.col("pair"), 1).alias("x"),
+        text.pair_part(F.col("pair"), 2).alias("y"),
+    ).where(F.col("x").isNotNull() & F.col("y").isNotNull())
 
 
-def center_drift(log: DataFrame, minutes: int = MINUTES) -> DataFrame:
+def center_drift(moves: DataFrame, minutes: int = MINUTES) -> DataFrame:
     """Distance of each minute's mean position from the player's first position."""
-    early = points(log).where(F.col("slice") < minutes)
+    early = moves.where(F.col("slice") < minutes)
     per_minute = (
         early.groupBy("game_id", "player", "slice")
         .agg(
@@ -55,9 +56,9 @@ def center_drift(log: DataFrame, minutes: int = MINUTES) -> DataFrame:
     return shaping.both_present(wide, ("p0_", "p1_")).fillna(0.0)
 
 
-def steps(log: DataFrame, minutes: int = MINUTES, block_rows: int = ordered.BLOCK_ROWS) -> DataFrame:
+def steps(moves: DataFrame, minutes: int = MINUTES, block_rows: int = ordered.BLOCK_ROWS) -> DataFrame:
     """Distance of each position from the player's previous one."""
-    early = points(log).where(F.col("slice") < minutes)
+    early = moves.where(F.col("slice") < minutes)
     return (
         ordered.with_previous(early, ["game_id", "player"], ["x", "y"], block_rows=block_rows)
         .where(F.col("prev_x").isNotNull() & F.col("prev_y").isNotNull())
@@ -72,7 +73,7 @@ def steps(log: DataFrame, minutes: int = MINUTES, block_rows: int = ordered.BLOC
 
 
 def step_stats(
-    log: DataFrame, minutes: int = MINUTES, block_rows: int = ordered.BLOCK_ROWS
+    moves: DataFrame, minutes: int = MINUTES, block_rows: int = ordered.BLOCK_ROWS
 ) -> DataFrame:
     """Mean and sample deviation of step lengths, per player and per player's minute.
 
@@ -80,7 +81,7 @@ def step_stats(
     no deviation, an absent player no values: both stay null.
     """
     per_minute = (
-        steps(log, minutes, block_rows)
+        steps(moves, minutes, block_rows)
         .groupBy("game_id", "player", "slice")
         .agg(
             F.count(F.lit(1)).alias("n"),
@@ -124,7 +125,7 @@ def step_stats(
 
 
 def sided_points(
-    log: DataFrame, last_rows: int = LAST_ROWS, block_rows: int = ordered.BLOCK_ROWS
+    moves: DataFrame, last_rows: int = LAST_ROWS, block_rows: int = ordered.BLOCK_ROWS
 ) -> DataFrame:
     """Positions with ``aggressive`` (nearer the enemy's base than the own) and ``is_last``.
 
@@ -133,7 +134,7 @@ def sided_points(
     a long game is spread over many tasks.
     """
     # the join below would demand these keys of one of the two reads only
-    keyed = points(log).where(F.col("game_id").isNotNull() & F.col("seq").isNotNull())
+    keyed = moves.where(F.col("game_id").isNotNull() & F.col("seq").isNotNull())
     placed = ordered.with_block(keyed, block_rows=block_rows)
     placed = placed.where(F.col(ordered.BLOCK).isNotNull()).repartition("game_id", ordered.BLOCK)
     first = {
@@ -168,7 +169,7 @@ def sided_points(
 
 
 def home_away(
-    log: DataFrame, last_rows: int = LAST_ROWS, block_rows: int = ordered.BLOCK_ROWS
+    moves: DataFrame, last_rows: int = LAST_ROWS, block_rows: int = ordered.BLOCK_ROWS
 ) -> DataFrame:
     """How often each player looks at the enemy's side, overall and near the end.
 
@@ -186,7 +187,7 @@ def home_away(
             f"away_last{p}": F.count_if(mine & F.col("is_last") & F.col("aggressive")),
         }
     games = (
-        sided_points(log, last_rows, block_rows)
+        sided_points(moves, last_rows, block_rows)
         .groupBy("game_id")
         .agg(*[e.alias(n) for n, e in counts.items()])
         .where(F.col("away0") + F.col("away1") > 0)
@@ -209,12 +210,12 @@ def home_away(
     ).fillna(0.0)
 
 
-def last_minutes_pressure(log: DataFrame, minutes: int = 3) -> DataFrame:
+def last_minutes_pressure(moves: DataFrame, minutes: int = 3) -> DataFrame:
     """Aggressive rows in each player's last occupied minutes.
 
     Rows are counted per (player, minute) before the minutes are ranked.
     """
-    per_minute = aggressive_per_minute(log)
+    per_minute = aggressive_per_minute(moves)
     recent = Window.partitionBy("game_id", "player").orderBy(F.desc("slice"))
     return (
         per_minute.withColumn("back", F.row_number().over(recent))
@@ -224,10 +225,10 @@ def last_minutes_pressure(log: DataFrame, minutes: int = 3) -> DataFrame:
     )
 
 
-def aggressive_per_minute(log: DataFrame) -> DataFrame:
+def aggressive_per_minute(moves: DataFrame) -> DataFrame:
     """Rows and aggressive rows per player and occupied minute."""
     return (
-        sided_points(log)
+        sided_points(moves)
         .groupBy("game_id", "player", "slice")
         .agg(
             F.count(F.lit(1)).alias("rows_in_slice"),

@@ -18,26 +18,19 @@ NO_THIRD = 999
 
 def start_positions(log: DataFrame) -> DataFrame:
     """First camera position of both players for every game, null where there is none."""
-    camera = log.select(
-        "game_id",
-        "player",
-        F.when(F.col("event") == "Camera", F.col("seq")).alias("camera_seq"),
-        *[
-            F.when(
-                F.col("event") == "Camera", text.start_coordinate(F.col("event_contents"), i)
-            ).alias(axis)
-            for i, axis in ((1, "x"), (2, "y"))
-        ],
-    )
-    return camera.groupBy("game_id").agg(
+    camera = log.where(F.col("event") == "Camera")
+    firsts = camera.groupBy("game_id").agg(
         *[
-            F.min_by(axis, F.when(F.col("player") == p, F.col("camera_seq"))).alias(
-                f"player{p}_{axis}"
-            )
+            F.min_by(
+                text.start_coordinate(F.col("event_contents"), i),
+                F.when(F.col("player") == p, F.col("seq")),
+            ).alias(f"player{p}_{axis}")
             for p in PLAYERS
-            for axis in ("x", "y")
+            for i, axis in ((1, "x"), (2, "y"))
         ]
     )
+    # payloads are read for camera rows only, game ids for all
+    return log.select("game_id").distinct().join(firsts, "game_id", "left")
 
 
 def start_points(positions: DataFrame) -> DataFrame:

@@ -43,8 +43,8 @@ def selection_mentions(log: DataFrame) -> DataFrame:
             "species",
             "seq",
             "pos",
-            F.col("mention.name").alias("name"),
-            F.col("mention.unit_id").alias("unit_id"),
+            text.mention_name(F.col("mention")).alias("name"),
+            text.mention_id(F.col("mention")).alias("unit_id"),
         )
         .where(F.col("name") != "")
     )

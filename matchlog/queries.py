@@ -162,6 +162,10 @@ def matchup_segment(spark, sf_dir):
 # --- action and camera features ---
 
 
+def _moves(spark, sf_dir):
+    return camera.points(match_log(spark, sf_dir))
+
+
 @query
 def action_agility(spark, sf_dir):
     return actions.agility_totals(actions.agility(match_log(spark, sf_dir)))
@@ -169,27 +173,27 @@ def action_agility(spark, sf_dir):
 
 @query
 def camera_center_drift(spark, sf_dir):
-    return rounded(camera.center_drift(match_log(spark, sf_dir)))
+    return rounded(camera.center_drift(_moves(spark, sf_dir)))
 
 
 @query
 def camera_step_stats(spark, sf_dir):
-    return rounded(camera.step_stats(match_log(spark, sf_dir)))
+    return rounded(camera.step_stats(_moves(spark, sf_dir)))
 
 
 @query
 def camera_home_away(spark, sf_dir):
-    return rounded(camera.home_away(match_log(spark, sf_dir), LAST_ROWS))
+    return rounded(camera.home_away(_moves(spark, sf_dir), LAST_ROWS))
 
 
 @query
 def last_minutes_pressure(spark, sf_dir):
-    return camera.last_minutes_pressure(match_log(spark, sf_dir))
+    return camera.last_minutes_pressure(_moves(spark, sf_dir))
 
 
 @query
 def aggressive_per_minute(spark, sf_dir):
-    return camera.aggressive_per_minute(match_log(spark, sf_dir))
+    return camera.aggressive_per_minute(_moves(spark, sf_dir))
 
 
 @query

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL_FOLDERS: dict[SparkSession, str] = {}
+
 
 def local_session(cpus: str | int = 8, app: str = "matchlog") -> SparkSession:
     """A local session; on a cluster the caller brings its own."""
@@ -14,6 +17,7 @@ def local_session(cpus: str | int = 8, app: str = "matchlog") -> SparkSession:
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("MATCHLOG_DRIVER_MEMORY", "12g"))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(cpus))
@@ -22,18 +26,28 @@ def local_session(cpus: str | int = 8, app: str = "matchlog") -> SparkSession:
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
+
+    Only a local session without that setting gets a folder of its own.
+    """
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        if spark not in _LOCAL_FOLDERS:
+            _LOCAL_FOLDERS[spark] = tempfile.mkdtemp(prefix="matchlog-")
+        folder = _LOCAL_FOLDERS[spark]
+    return folder
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint.
+    """Write ``df`` as a table to the shared folder and return the table.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a local
-    session without that setting gets a folder of its own.
+    For relations read more than once. It cuts the lineage, outlives lost executors and,
+    being columnar, is read only as far as needed.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="matchlog-checkpoint-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/matchlog-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -32,7 +32,7 @@ def test_steps(make_log, block_rows):
             (1, 0, 0.0, "Camera", "at (5, 5)"),
         ]
     )
-    row = one(camera.step_stats(log, block_rows=block_rows))
+    row = one(camera.step_stats(camera.points(log), block_rows=block_rows))
     assert row.game_id == 0
     assert row.p0_moving_mean == 5.5
     assert math.isclose(row.p0_moving_std, math.sqrt(0.5))
@@ -51,7 +51,7 @@ def test_center_drift_needs_both_players(make_log):
             (1, 0, 0.0, "Camera", "at (1, 1)"),
         ]
     )
-    row = one(camera.center_drift(log))
+    row = one(camera.center_drift(camera.points(log)))
     assert (row.p0_center_0, row.p0_center_1, row.p0_center_2, row.p1_center_3) == (0, 5, 0, 0)
 
 
@@ -71,7 +71,7 @@ def test_home_away(make_log, block_rows):
             (2, 0, 1, "Camera", at["home1"]),
         ]
     )
-    row = one(camera.home_away(log, last_rows=2, block_rows=block_rows))
+    row = one(camera.home_away(camera.points(log), last_rows=2, block_rows=block_rows))
     assert row.game_id == 0
     assert math.isclose(row.cam_remote_ratio0, 2 / 3) and row.cam_remote_ratio1 == 0
     assert (row.cam_remote_ratio0_last, row.cam_remote_ratio1_last) == (1.0, 0.0)

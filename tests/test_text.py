@@ -79,9 +79,35 @@ def test_first_produced(parse):
     assert parse(text.first_produced, *texts) == ["Mothership", "Marine", "", None]
 
 
+def test_coordinate_pair_agrees(parse):
+    texts = (
+        "at (145.25, 21.5)",
+        "Location: (12.0, 89.0, 10)",
+        "at (1, 2); Location: (3, 4, 5)",
+        "at (.5, 3)",
+        "at (4.5.6, 3.2.1 end)",
+        "at (7, )",
+        "at (7,\t8)",
+        "at (-1, 2)",
+        "at (1, 2",
+        "rat (5, 6)",
+        "(9, 9)",
+        None,
+    )
+    for axis in (1, 2):
+        pair = parse(lambda c: text.pair_part(text.coordinate_pair(c), axis), *texts)
+        assert pair == parse(lambda c: text.coordinate(c, axis), *texts)
+
+
 def test_mentions(parse):
     texts = ("Marine [A1], SiegeTankSieged [B2]", " [C3]", "Marine [a1]", "Big Rock [D4]", None)
-    got = parse(text.mentions, *texts)
+
+    def pairs(c):
+        return F.transform(
+            text.mentions(c), lambda m: F.struct(text.mention_name(m), text.mention_id(m))
+        )
+
+    got = parse(pairs, *texts)
     assert [None if m is None else [tuple(x) for x in m] for m in got] == [
         [("Marine", "A1"), ("SiegeTankSieged", "B2")],
         [("", "C3")],
