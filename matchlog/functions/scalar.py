@@ -52,10 +52,7 @@ def matchup(first: Column, second: Column) -> Column:
 
 def sum_columns(names: Iterable[str]) -> Column:
     """Row-wise sum."""
-    total = None
-    for n in names:
-        total = F.col(n) if total is None else total + F.col(n)
-    return total
+    return F.expr(" + ".join(f"`{n}`" for n in names))
 
 
 def clip(value: Column, low: float, high: float) -> Column:

@@ -36,13 +36,8 @@ def spread(
         .pivot("_cell", list(names))
         .agg(*[expr.alias(a) for a, expr in aggregates.items()])
     )
-    if len(aggregates) == 1:
-        columns = [F.col(str(c)).alias(n) for c, n in names.items()]
-    else:
-        columns = [
-            F.col(f"{c}_{a}").alias(n.format(a)) for c, n in names.items() for a in aggregates
-        ]
-    return wide.select(key, *columns)
+    # pivoted columns come value by value, aggregates in order within each
+    return wide.toDF(key, *[n.format(a) for n in names.values() for a in aggregates])
 
 
 def player_cells(minutes: range, name: str) -> dict[int, str]:

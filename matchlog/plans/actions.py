@@ -134,14 +134,17 @@ def first_species(log: DataFrame) -> DataFrame:
 def species_labels(log: DataFrame) -> DataFrame:
     """Species of both players and the winner, from the distinct label rows of a game."""
     distinct = log.select("game_id", "winner", "player", "species").dropDuplicates()
-    species = distinct.groupBy("game_id").agg(
-        *[
-            F.min(F.when(F.col("player") == p, F.col("species"))).alias(f"species_{p}")
-            for p in PLAYERS
-        ]
+    return (
+        distinct.groupBy("game_id")
+        .agg(
+            *[
+                F.min(F.when(F.col("player") == p, F.col("species"))).alias(f"species_{p}")
+                for p in PLAYERS
+            ],
+            F.collect_set("winner").alias("winners"),
+        )
+        .select("game_id", "species_0", "species_1", F.explode_outer("winners").alias("winner"))
     )
-    winners = log.select("game_id", "winner").dropDuplicates()
-    return species.join(winners, "game_id")
 
 
 def baseline_set(log: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchlog.functions import scalar, text
+from matchlog.operators import shaping
 from matchlog.sources.schema import PLAYERS
 
 
@@ -148,14 +149,16 @@ def parsed_abilities(log: DataFrame) -> DataFrame:
 def parsed_coordinates(log: DataFrame) -> DataFrame:
     """Camera moves, clicks and abilities with a location: coordinates, minute, target."""
     contents = F.col("event_contents")
+    located = log.where(F.col("event").isin("Camera", "Right Click", "Ability"))
     return (
-        log.where(F.col("event").isin("Camera", "Right Click", "Ability"))
+        shaping.with_once(located, "pair", text.coordinate_pair(contents))
+        .where(F.col("pair") != "")
         .select(
             "seq",
             "event",
             scalar.minute(F.col("time")).alias("slice"),
-            text.coordinate(contents, 1).alias("x"),
-            text.coordinate(contents, 2).alias("y"),
+            text.pair_part(F.col("pair"), 1).alias("x"),
+            text.pair_part(F.col("pair"), 2).alias("y"),
             text.target_part(contents, 1).alias("target"),
             text.target_part(contents, 3).try_cast("int").alias("target_x"),
             text.target_part(contents, 4).try_cast("int").alias("target_y"),

@@ -44,11 +44,8 @@ def query(fn: Query) -> Query:
 
 def rounded(df: DataFrame) -> DataFrame:
     """Floating-point columns at six decimals, so that results can be compared."""
-    return df.select(
-        *[
-            F.round(c, 6).alias(c) if t in ("double", "float") else F.col(f"`{c}`")
-            for c, t in df.dtypes
-        ]
+    return df.selectExpr(
+        *[f"round(`{c}`, 6) AS `{c}`" if t == "double" else f"`{c}`" for c, t in df.dtypes]
     )
 
 

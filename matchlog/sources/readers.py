@@ -8,26 +8,32 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from matchlog.session import materialize
 from matchlog.sources import schema
 
 MAX_CATALOG_ROWS = 10_000
+MAX_SPLITS = 2_000_000
 
 
 def with_source_order(df: DataFrame) -> DataFrame:
     """Add ``seq``, the dense position of each row in its source files.
 
     File order is split order, so the row numbers inside a split are shifted by the rows
-    of the splits before it. Only the per-split counts (one row per ~128 MB of input)
-    meet in one task.
+    of the splits before it. The rows are first written down with the numbers they got:
+    another scan may cut and number its splits differently. The counts per split (one row
+    per ~128 MB of input) are broadcast up to ``MAX_SPLITS``, so that the rows need no
+    shuffle, and joined by shuffle beyond.
     """
-    located = df.select(
-        "*",
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_row"),
+    located = materialize(
+        df.select(
+            "*",
+            F.col("_metadata.file_path").alias("_file"),
+            F.col("_metadata.file_block_start").alias("_start"),
+            F.monotonically_increasing_id().alias("_row"),
+        )
     )
     before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
-    splits = (
+    splits = materialize(
         located.groupBy("_file", "_start")
         .agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
         .select(
@@ -36,6 +42,8 @@ def with_source_order(df: DataFrame) -> DataFrame:
             (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
         )
     )
+    if splits.count() <= MAX_SPLITS:
+        splits = F.broadcast(splits)
     return (
         located.join(splits, ["_file", "_start"])
         .withColumn("seq", F.col("_row") + F.col("_shift"))

@@ -14,11 +14,13 @@ def write_by_event(log: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE
     """Split the log by event type, so that later scans read only the types they need.
 
     Rows are gathered by (event, stretch of source order): files stay bounded however
-    frequent an event or a game is, and the rows of a game stay together.
+    frequent an event or a game is, and the rows of a game stay together. Spark splits
+    large and merges small partitions by their measured size.
     """
-    stretch = F.floor(F.col("seq") / rows_per_file)
     (
-        log.repartition("event", stretch)
+        log.withColumn("_stretch", F.floor(F.col("seq") / rows_per_file))
+        .hint("rebalance", "event", "_stretch")
+        .drop("_stretch")
         .sortWithinPartitions("event", "seq")
         .write.mode("overwrite")
         .partitionBy("event")
