@@ -128,7 +128,10 @@ def mention_names(contents: Column) -> Column:
 
 def unit_stance_removed(name: Column) -> Column:
     """Unit name without its sieged or burrowed stance."""
-    return F.regexp_replace(name, "Sieged|Burrowed", "")
+    stances = ("Sieged", "Burrowed")
+    has_stance = F.contains(name, F.lit(stances[0])) | F.contains(name, F.lit(stances[1]))
+    # few names have one; the others need no regex
+    return F.when(has_stance, F.regexp_replace(name, "|".join(stances), "")).otherwise(name)
 
 
 def is_worker(name: Column) -> Column:

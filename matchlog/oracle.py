@@ -763,6 +763,14 @@ ORACLE["opening_rows"] = _sql(
   COUNT(CASE WHEN event = 'Camera' THEN 1 END) AS cameras
 FROM log GROUP BY game_id HAVING MIN(time) BETWEEN 0.5 AND 30.0"""
 )
+ORACLE["latest_game_timeline"] = _sql(
+    final="""SELECT game_id, seq, ROUND(time, 6) AS time, player, event FROM log
+WHERE game_id = (SELECT game_id FROM log GROUP BY game_id ORDER BY MIN(log.time) DESC, game_id LIMIT 1)"""
+)
+ORACLE["game_chunks"] = _sql(
+    final="""SELECT CAST(FLOOR(game_id / 100) AS BIGINT) AS chunk, COUNT(DISTINCT game_id) AS games,
+             COUNT(*) AS n_rows FROM log GROUP BY 1"""
+)
 ORACLE["distinct_and_range"] = _sql(
     final="""SELECT COUNT(*) AS n_rows, MIN(game_id) AS min_game, MAX(game_id) AS max_game,
              COUNT(DISTINCT game_id) AS n_games, COUNT(DISTINCT event) AS n_events FROM log"""

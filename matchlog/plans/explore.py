@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from matchlog.functions import scalar, text
 from matchlog.operators import shaping
 from matchlog.sources.schema import PLAYERS
+from matchlog.sources.sinks import GAMES_PER_CHUNK
 
 
 def value_counts(df: DataFrame, *columns: str, name: str = "n") -> DataFrame:
@@ -52,6 +53,20 @@ def game_timeline(log: DataFrame, game_id: int) -> DataFrame:
     return log.where(F.col("game_id") == game_id).orderBy("time", "seq")
 
 
+def latest_game_timeline(log: DataFrame) -> DataFrame:
+    """All rows of the game that starts last, in time order."""
+    latest = game_starts(log).orderBy(F.desc("first_time"), "game_id").limit(1)
+    return log.join(latest.select("game_id"), "game_id", "left_semi").orderBy("time", "seq")
+
+
+def game_chunks(log: DataFrame, games: int = GAMES_PER_CHUNK) -> DataFrame:
+    """Games and rows per range of ``games`` ids."""
+    per_game = log.groupBy("game_id").agg(F.count(F.lit(1)).alias("n"))
+    return per_game.groupBy(F.expr(f"game_id div {games}").alias("chunk")).agg(
+        F.count(F.lit(1)).alias("games"), F.sum("n").alias("n_rows")
+    )
+
+
 def search_text(log: DataFrame, word: str, n: int = 20) -> DataFrame:
     """The first ``n`` rows by time whose payload contains a word."""
     return (

@@ -142,11 +142,12 @@ def _with_maps(games: DataFrame, maps: DataFrame) -> DataFrame:
     return games.withColumn("_maps", maps.select(F.array_sort(rows)).scalar())
 
 
-def impute_starts(games: DataFrame, maps: DataFrame) -> DataFrame:
-    """Unknown starts inferred from the opponent's through the map table.
+def resolve_games(games: DataFrame, maps: DataFrame) -> DataFrame:
+    """Unknown starts inferred from the opponent's through the map table, and the map.
 
     Maps are tried in order. A start pairs with the first other one of its map, and the
-    third start of a map with the second. A map may pair "unknown" (0) itself.
+    third start of a map with the second. A map may pair "unknown" (0) itself. The map
+    number goes by player 0's start; the last map with that start wins.
     """
 
     def inferred(unknown: Column, known: Column, m: Column) -> Column:
@@ -162,24 +163,17 @@ def impute_starts(games: DataFrame, maps: DataFrame) -> DataFrame:
         return F.struct(p0.alias("p0"), inferred(acc["p1"], p0, m).alias("p1"))
 
     known = F.struct(F.col("player0_starting").alias("p0"), F.col("player1_starting").alias("p1"))
-    done = _with_maps(games, maps).select("game_id", F.aggregate("_maps", known, step).alias("_s"))
-    return done.select(
-        "game_id",
-        F.col("_s.p0").alias("player0_starting"),
-        F.col("_s.p1").alias("player1_starting"),
+    done = _with_maps(games, maps).select(
+        "game_id", "_maps", F.aggregate("_maps", known, step).alias("_s")
     )
-
-
-def assign_maps(games: DataFrame, maps: DataFrame) -> DataFrame:
-    """Map number by player 0's start; the last map with that start wins."""
-    start = F.col("player0_starting")
+    start = F.col("_s.p0")
     fitting = F.filter(
         "_maps", lambda m: (m["m0"] == start) | (m["m1"] == start) | (m["m2"] == start)
     )
-    return _with_maps(games, maps).select(
+    return done.select(
         "game_id",
-        "player0_starting",
-        "player1_starting",
+        start.alias("player0_starting"),
+        F.col("_s.p1").alias("player1_starting"),
         F.try_element_at(fitting, F.lit(-1))["map"].alias("map"),
     )
 
@@ -197,8 +191,7 @@ def map_data(
 ) -> DataFrame:
     """Start numbers and map of every game, for given start centres."""
     games = game_starts(start_positions(log), centres, radius)
-    maps = map_table(games, support)
-    return assign_maps(impute_starts(games, maps), maps)
+    return resolve_games(games, map_table(games, support))
 
 
 def fitted_map_data(

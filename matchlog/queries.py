@@ -339,6 +339,20 @@ def opening_rows(spark, sf_dir):
     return rounded(late.join(cameras, "game_id", "left").fillna(0, ["at_zero", "cameras"]))
 
 
+@query
+def latest_game_timeline(spark, sf_dir):
+    return rounded(
+        explore.latest_game_timeline(match_log(spark, sf_dir)).select(
+            "game_id", "seq", "time", "player", "event"
+        )
+    )
+
+
+@query
+def game_chunks(spark, sf_dir):
+    return explore.game_chunks(match_log(spark, sf_dir), 100)
+
+
 @query
 def distinct_and_range(spark, sf_dir):
     return explore.key_ranges(match_log(spark, sf_dir))

@@ -39,7 +39,7 @@ def test_imputation_and_map_numbers(spark, seed):
         [(i, *t) for i, t in enumerate(table)], "map INT, m0 INT, m1 INT, m2 INT"
     )
     numbers = impute_by_steps(games, table)
-    got = maps.assign_maps(maps.impute_starts(df, maps_df), maps_df).collect()
+    got = maps.resolve_games(df, maps_df).collect()
     assert {r.game_id: (r.player0_starting, r.player1_starting, r.map) for r in got} == {
         i: (g[0], g[1], numbers.get(i)) for i, g in games.items()
     }
@@ -50,7 +50,7 @@ def test_no_maps_leave_games_as_they_are(spark):
         [(1, 0, 2)], "game_id INT, player0_starting INT, player1_starting INT"
     )
     none = spark.createDataFrame([], "map INT, m0 INT, m1 INT, m2 INT")
-    got = maps.assign_maps(maps.impute_starts(df, none), none).collect()
+    got = maps.resolve_games(df, none).collect()
     assert [tuple(r) for r in got] == [(1, 0, 2, None)]
 
 
