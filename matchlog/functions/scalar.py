@@ -70,6 +70,12 @@ def conform(df: DataFrame, columns: list[str], fill: float = 0.0) -> DataFrame:
     return df.select(*[F.col(c) if c in have else F.lit(fill).alias(c) for c in columns])
 
 
-def fill_features(df: DataFrame, keep: tuple[str, ...], value: float = 0) -> DataFrame:
-    """Nulls replaced in every column but ``keep``."""
+def fill_features(
+    df: DataFrame, keep: tuple[str, ...] = ("game_id",), value: float = 0
+) -> DataFrame:
+    """Nulls replaced in every column but ``keep``.
+
+    The key stays a plain column: Spark then still knows that the rows are partitioned by
+    it and that it is unique.
+    """
     return df.fillna(value, subset=[c for c in df.columns if c not in keep])

@@ -69,4 +69,4 @@ def star_join(spine: DataFrame, tables: list[DataFrame], key: str = "game_id") -
 
 def answer_spine(spine: DataFrame, predictions: DataFrame, default: float = 0.5) -> DataFrame:
     """Every game of the spine with its prediction, or ``default``."""
-    return spine.join(predictions, "game_id", "left").fillna(default)
+    return spine.join(predictions, "game_id", "left").fillna(default, [c for c in predictions.columns if c != "game_id"])

@@ -36,7 +36,7 @@ def agility(log: DataFrame, minutes: int = MINUTES) -> DataFrame:
         shaping.player_cells(range(minutes), "p{p}_actions_{m}"),
         {"n": F.count(F.lit(1))},
     )
-    return shaping.both_present(wide, ("p0_", "p1_")).fillna(0)
+    return scalar.fill_features(shaping.both_present(wide, ("p0_", "p1_")))
 
 
 def agility_totals(wide: DataFrame, minutes: int = MINUTES) -> DataFrame:
@@ -99,7 +99,8 @@ def attack_strength(
         shaping.player_cell(),
         cells,
         {"strength": F.sum("strength")},
-    ).fillna(0.0)
+    )
+    wide = scalar.fill_features(wide)
     totals = [
         scalar.sum_columns(f"p{p}_{s}" for s in range(ATTACK_MINUTES)).alias(f"p{p}_attack_units")
         for p in PLAYERS
@@ -120,9 +121,8 @@ def event_counts(log: DataFrame) -> DataFrame:
         "slice", F.element_at(event_number, F.col("event"))
     )
     names = {p * 1000 + i: f"{p}_{e}" for p in PLAYERS for e, i in numbers.items()}
-    return shaping.spread(
-        known, shaping.player_cell(), names, {"n": F.count("time")}
-    ).fillna(0)
+    wide = shaping.spread(known, shaping.player_cell(), names, {"n": F.count("time")})
+    return scalar.fill_features(wide)
 
 
 def first_species(log: DataFrame) -> DataFrame:

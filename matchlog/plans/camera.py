@@ -53,7 +53,7 @@ def center_drift(moves: DataFrame, minutes: int = MINUTES) -> DataFrame:
         shaping.player_cells(range(minutes), "p{p}_center_{m}"),
         {"dist": F.max("dist")},
     )
-    return shaping.both_present(wide, ("p0_", "p1_")).fillna(0.0)
+    return scalar.fill_features(shaping.both_present(wide, ("p0_", "p1_")))
 
 
 def steps(moves: DataFrame, minutes: int = MINUTES, block_rows: int = ordered.BLOCK_ROWS) -> DataFrame:
@@ -195,7 +195,7 @@ def home_away(
     )
     home = {p: (F.col(f"all{p}") - F.col(f"away{p}")).cast("double") for p in PLAYERS}
     away = {p: F.col(f"away{p}").cast("double") for p in PLAYERS}
-    return games.select(
+    ratios = games.select(
         "game_id",
         *[
             scalar.float_ratio(F.col(f"away{s}{p}"), F.col(f"all{s}{p}")).alias(
@@ -207,7 +207,8 @@ def home_away(
         *[home[1 - p].alias(f"camera_home_p{p}") for p in PLAYERS],
         *[away[1 - p].alias(f"camera_enemy_to_p{p}") for p in PLAYERS],
         *[scalar.float_ratio(away[1 - p], home[1 - p]).alias(f"homeaway_p{p}") for p in PLAYERS],
-    ).fillna(0.0)
+    )
+    return scalar.fill_features(ratios)
 
 
 def last_minutes_pressure(moves: DataFrame, minutes: int = 3) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchlog.functions import text
+from matchlog.functions import scalar, text
 from matchlog.operators import ordered, shaping
 from matchlog.plans.actions import first_species
 from matchlog.sources.readers import UnitCatalog
@@ -188,7 +188,7 @@ def unit_counts_dense(
     bounds = picked.agg(low.alias("low"), F.max("game_id").alias("high"))
     grid = ordered.id_grid(bounds, "low", "high", "game_id").select(F.col("game_id").cast("int"))
     counts = unit_counts(ownership(log, catalog, block_rows), catalog)
-    return grid.join(counts, "game_id", "left").fillna(0)
+    return scalar.fill_features(grid.join(counts, "game_id", "left"))
 
 
 def native_units(catalog: UnitCatalog, log: DataFrame) -> DataFrame:
@@ -311,7 +311,7 @@ def top_slots(
         shaping.player_cells(range(k), "p{p}_u{m}"),
         {"n": F.sum("n")},
     )
-    return games.join(wide, "game_id", "left").fillna(0)
+    return scalar.fill_features(games.join(wide, "game_id", "left"))
 
 
 def roster(log: DataFrame, owned: DataFrame, prefix: int = 4) -> DataFrame:
