@@ -20,6 +20,7 @@ def local_session(cpus: str | int = 8, app: str = "matchlog") -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("MATCHLOG_DRIVER_MEMORY", "12g"))
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.driver.extraJavaOptions", "-XX:+UseParallelGC")
         # no Python call sites in error messages, for quicker plan building
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(cpus))
