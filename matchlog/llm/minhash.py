@@ -9,14 +9,18 @@ sequence as one; none: empty). Texts with 100 * intersection >= 75 * union are l
 3. Tensoring: the key of table (i, j) is entry i of the first collection with entry j of the
    second. 2 * half * width MinHash values serve half ** 2 tables, which would take
    half ** 2 * 2 * width of them by plain banding.
-4. In each bucket, ordered by a hash of class and table, a class becomes a candidate with the
-   first one and with the one before it: two rows at most for each key, whatever the bucket's
-   size, and other partners in each of the tables. Candidates whose MinHash values agree too
-   rarely for a similarity of 0.75 (chance below 1e-4 for a pair at 0.75) are left out.
-5. Candidates are verified on full sets, made again from the texts, in two rounds: first each
-   class with its most similar candidate; then, the components of those links known, every
-   candidate pair between two components. So each candidate pair ends inside one component
-   or refuted.
+4. In each bucket, ordered by a hash of the class, a class becomes a candidate with the first
+   one and with the one before it: two rows at most for each key, whatever the bucket's size,
+   and mostly the same few for copies that meet in many tables. Candidates whose MinHash
+   values agree too rarely for a similarity of 0.75 (chance 3e-4 for a pair at 0.75)
+   are left out.
+5. Candidates are verified on full sets, made again from the texts: first each class with its
+   most similar candidate; then, the components of those links known, every candidate pair
+   between two components. So each candidate pair ends inside one component or refuted.
+6. The classes that met another are put into the same buckets again, now ordered by further
+   entries of the collections, so that the likest stand side by side, and those next to each
+   other from two components are verified. This is repeated, with other entries, until a
+   round links nothing.
 
 A pair at exactly 0.75 shares no table with a chance of 0.0012 at half = 10, width = 2 (each
 entry matches at 0.75 ** 2; one in each collection must); at 0.85 of 1e-5.
@@ -42,8 +46,8 @@ from matchlog.session import materialize
 
 SHINGLE, PERCENT = 5, 75
 HALF, WIDTH = 10, 2
-#: Of 2 * HALF * WIDTH = 40 values; below it for a pair at 0.75: 1.4e-5.
-LEAST_AGREEING = 18
+#: Of 2 * HALF * WIDTH = 40 values; the chance to be below it is 3e-4 for a pair at 0.75.
+LEAST_AGREEING = 20
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
@@ -116,27 +120,43 @@ def _source(docs: DataFrame, key: str, value: str) -> DataFrame:
     return docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), text.alias("text"), F.md5(text.cast("binary")).alias("text_key"))
 
 
-def candidates(classes: DataFrame, half: int) -> DataFrame:
-    """(a, b, agreeing) for a < b, from tensored keys: at most two partners for each key."""
-    keys = classes.select(
-        "class",
-        F.explode(
-            F.flatten(
-                F.transform(
-                    F.slice("entries", 1, half),
-                    lambda x, i: F.transform(F.slice("entries", half + 1, half), lambda y, j: F.xxhash64(x, y, i, j)),
-                )
-            )
-        ).alias("key"),
-    )
-    bucket = Window.partitionBy("key").orderBy(F.xxhash64("class", "key"), "class")
-    met = (
-        keys.select("class", F.first("class").over(bucket).alias("first"), F.lag("class").over(bucket).alias("before"))
-        .filter(F.col("before").isNotNull())
-        .select("class", F.explode(F.array("first", "before")).alias("other"))
-        .select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b"))
-        .distinct()
-    )
+def table_keys(classes: DataFrame, half: int, *more: F.Column) -> DataFrame:
+    """(class, key, more...): the keys of all half * half tables."""
+    tables = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(half - 1)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(half - 1)), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    at = classes.select("class", "entries", *more, F.explode(tables).alias("t"))
+    return at.withColumn("key", F.xxhash64(F.get("entries", F.col("t.i")), F.get("entries", F.col("t.j") + half), "t.i", "t.j"))
+
+
+def first_met(classes: DataFrame, half: int) -> DataFrame:
+    """Distinct (a, b), a < b: each class with the first and the one before it in its buckets."""
+    bucket = Window.partitionBy("key").orderBy(F.xxhash64("class"), "class")
+    keys = table_keys(classes, half).select("class", "key")
+    met = keys.select("class", F.first("class").over(bucket).alias("first"), F.lag("class").over(bucket).alias("before")).filter(F.col("before").isNotNull())
+    return _pairs(met.select("class", F.explode(F.array("first", "before")).alias("other")))
+
+
+def next_met(classes: DataFrame, half: int, turn: int, lags: int = 2) -> DataFrame:
+    """Distinct (a, b) of classes near each other in a bucket, by further entries, that are of
+    different components; ``classes`` has a column root."""
+    keys = table_keys(classes, half, F.col("root"))
+    further = [
+        F.shiftright(F.get("entries", F.pmod(F.col(f"t.{side}") + turn + k, F.lit(half)).cast("int") + base), 33).cast("int").alias(f"e{side}{k}")
+        for k in range(3) for side, base in (("i", 0), ("j", half))
+    ]
+    keys = keys.select("class", "root", "key", *further)
+    bucket = Window.partitionBy("key").orderBy(*[f"e{side}{k}" for k in range(3) for side in "ij"], "class")
+    near = F.array(*[F.lag(F.struct("class", "root"), n + 1).over(bucket) for n in range(lags)])
+    met = keys.select("class", "root", near.alias("near")).select("class", F.explode(F.filter("near", lambda x: x.isNotNull() & (x["root"] != F.col("root")))).alias("x"))
+    return _pairs(met.select("class", F.col("x.class").alias("other")))
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    return met.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
+
+
+def agreeing(met: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b, agreeing): how many MinHash values of each pair agree; pairs whose sizes rule
+    the similarity out are left out."""
     marks = classes.select("class", "marks", "n_shingles")
     left = marks.select(F.col("class").alias("a"), F.col("marks").alias("marks_a"), F.col("n_shingles").alias("n_a"))
     right = marks.select(F.col("class").alias("b"), F.col("marks").alias("marks_b"), F.col("n_shingles").alias("n_b"))
@@ -144,13 +164,13 @@ def candidates(classes: DataFrame, half: int) -> DataFrame:
     # a union is at least as large as the larger set
     alike = alike.filter(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
 
-    def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((x == y).sum(axis=1), pa.int32())], ["a", "b", "agreeing"])
 
-    return alike.select("a", "b", "marks_a", "marks_b").mapInArrow(agreeing, "a long, b long, agreeing int")
+    return alike.select("a", "b", "marks_a", "marks_b").mapInArrow(compare, "a long, b long, agreeing int")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -215,24 +235,31 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", value: str = "text", h
         F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("entries").alias("entries"), F.first("marks").alias("marks"), F.first("text_key").alias("text_key")
     )
     classes = materialize(grouped.withColumn("class", F.monotonically_increasing_id()))
-    found = materialize(candidates(classes, half).filter(F.col("agreeing") >= least_agreeing))
-    # one text of each class that has a candidate, found by its digest
-    wanted = found.select(F.col("a").alias("class")).union(found.select(F.col("b").alias("class"))).distinct()
-    names = wanted.join(classes.select("class", "text_key"), "class")
+    met = materialize(first_met(classes, half))
+    found = materialize(agreeing(met, classes).filter(F.col("agreeing") >= least_agreeing))
+    # one text of each class that met another, found by its digest
+    wanted = met.select(F.col("a").alias("class")).union(met.select(F.col("b").alias("class"))).distinct()
+    involved = materialize(wanted.join(classes, "class"))
     source = _source(docs, key, value).select("text_key", "text")
-    texts = materialize(source.join(names, "text_key").select("class", "text").dropDuplicates(["class"]))
+    texts = materialize(source.join(involved.select("class", "text_key"), "text_key").select("class", "text").dropDuplicates(["class"]))
     best = found.select("a", "b", "agreeing").union(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "agreeing"))
     best = best.groupBy("a").agg(F.max(F.struct("agreeing", "b")).alias("best")).select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b"))
     links = materialize(verified(best.distinct(), texts))
-    first = components(links)
-    x = first.select(F.col("node").alias("a"), F.col("root").alias("x"))
-    y = first.select(F.col("node").alias("b"), F.col("root").alias("y"))
-    open_pairs = found.select("a", "b").join(links, ["a", "b"], "left_anti").join(x, "a", "left").join(y, "b", "left")
-    open_pairs = materialize(open_pairs.filter(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b"))
-    if not open_pairs.isEmpty():
+    first, turn = components(links), 0
+    open_pairs = materialize(_between(found.select("a", "b"), first))
+    tested = open_pairs
+    while True:
         more = materialize(verified(open_pairs, texts))
         if not more.isEmpty():
-            first = components(links.union(more))
+            links = materialize(links.union(more))
+            first = components(links)
+        elif turn:
+            break
+        turn += 1
+        rooted = involved.join(first.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+        near = next_met(rooted, half, turn).join(tested, ["a", "b"], "left_anti")
+        open_pairs = materialize(agreeing(near, involved).filter(F.col("agreeing") >= least_agreeing).select("a", "b"))
+        tested = tested.union(open_pairs)
     named = classes.select("class", "set_key", "least").join(first.withColumnRenamed("node", "class"), "class", "left")
     named = named.withColumn("group", F.coalesce("root", "class"))
     heads = named.groupBy("group").agg(F.min("least").alias("component_id"), F.count("*").alias("classes"))
@@ -244,6 +271,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", value: str = "text", h
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "group", "text_key")
 
 
+def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) of two components."""
+    x = labels.select(F.col("node").alias("a"), F.col("root").alias("x"))
+    y = labels.select(F.col("node").alias("b"), F.col("root").alias("y"))
+    return pairs.join(x, "a", "left").join(y, "b", "left").filter(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
+
+
 def one_of_each(docs: DataFrame, key: str = "doc_id", value: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each group the row with the least
     identifier (of several texts under it the one with the least digest, of repeated rows one)."""
