@@ -40,17 +40,23 @@ def spread(
     return wide.toDF(key, *[n.format(a) for n in names.values() for a in aggregates])
 
 
+#: A cell is a player and a number below this.
+CELLS = 1 << 20
+
+
 def player_cells(minutes: range, name: str) -> dict[int, str]:
     """Cell numbers and names for every (player, minute): see ``player_cell``."""
+    if minutes and minutes[-1] >= CELLS:
+        raise ValueError(f"a player has at most {CELLS} cells")
     return {
-        p * 1000 + m: name.replace("{p}", str(p)).replace("{m}", str(m))
+        p * CELLS + m: name.replace("{p}", str(p)).replace("{m}", str(m))
         for p in PLAYERS
         for m in minutes
     }
 
 
 def player_cell(player: str = "player", number: str = "slice") -> Column:
-    return F.col(player) * 1000 + F.col(number)
+    return F.col(player) * CELLS + F.col(number)
 
 
 def both_present(df: DataFrame, prefixes: tuple[str, str]) -> DataFrame:

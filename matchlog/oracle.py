@@ -80,7 +80,9 @@ ORACLE["union_train_test"] = _sql(
     final=f"""SELECT seq, game_id, player, species, event, ROUND(time, 6) AS time FROM log
               WHERE game_id < {TRAIN_GAMES}
               UNION ALL
-              SELECT seq, game_id, player, species, event, ROUND(time, 6) FROM log
+              SELECT seq + (SELECT greatest(max(seq) FILTER (game_id < {TRAIN_GAMES}) + 1
+                - min(seq) FILTER (game_id >= {TRAIN_GAMES}), 0) FROM log),
+              game_id, player, species, event, ROUND(time, 6) FROM log
               WHERE game_id >= {TRAIN_GAMES}"""
 )
 ORACLE["limit_scan"] = _sql(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchlog.functions import scalar, text
@@ -10,8 +10,7 @@ from matchlog.sources.schema import PLAYERS, SPECIES
 
 COUNTS = ("train_sum", "build_sum", "upgrade_sum", "attack_sum")
 COSTS = ("supply", "minerals", "gas")
-MAPS = tuple(range(7))
-MAP_COLUMNS = tuple(f"map_{m}" for m in MAPS)
+MAPS = 7
 
 
 def ability_rows(log: DataFrame) -> DataFrame:
@@ -135,7 +134,15 @@ def production_cost(log: DataFrame, unit_info: DataFrame) -> DataFrame:
     )
 
 
-def flatten_players(rows: DataFrame, maps: DataFrame) -> DataFrame:
+def map_flags(number: Column, count: int) -> list[Column]:
+    """0/1 columns for the maps 0 .. count - 1; a map beyond them fails the job."""
+    known = F.when(number.isNull() | number.between(0, count - 1), number).otherwise(
+        F.raise_error(F.concat(F.lit("no column for map "), number.cast("string")))
+    )
+    return scalar.one_hot(known, range(count), "map_{}")
+
+
+def flatten_players(rows: DataFrame, maps: DataFrame, map_count: int = MAPS) -> DataFrame:
     """Both players of a game side by side, with map and species as 0/1 columns.
 
     A game without rows of both players drops out. The two sides are gathered in one
@@ -159,7 +166,7 @@ def flatten_players(rows: DataFrame, maps: DataFrame) -> DataFrame:
         "game_id",
         "winner",
         "duration",
-        *scalar.one_hot(F.col("map"), MAPS, "map_{}"),
+        *map_flags(F.col("map"), map_count),
         *[f"{v}_{p}" for p in PLAYERS for v in values],
     )
 
@@ -174,6 +181,11 @@ def with_species_flags(games: DataFrame) -> DataFrame:
     return games.select("*", *flags).drop(*[f"species_{p}" for p in PLAYERS])
 
 
-def game_rows(log: DataFrame, unit_info: DataFrame, maps: DataFrame) -> DataFrame:
-    """The ability feature table, one row per game."""
-    return with_species_flags(flatten_players(player_rows(log, unit_info), maps))
+def game_rows(
+    log: DataFrame, unit_info: DataFrame, maps: DataFrame, map_count: int = MAPS
+) -> DataFrame:
+    """The ability feature table, one row per game.
+
+    ``map_count`` is the number of map columns; pass the ``k`` of fitted map detection.
+    """
+    return with_species_flags(flatten_players(player_rows(log, unit_info), maps, map_count))

@@ -92,7 +92,7 @@ def attack_strength(
 ) -> DataFrame:
     """Attack supply per player, in total and for the later minutes."""
     cells = {
-        p * 1000 + s: f"p{p}_{s}" for p in PLAYERS for s in range(ATTACK_MINUTES)
+        p * shaping.CELLS + s: f"p{p}_{s}" for p in PLAYERS for s in range(ATTACK_MINUTES)
     }
     wide = shaping.spread(
         attack_events(log, catalog, block_rows),
@@ -114,13 +114,18 @@ def attack_strength(
 
 
 def event_counts(log: DataFrame) -> DataFrame:
-    """Rows per player and event type, one column each, named ``<player>_<event>``."""
+    """Rows per player and event type, one column each, named ``<player>_<event>``.
+
+    The columns are those of the known event types; another type fails the job, as it would
+    be missing from the counts without a word.
+    """
     numbers = {e: i for i, e in enumerate(EVENTS)}
     event_number = F.create_map(*[F.lit(v) for pair in numbers.items() for v in pair])
-    known = log.where(F.col("event").isin(*EVENTS)).withColumn(
-        "slice", F.element_at(event_number, F.col("event"))
+    unknown = F.raise_error(F.concat(F.lit("unknown event type "), F.col("event"))).cast("int")
+    known = log.where(F.col("event").isNotNull()).withColumn(
+        "slice", F.coalesce(F.element_at(event_number, F.col("event")), unknown)
     )
-    names = {p * 1000 + i: f"{p}_{e}" for p in PLAYERS for e, i in numbers.items()}
+    names = {p * shaping.CELLS + i: f"{p}_{e}" for p in PLAYERS for e, i in numbers.items()}
     wide = shaping.spread(known, shaping.player_cell(), names, {"n": F.count("time")})
     return scalar.fill_features(wide)
 

@@ -109,7 +109,7 @@ def step_stats(
             F.array(
                 F.struct(shaping.player_cell().alias("cell"), "mean", "std"),
                 F.struct(
-                    (F.col("player") * 1000 + minutes).alias("cell"),
+                    (F.col("player") * shaping.CELLS + minutes).alias("cell"),
                     F.col("total_mean").alias("mean"),
                     F.col("total_std").alias("std"),
                 ),
@@ -117,7 +117,7 @@ def step_stats(
         ),
     )
     names = shaping.player_cells(range(minutes), "cam_moving_p{p}_{}{m}") | {
-        p * 1000 + minutes: f"p{p}_moving_{{}}" for p in PLAYERS
+        p * shaping.CELLS + minutes: f"p{p}_moving_{{}}" for p in PLAYERS
     }
     return shaping.spread(
         cells, F.col("cell"), names, {"mean": F.max("mean"), "std": F.max("std")}

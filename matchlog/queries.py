@@ -34,7 +34,7 @@ TOP = 5
 RADIUS = 25.0
 SUPPORT = 3
 TRAIN_GAMES = 100
-TREES = {"maxIter": 3, "maxDepth": 3}
+TREES = {"maxIter": 20, "maxDepth": 5}
 
 
 def query(fn: Query) -> Query:
@@ -54,7 +54,7 @@ def rounded(df: DataFrame) -> DataFrame:
 
 @query
 def scan_event_partition(spark, sf_dir):
-    log = match_log(spark, sf_dir).where(F.col("event") == "Ability")
+    log = match_log(spark, sf_dir, "Ability")
     return rounded(log.select("seq", "game_id", "player", "species", "time", "event_contents"))
 
 
@@ -85,18 +85,18 @@ def parse_ability(spark, sf_dir):
 
 @query
 def ability_names(spark, sf_dir):
-    return explore.ability_names(match_log(spark, sf_dir))
+    return explore.ability_names(match_log(spark, sf_dir, "Ability"))
 
 
 @query
 def parse_units_produced(spark, sf_dir):
-    priced = ability.produced_with_cost(match_log(spark, sf_dir), UNITS.frame(spark))
+    priced = ability.produced_with_cost(match_log(spark, sf_dir, "Ability"), UNITS.frame(spark))
     return priced.select("seq", "species", "unit", "supply", "minerals", "gas")
 
 
 @query
 def parse_selection_units(spark, sf_dir):
-    found = units.selection_mentions(match_log(spark, sf_dir))
+    found = units.selection_mentions(match_log(spark, sf_dir, "Selection"))
     named = found.withColumn("unit", text.unit_stance_removed(F.col("name")))
     return named.where(~text.is_worker(F.col("unit"))).select(
         "seq", "pos", "game_id", "player", "unit_id", "unit"
@@ -108,17 +108,17 @@ def parse_selection_units(spark, sf_dir):
 
 @query
 def game_duration(spark, sf_dir):
-    return rounded(ability.game_duration(match_log(spark, sf_dir)))
+    return rounded(ability.game_duration(match_log(spark, sf_dir, "Ability")))
 
 
 @query
 def ability_summary(spark, sf_dir):
-    return rounded(ability.ability_summary(match_log(spark, sf_dir)))
+    return rounded(ability.ability_summary(match_log(spark, sf_dir, "Ability")))
 
 
 @query
 def production_cost(spark, sf_dir):
-    return rounded(ability.production_cost(match_log(spark, sf_dir), UNITS.frame(spark)))
+    return rounded(ability.production_cost(match_log(spark, sf_dir, "Ability"), UNITS.frame(spark)))
 
 
 def _map_data(spark, sf_dir):
@@ -218,7 +218,7 @@ def baseline_set(spark, sf_dir):
 
 @query
 def unit_ownership(spark, sf_dir):
-    return units.ownership(match_log(spark, sf_dir), UNITS)
+    return units.ownership(match_log(spark, sf_dir, "Selection"), UNITS)
 
 
 @query
@@ -232,7 +232,7 @@ def native_units(spark, sf_dir):
     native = units.native_units(UNITS, match_log(spark, sf_dir)).select(
         "species", F.explode("units").alias("name")
     )
-    said = units.selection_mentions(match_log(spark, sf_dir)).groupBy("species", "name").agg(
+    said = units.selection_mentions(match_log(spark, sf_dir, "Selection")).groupBy("species", "name").agg(
         F.count(F.lit(1)).alias("mentions")
     )
     return native.join(said, ["species", "name"], "left").fillna(0)
@@ -240,12 +240,12 @@ def native_units(spark, sf_dir):
 
 def _accepted(spark, sf_dir):
     """Accepted mentions, kept as a table because names are ranked and then counted."""
-    return materialize(units.first_claims(match_log(spark, sf_dir)))
+    return materialize(units.first_claims(match_log(spark, sf_dir, "Selection")))
 
 
 @query
 def unit_name_frequency(spark, sf_dir):
-    return units.name_frequency(units.first_claims(match_log(spark, sf_dir)))
+    return units.name_frequency(units.first_claims(match_log(spark, sf_dir, "Selection")))
 
 
 @query
@@ -261,7 +261,7 @@ def slot_ratios(spark, sf_dir):
 
 @query
 def rare_units(spark, sf_dir):
-    frequency = materialize(units.name_frequency(units.first_claims(match_log(spark, sf_dir))))
+    frequency = materialize(units.name_frequency(units.first_claims(match_log(spark, sf_dir, "Selection"))))
     return units.rare_names(frequency, TOP)
 
 

@@ -12,7 +12,6 @@ from matchlog.session import materialize
 from matchlog.sources import schema
 
 MAX_CATALOG_ROWS = 10_000
-MAX_SPLITS = 2_000_000
 
 
 def with_source_order(df: DataFrame) -> DataFrame:
@@ -20,9 +19,8 @@ def with_source_order(df: DataFrame) -> DataFrame:
 
     File order is split order, so the row numbers inside a split are shifted by the rows
     of the splits before it. The rows are first written down with the numbers they got:
-    another scan may cut and number its splits differently. The counts per split (one row
-    per ~128 MB of input) are broadcast up to ``MAX_SPLITS``, so that the rows need no
-    shuffle, and joined by shuffle beyond.
+    another scan may cut and number its splits differently. How the counts per split (one
+    row per ~128 MB of input) are joined to the rows is Spark's choice, by their size.
     """
     located = materialize(
         df.select(
@@ -42,8 +40,6 @@ def with_source_order(df: DataFrame) -> DataFrame:
             (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
         )
     )
-    if splits.count() <= MAX_SPLITS:
-        splits = F.broadcast(splits)
     return (
         located.join(splits, ["_file", "_start"])
         .withColumn("seq", F.col("_row") + F.col("_shift"))
@@ -53,7 +49,7 @@ def with_source_order(df: DataFrame) -> DataFrame:
 
 def csv_header(spark: SparkSession, path: str) -> list[str]:
     """The column names in the first line of a CSV."""
-    return spark.read.text(path).first()[0].split(",")
+    return list(spark.read.csv(path, header=False).first())
 
 
 def read_log_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -83,8 +79,14 @@ def game_range(log: DataFrame, first: int, last: int) -> DataFrame:
 
 
 def union_logs(train: DataFrame, test: DataFrame) -> DataFrame:
-    """Train without its label, followed by test."""
-    return train.drop("winner").unionByName(test.drop("winner"), allowMissingColumns=True)
+    """Train without its label, followed by test: test's positions start after train's last,
+    so that positions stay unique over the joined log."""
+    last = train.agg(F.coalesce(F.max("seq") + 1, F.lit(0)).alias("_after"))
+    start = test.agg(F.coalesce(F.min("seq"), F.lit(0)).alias("_from"))
+    shift = last.crossJoin(start).select(F.greatest(F.col("_after") - F.col("_from"), F.lit(0)).alias("_shift"))
+    moved = test.drop("winner").crossJoin(F.broadcast(shift))  # one row
+    moved = moved.withColumn("seq", F.col("seq") + F.col("_shift")).drop("_shift")
+    return train.drop("winner").unionByName(moved, allowMissingColumns=True)
 
 
 def game_spine(df: DataFrame) -> DataFrame:

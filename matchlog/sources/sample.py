@@ -7,6 +7,7 @@ payload spelled from its value and property. One "minute" of game time is one da
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from matchlog.sources.readers import UnitCatalog
 
@@ -46,11 +47,20 @@ _CONTENTS = """CASE event_type
   END"""
 
 
-def match_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The match log of one data folder, one row per event."""
+_SOURCES = {"Camera": "view", "Right Click": "click", "Ability": "purchase", "Selection": "signup"}
+
+
+def match_log(spark: SparkSession, sf_dir: str, *events: str) -> DataFrame:
+    """The match log of one data folder, one row per event.
+
+    ``events`` keeps those of these types, by a filter on the stored column that reaches the
+    scan.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    if events:
+        rows = rows.where(F.col("event_type").isin(*[_SOURCES[e] for e in events]))
     return (
-        spark.read.parquet(f"{sf_dir}/events.parquet")
-        .selectExpr(
+        rows.selectExpr(
             "event_id",
             "user_id",
             "event_type",

@@ -1,4 +1,5 @@
 import __spark_entry__ as contract
+from matchlog.queries import QUERIES
 
 
 def test_entry(spark):
@@ -10,7 +11,7 @@ def test_keys():
     queries, statements = contract.queries(), contract.oracle_sql()
     assert set(statements) <= set(queries) and len(queries) > 50
     # only fitted models have no SQL
-    assert set(queries) - set(statements) == {
+    assert set(QUERIES) - set(statements) == {
         "map_clusters", "unit_pca", "gbt_scores", "rf_depth_sweep", "feature_importance",
         "learning_curve", "cv_search",
     }
