@@ -18,9 +18,10 @@ sequence as one; none: empty). Texts with 100 * intersection >= 75 * union are l
    most similar candidate; then, the components of those links known, every candidate pair
    between two components. So each candidate pair ends inside one component or refuted.
 6. The classes that met another are put into the same buckets again, now ordered by further
-   entries of the collections, so that the likest stand side by side, and those next to each
-   other from two components are verified. This is repeated, with other entries, until a
-   round links nothing.
+   entries of the collections, so that the likest stand side by side, and each is verified
+   with the nearest of the ``lags`` before it that is of another component and of a size
+   that allows the similarity; ``rounds`` times,
+   each with other entries, so that the work doesn't depend on what is found.
 
 A pair at exactly 0.75 shares no table with a chance of 0.0012 at half = 10, width = 2 (each
 entry matches at 0.75 ** 2; one in each collection must); at 0.85 of 1e-5.
@@ -46,6 +47,7 @@ from matchlog.session import materialize
 
 SHINGLE, PERCENT = 5, 75
 HALF, WIDTH = 10, 2
+ROUNDS = 3
 #: Of 2 * HALF * WIDTH = 40 values; the chance to be below it is 3e-4 for a pair at 0.75.
 LEAST_AGREEING = 20
 
@@ -138,16 +140,22 @@ def first_met(classes: DataFrame, half: int) -> DataFrame:
 def next_met(classes: DataFrame, half: int, turn: int, lags: int = 2) -> DataFrame:
     """Distinct (a, b) of classes near each other in a bucket, by further entries, that are of
     different components; ``classes`` has a column root."""
-    keys = table_keys(classes, half, F.col("root"))
+    keys = table_keys(classes, half, F.col("root"), F.col("n_shingles").alias("size"))
     further = [
         F.shiftright(F.get("entries", F.pmod(F.col(f"t.{side}") + turn + k, F.lit(half)).cast("int") + base), 33).cast("int").alias(f"e{side}{k}")
         for k in range(3) for side, base in (("i", 0), ("j", half))
     ]
-    keys = keys.select("class", "root", "key", *further)
+    keys = keys.select("class", "root", "size", "key", *further)
     bucket = Window.partitionBy("key").orderBy(*[f"e{side}{k}" for k in range(3) for side in "ij"], "class")
-    near = F.array(*[F.lag(F.struct("class", "root"), n + 1).over(bucket) for n in range(lags)])
-    met = keys.select("class", "root", near.alias("near")).select("class", F.explode(F.filter("near", lambda x: x.isNotNull() & (x["root"] != F.col("root")))).alias("x"))
-    return _pairs(met.select("class", F.col("x.class").alias("other")))
+    near = F.array(*[F.lag(F.struct("class", "root", "size"), n + 1).over(bucket) for n in range(lags)])
+    other = lambda x: x.isNotNull() & (x["root"] != F.col("root")) & _sizes_fit(x["size"], F.col("size"))
+    met = keys.select("class", "root", "size", near.alias("near")).select("class", F.get(F.filter("near", other), F.lit(0)).alias("x"))
+    return _pairs(met.filter("x is not null").select("class", F.col("x.class").alias("other")))
+
+
+def _sizes_fit(a: F.Column, b: F.Column) -> F.Column:
+    """A union is at least as large as the larger set, an intersection at most as the smaller."""
+    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
 def _pairs(met: DataFrame) -> DataFrame:
@@ -161,8 +169,7 @@ def agreeing(met: DataFrame, classes: DataFrame) -> DataFrame:
     left = marks.select(F.col("class").alias("a"), F.col("marks").alias("marks_a"), F.col("n_shingles").alias("n_a"))
     right = marks.select(F.col("class").alias("b"), F.col("marks").alias("marks_b"), F.col("n_shingles").alias("n_b"))
     alike = met.join(left, "a").join(right, "b")
-    # a union is at least as large as the larger set
-    alike = alike.filter(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
+    alike = alike.filter(_sizes_fit(F.col("n_a"), F.col("n_b")))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,7 +233,7 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", value: str = "text", half: int = HALF, width: int = WIDTH, least_agreeing: int = LEAST_AGREEING) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", value: str = "text", half: int = HALF, width: int = WIDTH, least_agreeing: int = LEAST_AGREEING, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, group, text_key) of each row; ``group`` is null
     for a row alone."""
     spark = docs.sparkSession
@@ -253,7 +260,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", value: str = "text", h
         if not more.isEmpty():
             links = materialize(links.union(more))
             first = components(links)
-        elif turn:
+        if turn == rounds:
             break
         turn += 1
         rooted = involved.join(first.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
