@@ -10,8 +10,9 @@ sequence as one; none: empty). Texts with 100 * intersection >= 75 * union are l
    second. 2 * half * width MinHash values serve half ** 2 tables, which would take
    half ** 2 * 2 * width of them by plain banding.
 4. In each bucket, ordered by a hash of the class, a class becomes a candidate with the first
-   one and with the one before it: two rows at most for each key, whatever the bucket's size,
-   and mostly the same few for copies that meet in many tables. Candidates whose MinHash
+   one and with the one before it, if their sizes allow the similarity: two rows at most for
+   each key, whatever the bucket's size, and mostly the same few for copies that meet in many
+   tables. Candidates whose MinHash
    values agree too rarely for a similarity of 0.75 (chance 3e-4 for a pair at 0.75)
    are left out.
 5. Candidates are verified on full sets, made again from the texts: first each class with its
@@ -21,7 +22,8 @@ sequence as one; none: empty). Texts with 100 * intersection >= 75 * union are l
    entries of the collections, so that the likest stand side by side, and each is verified
    with the nearest of the ``lags`` before it that is of another component and of a size
    that allows the similarity; ``rounds`` times,
-   each with other entries, so that the work doesn't depend on what is found.
+   each with other entries, so that the work doesn't depend on what is found. A pair that
+   any earlier step has met is not taken up again.
 
 A pair at exactly 0.75 shares no table with a chance of 0.0012 at half = 10, width = 2 (each
 entry matches at 0.75 ** 2; one in each collection must); at 0.85 of 1e-5.
@@ -130,11 +132,14 @@ def table_keys(classes: DataFrame, half: int, *more: F.Column) -> DataFrame:
 
 
 def first_met(classes: DataFrame, half: int) -> DataFrame:
-    """Distinct (a, b), a < b: each class with the first and the one before it in its buckets."""
+    """Distinct (a, b, fits), a < b: each class with the first and the one before it in its
+    buckets, and whether their sizes allow the similarity."""
     bucket = Window.partitionBy("key").orderBy(F.xxhash64("class"), "class")
-    keys = table_keys(classes, half).select("class", "key")
-    met = keys.select("class", F.first("class").over(bucket).alias("first"), F.lag("class").over(bucket).alias("before")).filter(F.col("before").isNotNull())
-    return _pairs(met.select("class", F.explode(F.array("first", "before")).alias("other")))
+    keys = table_keys(classes, half, F.col("n_shingles").alias("size")).select("class", "size", "key")
+    this = F.struct("class", "size")
+    met = keys.select("class", "size", F.first(this).over(bucket).alias("first"), F.lag(this).over(bucket).alias("before")).filter("before is not null")
+    met = met.select("class", "size", F.explode(F.array("first", "before")).alias("x"))
+    return _pairs(met.select("class", F.col("x.class").alias("other"), _sizes_fit(F.col("x.size"), F.col("size")).alias("fits")), "fits")
 
 
 def next_met(classes: DataFrame, half: int, turn: int, lags: int = 2) -> DataFrame:
@@ -158,18 +163,15 @@ def _sizes_fit(a: F.Column, b: F.Column) -> F.Column:
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
-def _pairs(met: DataFrame) -> DataFrame:
-    return met.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
+def _pairs(met: DataFrame, *more: str) -> DataFrame:
+    return met.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b"), *more).distinct()
 
 
 def agreeing(met: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b, agreeing): how many MinHash values of each pair agree; pairs whose sizes rule
-    the similarity out are left out."""
-    marks = classes.select("class", "marks", "n_shingles")
-    left = marks.select(F.col("class").alias("a"), F.col("marks").alias("marks_a"), F.col("n_shingles").alias("n_a"))
-    right = marks.select(F.col("class").alias("b"), F.col("marks").alias("marks_b"), F.col("n_shingles").alias("n_b"))
+    """(a, b, agreeing): how many MinHash values of each pair agree."""
+    left = classes.select(F.col("class").alias("a"), F.col("marks").alias("marks_a"))
+    right = classes.select(F.col("class").alias("b"), F.col("marks").alias("marks_b"))
     alike = met.join(left, "a").join(right, "b")
-    alike = alike.filter(_sizes_fit(F.col("n_a"), F.col("n_b")))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,7 +245,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", value: str = "text", h
     )
     classes = materialize(grouped.withColumn("class", F.monotonically_increasing_id()))
     met = materialize(first_met(classes, half))
-    found = materialize(agreeing(met, classes).filter(F.col("agreeing") >= least_agreeing))
+    found = materialize(agreeing(met.filter("fits").select("a", "b"), classes).filter(F.col("agreeing") >= least_agreeing))
     # one text of each class that met another, found by its digest
     wanted = met.select(F.col("a").alias("class")).union(met.select(F.col("b").alias("class"))).distinct()
     involved = materialize(wanted.join(classes, "class"))
@@ -254,7 +256,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", value: str = "text", h
     links = materialize(verified(best.distinct(), texts))
     first, turn = components(links), 0
     open_pairs = materialize(_between(found.select("a", "b"), first))
-    tested = open_pairs
+    tested = met.select("a", "b")
     while True:
         more = materialize(verified(open_pairs, texts))
         if not more.isEmpty():
@@ -264,9 +266,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", value: str = "text", h
             break
         turn += 1
         rooted = involved.join(first.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-        near = next_met(rooted, half, turn).join(tested, ["a", "b"], "left_anti")
+        near = materialize(next_met(rooted, half, turn).join(tested, ["a", "b"], "left_anti"))
         open_pairs = materialize(agreeing(near, involved).filter(F.col("agreeing") >= least_agreeing).select("a", "b"))
-        tested = tested.union(open_pairs)
+        tested = tested.union(near)
     named = classes.select("class", "set_key", "least").join(first.withColumnRenamed("node", "class"), "class", "left")
     named = named.withColumn("group", F.coalesce("root", "class"))
     heads = named.groupBy("group").agg(F.min("least").alias("component_id"), F.count("*").alias("classes"))
