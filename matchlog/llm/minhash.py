@@ -18,12 +18,14 @@ sequence as one; none: empty). Texts with 100 * intersection >= 75 * union are l
 5. Candidates are verified on full sets, made again from the texts: first each class with its
    most similar candidate; then, the components of those links known, every candidate pair
    between two components. So each candidate pair ends inside one component or refuted.
-6. The classes that met another are put into the same buckets again, now ordered by further
-   entries of the collections, so that the likest stand side by side, and each is verified
-   with the nearest of the ``lags`` before it that is of another component and of a size
-   that allows the similarity; ``rounds`` times,
-   each with other entries, so that the work doesn't depend on what is found. A pair that
-   any earlier step has met is not taken up again.
+6. What step 4 left out of the buckets is made up for: in each bucket that still holds several
+   components, every member outside the bucket's largest component is compared with every
+   member of another component whose size allows the similarity, by the MinHash values of
+   both. That goes in squares of ``square`` members a side, each a group of its own, so that no
+   task holds a whole bucket. Pairs that agree often enough and weren't verified yet are
+   verified as in step 5. So every pair of classes that share a bucket ends inside one
+   component or refuted, whatever the bucket's size. The work grows with the members that
+   are not in the largest component times the members of the bucket.
 
 A pair at exactly 0.75 shares no table with a chance of 0.0012 at half = 10, width = 2 (each
 entry matches at 0.75 ** 2; one in each collection must); at 0.85 of 1e-5.
@@ -49,7 +51,7 @@ from matchlog.session import materialize
 
 SHINGLE, PERCENT = 5, 75
 HALF, WIDTH = 10, 2
-ROUNDS = 3
+SQUARE = 4096
 #: Of 2 * HALF * WIDTH = 40 values; the chance to be below it is 3e-4 for a pair at 0.75.
 LEAST_AGREEING = 20
 
@@ -142,20 +144,79 @@ def first_met(classes: DataFrame, half: int) -> DataFrame:
     return _pairs(met.select("class", F.col("x.class").alias("other"), _sizes_fit(F.col("x.size"), F.col("size")).alias("fits")), "fits")
 
 
-def next_met(classes: DataFrame, half: int, turn: int, lags: int = 2) -> DataFrame:
-    """Distinct (a, b) of classes near each other in a bucket, by further entries, that are of
-    different components; ``classes`` has a column root."""
-    keys = table_keys(classes, half, F.col("root"), F.col("n_shingles").alias("size"))
-    further = [
-        F.shiftright(F.get("entries", F.pmod(F.col(f"t.{side}") + turn + k, F.lit(half)).cast("int") + base), 33).cast("int").alias(f"e{side}{k}")
-        for k in range(3) for side, base in (("i", 0), ("j", half))
-    ]
-    keys = keys.select("class", "root", "size", "key", *further)
-    bucket = Window.partitionBy("key").orderBy(*[f"e{side}{k}" for k in range(3) for side in "ij"], "class")
-    near = F.array(*[F.lag(F.struct("class", "root", "size"), n + 1).over(bucket) for n in range(lags)])
-    other = lambda x: x.isNotNull() & (x["root"] != F.col("root")) & _sizes_fit(x["size"], F.col("size"))
-    met = keys.select("class", "root", "size", near.alias("near")).select("class", F.get(F.filter("near", other), F.lit(0)).alias("x"))
-    return _pairs(met.filter("x is not null").select("class", F.col("x.class").alias("other")))
+def left_to_meet(classes: DataFrame, half: int, least_agreeing: int, square: int = SQUARE) -> DataFrame:
+    """Distinct (a, b, agreeing), a < b: all pairs of classes of different components that share
+    a bucket, whose sizes allow the similarity and whose MinHash values agree often enough;
+    ``classes`` has a column root."""
+    keys = table_keys(classes, half, F.col("root"), F.col("n_shingles").alias("size"), F.col("marks"))
+    keys = keys.select("class", "root", "size", "marks", "key").repartition("key")
+    own, bucket = Window.partitionBy("key", "root"), Window.partitionBy("key")
+    keys = keys.withColumn("n_root", F.count("*").over(own))
+    keys = keys.withColumn("main", F.max(F.struct("n_root", "root")).over(bucket)).withColumn("n", F.count("*").over(bucket))
+    keys = keys.filter(F.col("n") > F.col("main.n_root")).withColumn("probe", F.col("root") != F.col("main.root"))
+    across, down = (F.ceil(c / square).cast("int") for c in (F.col("n"), F.col("n") - F.col("main.n_root")))
+    place = F.xxhash64("class", F.lit(1))
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    as_target = keys.select("class", "root", "size", "marks", "key", F.lit(False).alias("probe"), F.pmod(place, across).cast("int").alias("x"), F.explode(every(down)).alias("y"))
+    as_probe = keys.filter("probe").select("class", "root", "size", "marks", "key", "probe", F.explode(every(across)).alias("x"), F.pmod(place, down).cast("int").alias("y"))
+    dealt = as_target.union(as_probe).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, pairs, size = [], [], 0
+        for batch in batches:
+            if batch.num_rows:
+                group, rest = _ends_of_groups([*held, batch])
+                for each in group:
+                    pairs.append(_agreeing_across(*each, least_agreeing))
+                    size += len(pairs[-1])
+                held = [rest]
+                if size >= 1 << 16:
+                    yield _distinct_pairs(pairs)
+                    pairs, size = [], 0
+        if held:
+            for each in _ends_of_groups(held, True)[0]:
+                pairs.append(_agreeing_across(*each, least_agreeing))
+        if pairs:
+            yield _distinct_pairs(pairs)
+
+    met = dealt.select("class", "root", "size", "marks", "probe", "key", "x", "y").mapInArrow(compare, "a long, b long, agreeing int")
+    return met.distinct()
+
+
+def _ends_of_groups(held: list[pa.RecordBatch], last: bool = False) -> tuple[Iterator[tuple[np.ndarray, ...]], pa.RecordBatch]:
+    """The (class, root, size, marks, probe) of each whole group (key, x, y), and the rows after them."""
+    whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    place = [whole.column(k).to_numpy(zero_copy_only=False) for k in (5, 6, 7)]
+    starts = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in place])]))
+    if last:
+        starts = np.append(starts, whole.num_rows)
+    done = int(starts[-1])
+    columns = [whole.column(k).to_numpy(zero_copy_only=False)[:done] for k in (0, 1, 2, 4)]
+    marks = np.frombuffer(b"".join(whole.column(3).slice(0, done).to_pylist()), np.uint8).reshape(done, -1) if done else np.zeros((0, 1), np.uint8)
+    groups = ((*(c[a:b] for c in columns[:3]), marks[a:b], columns[3][a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True))
+    return groups, whole.slice(done)
+
+
+def _agreeing_across(classes: np.ndarray, roots: np.ndarray, sizes: np.ndarray, marks: np.ndarray, probe: np.ndarray, least_agreeing: int) -> np.ndarray:
+    """Rows (a, b, agreeing) of probes with targets of another component."""
+    probes, targets = np.flatnonzero(probe), np.flatnonzero(~probe)
+    out = [np.zeros((0, 3), np.int64)]
+    step = max(1, 100_000 // max(1, len(targets)))
+    for at in range(0, len(probes), step):
+        p = probes[at : at + step]
+        small, large = np.minimum(sizes[p][:, None], sizes[targets]), np.maximum(sizes[p][:, None], sizes[targets])
+        i, j = np.nonzero((roots[p][:, None] != roots[targets]) & (100 * small >= PERCENT * large))
+        i, j = p[i], targets[j]
+        agree = (marks[i] == marks[j]).sum(axis=1)
+        keep = agree >= least_agreeing
+        x, y = classes[i[keep]], classes[j[keep]]
+        out.append(np.stack([np.minimum(x, y), np.maximum(x, y), agree[keep]], axis=1))
+    return np.concatenate(out)
+
+
+def _distinct_pairs(pairs: list[np.ndarray]) -> pa.RecordBatch:
+    rows = np.unique(np.concatenate(pairs), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2].astype(np.int32))], ["a", "b", "agreeing"])
 
 
 def _sizes_fit(a: F.Column, b: F.Column) -> F.Column:
@@ -235,7 +296,7 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", value: str = "text", half: int = HALF, width: int = WIDTH, least_agreeing: int = LEAST_AGREEING, rounds: int = ROUNDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", value: str = "text", half: int = HALF, width: int = WIDTH, least_agreeing: int = LEAST_AGREEING, square: int = SQUARE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, group, text_key) of each row; ``group`` is null
     for a row alone."""
     spark = docs.sparkSession
@@ -254,21 +315,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", value: str = "text", h
     best = found.select("a", "b", "agreeing").union(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "agreeing"))
     best = best.groupBy("a").agg(F.max(F.struct("agreeing", "b")).alias("best")).select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b"))
     links = materialize(verified(best.distinct(), texts))
-    first, turn = components(links), 0
-    open_pairs = materialize(_between(found.select("a", "b"), first))
-    tested = met.select("a", "b")
-    while True:
-        more = materialize(verified(open_pairs, texts))
-        if not more.isEmpty():
-            links = materialize(links.union(more))
-            first = components(links)
-        if turn == rounds:
-            break
-        turn += 1
-        rooted = involved.join(first.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-        near = materialize(next_met(rooted, half, turn).join(tested, ["a", "b"], "left_anti"))
-        open_pairs = materialize(agreeing(near, involved).filter(F.col("agreeing") >= least_agreeing).select("a", "b"))
-        tested = tested.union(near)
+    first = components(links)
+    links, first = _linked_further(_between(found.select("a", "b"), first), texts, links, first)
+    rooted = involved.join(first.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    near = materialize(left_to_meet(rooted, half, least_agreeing, square).join(found.select("a", "b"), ["a", "b"], "left_anti"))
+    # the most similar pair of each two components, then all that are still between two
+    x = rooted.select(F.col("class").alias("a"), F.col("root").alias("x"))
+    y = rooted.select(F.col("class").alias("b"), F.col("root").alias("y"))
+    sides = near.join(x, "a").join(y, "b").groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    best = materialize(sides.agg(F.max(F.struct("agreeing", "a", "b")).alias("best")).select("best.a", "best.b"))
+    links, first = _linked_further(best, texts, links, first)
+    rest = near.select("a", "b").join(best, ["a", "b"], "left_anti")
+    links, first = _linked_further(_between(rest, first), texts, links, first)
     named = classes.select("class", "set_key", "least").join(first.withColumnRenamed("node", "class"), "class", "left")
     named = named.withColumn("group", F.coalesce("root", "class"))
     heads = named.groupBy("group").agg(F.min("least").alias("component_id"), F.count("*").alias("classes"))
@@ -280,6 +338,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", value: str = "text", h
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "group", "text_key")
 
 
+def _linked_further(pairs: DataFrame, texts: DataFrame, links: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links and components with those of the pairs that are similar enough."""
+    more = materialize(verified(pairs, texts))
+    if more.isEmpty():
+        return links, labels
+    links = materialize(links.union(more))
+    return links, components(links)
+
+
 def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """The pairs (a, b) of two components."""
     x = labels.select(F.col("node").alias("a"), F.col("root").alias("x"))

@@ -63,6 +63,44 @@ def test_near_duplicates(docs):
     assert {k: (r.n_shingles, r.component_id, r.kept) for k, r in found.items()} == {k: (len(s), top(k), top(k) == k) for k, s in rows.items()}
 
 
+def components_of(rows):
+    root = {k: k for k in rows}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in rows:
+        for b in rows:
+            both = len(rows[a] & rows[b])
+            if a < b and 100 * both >= 75 * len(rows[a] | rows[b]) and top(a) != top(b):
+                root[max(top(a), top(b))] = min(top(a), top(b))
+    return {k: top(k) for k in rows}
+
+
+@pytest.mark.parametrize("options", [{}, {"square": 16}])
+def test_near_duplicates_under_one_template(make_docs, options):
+    """Different texts with one long passage share one large bucket, in which links stand apart."""
+    passage = [f"common{i}" for i in range(180)]
+    rows = []
+    for i in range(150):
+        own = [f"own{i}x{k}" for k in range(60)]
+        rows.append((i, " ".join(passage + own)))
+        if i % 3 == 0:
+            rows.append((1000 + i, " ".join(passage + own[:50] + [f"more{i}x{k}" for k in range(10)])))
+    sets, met = {k: sets_of(t) for k, t in rows}, {}
+    for k, t in rows:
+        data = np.frombuffer(t.encode(), np.uint8)
+        (values,) = minhash.shingle_sets(data, np.array([0, len(data)]))
+        met.setdefault(minhash.signature(values, minhash.hash_seeds(2)).tobytes(), {})[k] = sets[k]
+    assert max(len(m) for m in met.values()) > 20
+    want = {k: v for m in met.values() for k, v in components_of(m).items()}
+    assert sum(k != v for k, v in want.items()) > 15
+    found = by_id(minhash.near_duplicates(make_docs(rows), half=1, width=1, least_agreeing=2, **options))
+    assert {k: r.component_id for k, r in found.items()} == want
+
+
 def test_near_duplicates_odd(make_docs):
     found = [tuple(r) for r in minhash.near_duplicates(make_docs(ODD)).select("doc_id", "n_shingles", "component_id", "kept").collect()]
     assert sorted(found, key=str) == sorted(
