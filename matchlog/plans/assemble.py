@@ -9,7 +9,7 @@ from matchlog.functions import scalar
 from matchlog.operators import ordered, shaping
 from matchlog.plans import ability, actions, camera, units
 from matchlog.session import materialize
-from matchlog.sources.readers import UnitCatalog
+from matchlog.sources.readers import UnitCatalog, game_spine
 from matchlog.sources.schema import PLAYERS
 
 KEYS = ("game_id", "winner")
@@ -22,12 +22,13 @@ def feature_tables(
     last_rows: int = camera.LAST_ROWS,
     block_rows: int = ordered.BLOCK_ROWS,
 ) -> dict[str, DataFrame]:
-    """The feature tables by name, each with one row per game.
+    """The feature tables by name, each with one row per game; ``games`` lists those of the log.
 
     Positions are parsed once and kept as a narrow table for the three tables made of them.
     """
     moves = materialize(camera.points(log))
     return {
+        "games": game_spine(log),
         "unit_counts": units.unit_counts_dense(log, catalog, block_rows=block_rows),
         "ability": ability.game_rows(log, catalog.frame(log.sparkSession), maps),
         "camera_homeaway": camera.home_away(moves, last_rows, block_rows),
@@ -53,12 +54,16 @@ def minute_columns() -> list[str]:
 
 
 def join_tables(tables: dict[str, DataFrame], extra: tuple[DataFrame, ...] = ()) -> DataFrame:
-    """Unit counts of every game with the other tables; missing features become 0.
+    """Every game of the log or of the unit counts with all tables; missing features become 0.
 
-    ``extra`` takes further tables that come ready-made. The label is never filled.
+    ``extra`` takes further tables that come ready-made. The label is never filled. Without a
+    table ``games`` the unit counts alone say which games there are.
     """
-    others = [t for n, t in tables.items() if n != "unit_counts"]
-    joined = shaping.star_join(tables["unit_counts"], [*others, *extra])
+    others = [t for n, t in tables.items() if n not in ("games", "unit_counts")]
+    spine = tables["unit_counts"]
+    if "games" in tables:
+        spine = tables["games"].join(spine, "game_id", "full")
+    joined = shaping.star_join(spine, [*others, *extra])
     return scalar.fill_features(joined, KEYS)
 
 

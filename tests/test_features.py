@@ -217,6 +217,17 @@ def test_final_matrix(make_log, spark):
     assert "winner" not in assemble.feature_columns(train)
 
 
+def test_final_matrix_of_games_without_selection(make_log, spark):
+    played = [(g, p, float(p + 1), "Ability", "(1) - TrainMarine") for g in (-3, 0, 5) for p in (0, 1)]
+    log = make_log([(0, 0, 0.5, "Selection", ""), *played, (7, 0, 0.1, "Camera", "at (1, 1)")])
+    maps = spark.createDataFrame([], "game_id INT, map INT")
+    tables = assemble.feature_tables(log, UNITS, maps)
+    train = assemble.final_matrix(tables, UNITS).collect()
+    assert sorted((r.game_id, r.winner, r.train_sum_0, r.train_sum_1) for r in train) == [(g, 1, 1, 1) for g in (-3, 0, 5)]
+    full = assemble.final_matrix(tables, UNITS, labeled=False).collect()
+    assert sorted(r.game_id for r in full) == [-3, 0, 5, 7]
+
+
 def test_near_ratios(spark):
     near = spark.createDataFrame(
         [(0, 3, 1, 0, 0)],
