@@ -7,9 +7,13 @@ consecutive positions holds at most that many rows. Ordered work runs inside
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchlog.session import materialize
+
 BLOCK_ROWS = 1_000_000
 BLOCK = "_block"
 
@@ -121,6 +125,56 @@ def with_rank(
     )
 
 
+def exact_rank(
+    df: DataFrame,
+    keys: list[str],
+    order: list[Column],
+    name: str = "position",
+    total: str | None = None,
+    split_ties: bool = False,
+) -> DataFrame:
+    """Add the 1-based rank of each row within ``keys`` (nulls are a key of their own), and
+    with ``total`` the number of the key's rows.
+
+    Rows are dealt by ranges of (keys, order) and sorted inside each partition, however many
+    rows a key has; Spark takes the limits of the ranges from a sample of each partition. A
+    key's rows then fill stretches of consecutive partitions: a row's rank is its place in
+    the partition, less that of the key's first row there, plus the key's rows in the
+    partitions before, which are one count per (key, partition).
+
+    Equal (keys, order) share a partition. ``split_ties`` numbers them apart first, so that
+    a row repeated without end spreads too; ``df`` must then read its rows in a fixed order,
+    as a scan does.
+    """
+    given = df.columns
+    by = [F.col(k).asc() for k in keys] + order
+    if split_ties:
+        df = df.withColumn("_tie", F.monotonically_increasing_id())
+        by = [*by, F.col("_tie")]
+    placed = materialize(
+        df.repartitionByRange(*by)
+        .sortWithinPartitions(*by)
+        .withColumn("_slot", F.monotonically_increasing_id())
+        .drop("_tie")
+    ).withColumn("_part", F.shiftright("_slot", 33))
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        placed.groupBy(*keys, "_part")
+        .agg(F.min("_slot").alias("_first"), F.count(F.lit(1)).alias("_n"))
+        .select(
+            *[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)],
+            F.col("_part").alias("_at"),
+            (F.coalesce(F.sum("_n").over(before), F.lit(0)) + 1 - F.col("_first")).alias("_shift"),
+            *([F.sum("_n").over(whole).alias(total)] if total else []),
+        )
+    )
+    same = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
+    return placed.join(starts, reduce(Column.__and__, same, F.col("_part") == F.col("_at"))).select(
+        *given, (F.col("_slot") + F.col("_shift")).alias(name), *([total] if total else [])
+    )
+
+
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str) -> DataFrame:
     """The first ``k`` rows of each key with their rank.
 

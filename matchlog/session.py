@@ -54,3 +54,18 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/matchlog-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``materialize`` wrote, once nothing reads it any more.
+
+    Only tables of that name in the shared folder are touched.
+    """
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = shared_folder(spark).rstrip("/")
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        name = path.rsplit("/", 1)[1]
+        if name.startswith("matchlog-"):
+            place = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+            place.getFileSystem(conf).delete(place, True)

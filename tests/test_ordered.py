@@ -1,5 +1,6 @@
 """Block-wise operators equal the plain ones, whatever the block size and row order."""
 
+import os
 import random
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from matchlog.operators import ordered
+from matchlog.session import discard, materialize
 
 
 @pytest.fixture(scope="module")
@@ -76,3 +78,37 @@ def test_rank_filter_is_cut_before_the_shuffle(rows):
     plan = ordered.top_per_key(rows, ["k"], [F.asc("seq")], 2, "place")
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in text
+
+
+def test_exact_rank_splits_large_keys_and_ties(spark):
+    rows = [(None if i % 7 == 0 else "hot" if i % 3 else f"k{i % 5}", (i * 37) % 50) for i in range(3000)]
+    df = spark.createDataFrame(rows, "key string, v int").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = ordered.exact_rank(materialize(df), ["key"], [F.col("v")], "at", "n", split_ties=True).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(((r.key, r.v) for r in got), key=str) == sorted(rows, key=str)
+    for key in {k for k, _ in rows}:
+        mine = sorted((r.at, r.v, r.n) for r in got if r.key == key)
+        assert [m[0] for m in mine] == list(range(1, len(mine) + 1))
+        assert [m[1] for m in mine] == sorted(m[1] for m in mine)
+        assert {m[2] for m in mine} == {len(mine)}
+
+
+def test_exact_rank_without_keys_or_rows(spark):
+    df = spark.range(1000).withColumn("v", -F.col("id"))
+    got = ordered.exact_rank(df, [], [F.col("v")], "at").collect()
+    assert all(r["at"] == 1000 - r.id for r in got) and len(got) == 1000
+    assert ordered.exact_rank(df.where("id < 0"), [], [F.col("v")], "at", "n").count() == 0
+
+
+def test_discard_deletes_only_materialised_tables(spark, tmp_path):
+    kept = str(tmp_path / "kept")
+    spark.range(3).write.parquet(kept)
+    discard(spark.read.parquet(kept))
+    assert spark.read.parquet(kept).count() == 3
+    table = materialize(spark.range(3))
+    path = table.inputFiles()[0].removeprefix("file://")
+    discard(table)
+    assert not os.path.exists(path)
