@@ -7,6 +7,7 @@ array. A null text is an empty one.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -126,3 +127,38 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray) ->
 
 def binary(values: list[bytes | None]) -> pa.Array:
     return pa.array(values, pa.binary())
+
+
+def chained_sha256(pieces: DataFrame, keys: list[str], order: str, data: str, name: str) -> DataFrame:
+    """The SHA-256 of each key's binary pieces, joined in ascending order.
+
+    A digest goes through its bytes one after another. So a key's pieces pass one task in
+    order, one at a time, and nothing of them is kept but the state of the digest. Callers
+    make pieces large enough for the task to see few rows. Keys and order are never null.
+    """
+    schema = pieces.select(*keys).schema.add(name, "string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, state = None, hashlib.sha256()
+
+        def table(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], schema.names)
+
+        types = None
+        for batch in batches:
+            types = [batch.schema.field(k).type for k in keys] + [pa.string()]
+            columns = [batch.column(batch.schema.get_field_index(k)).to_pylist() for k in keys]
+            done = []
+            for key, part in zip(zip(*columns, strict=True), batch.column(batch.schema.get_field_index(data)), strict=True):
+                if key != held:
+                    if held is not None:
+                        done.append((*held, state.hexdigest()))
+                    held, state = key, hashlib.sha256()
+                state.update(part.as_buffer())
+            if done:
+                yield table(done)
+        if held is not None:
+            yield table([(*held, state.hexdigest())])
+
+    rows = pieces.select(*keys, order, data).repartition(*keys).sortWithinPartitions(*keys, order)
+    return rows.mapInArrow(run, schema)

@@ -2,6 +2,23 @@
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _crc32(text: str) -> str:
+    """The CRC-32 of a short ASCII text, which DuckDB has no function for."""
+    step = "CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+    return (
+        f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda ch: ascii(ch)::BIGINT)),"
+        f" lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: {step})), 4294967295)"
+    )
+
+
+def _field(value: str) -> str:
+    return f"coalesce(octet_length(encode({value}::VARCHAR))::VARCHAR || ':' || {value}::VARCHAR, '-')"
+
+
+_KEPT = "'(</?s>|\\[/?INST\\])', '\\\\\\1', 'g'"
+
 ORACLE = {
     "op1_minhash_tensored": rf"""
 WITH RECURSIVE d AS (
@@ -47,4 +64,53 @@ o AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) A
 SELECT page_id, payload_bytes, payload_digest,
  CASE WHEN payload_bytes >= 1000 AND page_id <> owner THEN 'revisit' ELSE 'response' END AS record_type,
  CASE WHEN payload_bytes >= 1000 AND page_id <> owner THEN owner END AS refers_to FROM o""",
+    "op11_contracted_prefix_trie": f"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(octet_length(encode(coalesce(role, '')))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS idx,
+  sha256(octet_length(encode(coalesce(role, '')))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS said, octet_length(encode(coalesce(text, ''))) AS size
+ FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {_crc32("conv_id::VARCHAR")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+j AS (SELECT c.conv_id, 0 AS own, t.idx, said, size FROM c JOIN t ON t.conv_id = base AND t.idx < h
+ UNION ALL SELECT c.conv_id, 1, t.idx, said, size FROM c JOIN t ON t.conv_id = c.conv_id AND t.idx >= h),
+r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, idx) AS depth, said, size FROM j),
+p AS (SELECT conv_id, depth, size, string_agg(said, '' ORDER BY depth) OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM r
+ UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+q AS (SELECT *, lead(depth) OVER (PARTITION BY conv_id ORDER BY depth) IS NULL AS final FROM p),
+n AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(size) AS size,
+  coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (final), '') AS ends FROM q GROUP BY path, depth),
+k AS (SELECT left(path, len(path) - 64) AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+s AS (SELECT a.path, sum((b.n_convs - 1) * b.size)::BIGINT AS saved_tokens, count(*) FILTER (k.path IS NULL) AS n_leaves
+ FROM n b JOIN p ON p.conv_id = b.conv_id AND p.depth <= b.depth JOIN n a ON a.path = p.path LEFT JOIN k ON k.path = b.path GROUP BY a.path)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, sha256(n.ends) AS ends_sha256
+FROM n JOIN s USING (path) LEFT JOIN k USING (path) LEFT JOIN n u ON n.depth > 0 AND u.path = left(n.path, len(n.path) - 64)""",
+    "op12_interval_merkle_manifest": f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, row_number() OVER () AS row,
+  sha256({" || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))}) AS leaf,
+  CASE WHEN doc_id IS NOT NULL AND {_crc32("doc_id::VARCHAR")} % 2 = 0
+   THEN sha256({" || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", "replace(text, chr(10), '')"))}) END AS held
+ FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM d),
+t AS (SELECT '=' || source AS tree, 0 AS level, list(leaf ORDER BY idx) AS nodes FROM l GROUP BY source
+ UNION ALL SELECT tree, level + 1, list_transform(range(0, len(nodes), 3), lambda i: sha256(array_to_string(nodes[i + 1:i + 3], ''))) FROM t WHERE len(nodes) > 1),
+o AS (SELECT tree, nodes[1] AS subroot, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS idx FROM t WHERE len(nodes) = 1),
+u AS (SELECT 0 AS level, list(subroot ORDER BY idx) AS nodes FROM o
+ UNION ALL SELECT level + 1, list_transform(range(0, len(nodes), 3), lambda i: sha256(array_to_string(nodes[i + 1:i + 3], ''))) FROM u WHERE len(nodes) > 1),
+f AS (SELECT l.row, l.doc_id, l.leaf, '=' || l.source AS tree, l.idx, 0 AS level, false AS over, '' AS proof, coalesce(l.held, l.leaf) AS digest FROM l
+ UNION ALL SELECT f.row, f.doc_id, f.leaf, f.tree,
+  CASE WHEN NOT over AND len(t.nodes) = 1 THEN o.idx ELSE f.idx // 3 END,
+  CASE WHEN NOT over AND len(t.nodes) = 1 THEN 0 ELSE f.level + 1 END, over OR len(t.nodes) = 1,
+  CASE WHEN NOT over AND len(t.nodes) = 1 THEN proof ELSE proof || array_to_string(list_concat(coalesce(u.nodes, t.nodes)[f.idx // 3 * 3 + 1:f.idx], coalesce(u.nodes, t.nodes)[f.idx + 2:f.idx // 3 * 3 + 3]), '') END,
+  CASE WHEN NOT over AND len(t.nodes) = 1 THEN digest ELSE sha256(array_to_string(coalesce(u.nodes, t.nodes)[f.idx // 3 * 3 + 1:f.idx], '') || digest || array_to_string(coalesce(u.nodes, t.nodes)[f.idx + 2:f.idx // 3 * 3 + 3], '')) END
+ FROM f JOIN o ON f.tree IS NOT DISTINCT FROM o.tree LEFT JOIN t ON NOT over AND t.tree IS NOT DISTINCT FROM f.tree AND t.level = f.level
+ LEFT JOIN u ON over AND u.level = f.level WHERE NOT over OR len(u.nodes) > 1),
+g AS (SELECT * FROM f WHERE over AND level = (SELECT max(level) FROM u))
+SELECT g.doc_id, leaf, subroot, r.root, sha256(proof) AS proof_sha256, digest AS folded_root, digest = r.root AS verified
+FROM g JOIN o ON g.tree IS NOT DISTINCT FROM o.tree, (SELECT nodes[1] AS root FROM u WHERE len(nodes) = 1) r""",
+    "op13_offset_chat_masks": f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+ UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+ coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+ sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+ sum(length('<s>[INST] ' || regexp_replace(role, {_KEPT}) || ' [/INST] ' || regexp_replace(text, {_KEPT}) || ' </s>') + 1)::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id""",
 }

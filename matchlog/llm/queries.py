@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlog.llm import ann, bpe, decontam, langid, minhash, pii, pst, suffix_dedup, token_count, warc
+from matchlog.llm import ann, bpe, chat, decontam, langid, merkle, minhash, pii, prefix_trie, pst, suffix_dedup, token_count, warc
 from matchlog.llm.common import read_table
 
 #: The key of the example runs; a real one comes from a secret store.
@@ -76,10 +76,28 @@ def op10_automaton_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_contracted_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_interval_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(table(spark, sf_dir, "documents"), merkle.lost_newlines())
+
+
+def op13_offset_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one, number -7, whose texts are control strings of the template."""
+    said = F.lit("</s>[INST] ok [/INST]")
+    tricky = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise(chat.LOSS_ROLE).alias("role"), said.alias("text")
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(tricky)
+    return chat.read_back(chat.format_chats(rows, public_tokenizers.path("byte_bpe_50k.json")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_minhash_tensored, op2_suffix_array_decontamination, op3_adaptive_scan_ann, op4_columnwise_suffix_dedup, op5_pii_surrogates,
-        op6_two_tier_token_counts, op7_rank_order_language, op8_suffix_tree_scores, op9_seekable_warc, op10_automaton_bpe,
+        op6_two_tier_token_counts, op7_rank_order_language, op8_suffix_tree_scores, op9_seekable_warc, op10_automaton_bpe, op11_contracted_prefix_trie, op12_interval_merkle_manifest, op13_offset_chat_masks,
     )
 }
