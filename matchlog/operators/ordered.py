@@ -66,62 +66,58 @@ def with_previous(
     return within.unionByName(heads)
 
 
-def mark_last(
-    rows: DataFrame,
-    summary: DataFrame,
-    keys: list[str],
-    n: int,
-    count: str,
-    order: str = "seq",
+def last_from(
+    rows: DataFrame, keys: list[str], n: int, order: str = "seq", fine: int = 1024
 ) -> DataFrame:
-    """Add ``is_last``: whether a row is among the last ``n`` of its key.
+    """The position from which on a row is among the last ``n`` of its key, for keys that
+    have more rows than that. ``rows`` carry their stretch; positions are unique.
 
-    ``rows`` carry their stretch; ``summary`` has one row per (key, stretch) with the
-    number of rows in ``count``. Other summary columns are kept.
+    The stretch in which the n-th last row lies is found from counts per stretch, then the
+    run of ``fine`` positions from counts per run in it, then the row among those few.
     """
-    later = Window.partitionBy(*keys).orderBy(F.desc(BLOCK)).rowsBetween(
-        Window.unboundedPreceding, -1
+    back = Window.partitionBy(*keys).orderBy(F.desc("_run")).rowsBetween(Window.unboundedPreceding, -1)
+
+    def reached(counts: DataFrame, left: Column) -> DataFrame:
+        """The run in which the last ``left`` rows begin, and how many of them it holds."""
+        later = counts.withColumn("_later", F.coalesce(F.sum("_n").over(back), F.lit(0)))
+        return later.where(
+            (F.col("_later") < left) & (F.col("_later") + F.col("_n") >= left)
+        ).withColumn("_left", left - F.col("_later"))
+
+    run = F.expr(f"`{order}` div {fine}")
+    per_run = rows.groupBy(*keys, BLOCK, run.alias("_run")).agg(F.count(F.lit(1)).alias("_n"))
+    per_block = per_run.groupBy(*keys, BLOCK).agg(F.sum("_n").alias("_n"))
+    total = F.sum("_n").over(Window.partitionBy(*keys))
+    full = per_block.withColumn("_all", total).where(F.col("_all") > n)
+    blocks = reached(full.withColumn("_run", F.col(BLOCK)), F.lit(n)).select(*keys, BLOCK, "_left")
+    runs = per_run.join(blocks.hint("shuffle_hash"), [*keys, BLOCK])
+    runs = reached(runs, F.col("_left")).select(*keys, BLOCK, "_run", "_left")
+    near = rows.select(*keys, BLOCK, order, run.alias("_run")).join(
+        runs.hint("shuffle_hash"), [*keys, BLOCK, "_run"]
     )
-    offsets = summary.withColumn("_later", F.coalesce(F.sum(count).over(later), F.lit(0))).drop(
-        count
-    )
-    newest = Window.partitionBy(*keys, BLOCK).orderBy(F.desc(order))
-    # numbered before the join, which then finds its input sorted
-    return (
-        rows.withColumn("_back", F.row_number().over(newest))
-        .join(offsets, [*keys, BLOCK])
-        .withColumn("is_last", F.col("_later") + F.col("_back") <= n)
-        .drop("_later", "_back")
+    newest = F.sort_array(F.collect_list(order), asc=False)
+    return near.groupBy(*keys).agg(
+        F.element_at(newest, F.max("_left").cast("int")).alias("_from")
     )
 
 
-def with_rank(
-    df: DataFrame,
+def mark_last(
+    rows: DataFrame,
+    summary: DataFrame,
     keys: list[str],
-    order: list[Column],
-    bucket: Column,
-    name: str = "position",
+    n: int,
+    order: str = "seq",
 ) -> DataFrame:
-    """Add the 1-based rank of each row within ``keys``, without one task per key.
+    """Add ``is_last``: whether a row is among the last ``n`` of its key.
 
-    ``bucket`` must grow with ``order`` and split large keys; only bucket sizes are
-    accumulated per key, and rows are numbered inside their bucket.
+    ``rows`` carry their stretch; ``summary`` has one row per (key, stretch), whose columns
+    the rows get. Rows are compared with one position per key and never put in order.
     """
-    placed = df.withColumn("_bucket", bucket).repartition(*keys, "_bucket")
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    sizes = (
-        placed.groupBy(*keys, "_bucket")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    )
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    offsets = summary.join(last_from(rows, keys, n, order), keys, "left")
     return (
-        placed.withColumn("_at", F.row_number().over(inside))
-        .join(sizes, [*keys, "_bucket"])
-        .withColumn(name, F.col("_before") + F.col("_at"))
-        .drop("_bucket", "_before", "_at")
+        rows.join(offsets.hint("shuffle_hash"), [*keys, BLOCK])
+        .withColumn("is_last", F.coalesce(F.col(order) >= F.col("_from"), F.lit(True)))
+        .drop("_from")
     )
 
 

@@ -76,3 +76,14 @@ def star_join(spine: DataFrame, tables: list[DataFrame], key: str = "game_id") -
 def answer_spine(spine: DataFrame, predictions: DataFrame, default: float = 0.5) -> DataFrame:
     """Every game of the spine with its prediction, or ``default``."""
     return spine.join(predictions, "game_id", "left").fillna(default, [c for c in predictions.columns if c != "game_id"])
+
+
+def join_spread(rows: DataFrame, table: DataFrame, keys: list[str], spread: Column) -> DataFrame:
+    """Rows with what ``table`` has for their keys, inner, no key's rows in one task.
+
+    ``table`` has one row per key. It is first joined to the distinct (keys, ``spread``),
+    then to the rows on both, so each of its rows goes as often as its key is spread out.
+    """
+    dealt = rows.withColumn("_deal", spread)
+    wanted = dealt.select(*keys, "_deal").distinct().join(table, keys)
+    return dealt.join(wanted, [*keys, "_deal"]).drop("_deal")

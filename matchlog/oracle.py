@@ -882,6 +882,59 @@ SELECT ROUND((SELECT SUM(CASE WHEN p.score > n.score THEN 1.0e0
   COUNT(CASE WHEN label = 1 THEN 1 END) AS pos, COUNT(CASE WHEN label = 0 THEN 1 END) AS neg
 FROM scored""",
 )
+_CURVE = """
+games AS (SELECT game_id, MAX(winner) AS label, NTILE(5) OVER (ORDER BY game_id) - 1 AS fold
+  FROM log GROUP BY game_id),
+margins AS (
+  SELECT g.game_id, label, fold, r AS round, COALESCE((SELECT SUM(CASE WHEN player = 1 THEN 1 ELSE -1 END)
+    FROM log l WHERE l.game_id = g.game_id AND l.slice < r), 0) AS margin
+  FROM games g, generate_series(1, 10) s(r)),
+curve AS (
+  SELECT fold, round, (SELECT SUM(CASE WHEN p.margin > n.margin THEN 1.0e0
+      WHEN p.margin = n.margin THEN 0.5e0 ELSE 0.0e0 END) FROM margins p JOIN margins n
+      ON p.label = 1 AND n.label = 0 AND p.fold = m.fold AND n.fold = m.fold AND p.round = m.round
+      AND n.round = m.round) / (COUNT(*) FILTER (label = 1) * COUNT(*) FILTER (label = 0)) AS auc,
+    COUNT(*) FILTER (label = 1) AS pos, COUNT(*) FILTER (label = 0) AS neg
+  FROM margins m GROUP BY fold, round)"""
+_ROUNDS = """
+rounds AS (SELECT round, COUNT(*) AS folds, AVG(auc) AS mean_auc, STDDEV_SAMP(auc) AS std_auc
+  FROM curve GROUP BY round)"""
+ORACLE["fold_round_auc"] = _sql(
+    _CURVE,
+    final="SELECT CAST(fold AS INT) AS fold, CAST(round AS INT) AS round, ROUND(auc, 6) AS auc, pos, neg FROM curve",
+)
+ORACLE["margin_learning_curve"] = _sql(
+    _CURVE,
+    _ROUNDS,
+    final="""
+SELECT CAST(round AS INT) AS round, folds, ROUND(mean_auc, 6) AS mean_auc, ROUND(std_auc, 6) AS std_auc,
+  round = (SELECT round FROM rounds ORDER BY ROUND(mean_auc, 12) DESC, round LIMIT 1) AS is_best
+FROM rounds""",
+)
+ORACLE["best_margin_round"] = _sql(
+    _CURVE,
+    _ROUNDS,
+    final="""
+SELECT CAST((SELECT round FROM rounds ORDER BY ROUND(mean_auc, 12) DESC, round LIMIT 1) AS INT) AS best_round,
+  ROUND(MAX(mean_auc), 6) AS best_metric,
+  CAST((SELECT round FROM rounds ORDER BY ROUND(mean_auc, 12), round LIMIT 1) AS INT) AS worst_round,
+  ROUND(MIN(mean_auc), 6) AS worst_metric
+FROM rounds""",
+)
+ORACLE["auc_any_score"] = _sql(
+    _LABELS,
+    _SCORED,
+    f"""
+lead AS (SELECT {_MIX} AS species_mix, s.label, POW(s.score * 1000 - 500, 9) * 1e-280 AS score
+  FROM scored s JOIN labels_of l ON s.game_id = l.game_id)""",
+    final="""
+SELECT species_mix, ROUND((SELECT SUM(CASE WHEN p.score > n.score THEN 1.0e0
+      WHEN p.score = n.score THEN 0.5e0 ELSE 0.0e0 END) FROM lead p JOIN lead n
+      ON p.label = 1 AND n.label = 0 AND p.species_mix = m.species_mix AND n.species_mix = m.species_mix)
+    / NULLIF(COUNT(*) FILTER (label = 1) * COUNT(*) FILTER (label = 0), 0), 6) AS auc,
+  COUNT(*) FILTER (label = 1) AS pos, COUNT(*) FILTER (label = 0) AS neg
+FROM lead m GROUP BY species_mix""",
+)
 ORACLE["accuracy_f1"] = _sql(
     _SCORED,
     final="""

@@ -129,8 +129,8 @@ def sided_points(
 ) -> DataFrame:
     """Positions with ``aggressive`` (nearer the enemy's base than the own) and ``is_last``.
 
-    A base is the player's first position; games without both bases drop out. Bases and
-    row counts are found per (game, stretch) and handed back to the rows on that key, so
+    A base is the player's first position; games without both bases drop out. Bases
+    are found per (game, stretch) and handed back to the rows on that key, so
     a long game is spread over many tasks.
     """
     # the join below would demand these keys of one of the two reads only
@@ -144,17 +144,13 @@ def sided_points(
         for p in PLAYERS
         for axis in ("x", "y")
     }
-    per_block = placed.groupBy("game_id", ordered.BLOCK).agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[e.alias(n) for n, e in first.items()],
-    )
+    per_block = placed.groupBy("game_id", ordered.BLOCK).agg(*[e.alias(n) for n, e in first.items()])
     whole_game = Window.partitionBy("game_id").orderBy(ordered.BLOCK).rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing
     )
     bases = per_block.select(
         "game_id",
         ordered.BLOCK,
-        "rows",
         *[F.first(n, ignorenulls=True).over(whole_game).alias(n) for n in first],
     )
     d0, d1 = (
@@ -162,7 +158,7 @@ def sided_points(
         for p in PLAYERS
     )
     return (
-        ordered.mark_last(placed, bases, ["game_id"], last_rows, "rows")
+        ordered.mark_last(placed, bases, ["game_id"], last_rows)
         .where(F.col("base_x0").isNotNull() & F.col("base_x1").isNotNull())
         .withColumn("aggressive", F.when(F.col("player") == 0, d0 > d1).otherwise(d1 > d0))
     )

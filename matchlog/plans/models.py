@@ -6,8 +6,13 @@ runs once and survives lost executors.
 
 from __future__ import annotations
 
+import math
 import random
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassificationModel,
@@ -50,7 +55,7 @@ def assembled(matrix: DataFrame) -> DataFrame:
     return vector.transform(plain).select(*kept, "features")
 
 
-def gbt(seed: int = 4321, weight: str | None = None, **params) -> GBTClassifier:
+def gbt(seed: int = 20, weight: str | None = None, **params) -> GBTClassifier:
     """Boosted trees; ``weight`` names a row-weight column."""
     model = GBTClassifier(labelCol=LABEL, featuresCol="features", seed=seed, **params)
     return model.setWeightCol(weight) if weight else model
@@ -98,16 +103,61 @@ def learning_curve(matrix: DataFrame, **params) -> DataFrame:
     )
 
 
-def depth_sweep(matrix: DataFrame, depths: list[int], trees: int = 20, seed: int = 1) -> DataFrame:
+def at_once(spark: SparkSession, jobs: list[Callable], parallelism: int) -> list:
+    """The jobs' results in order, ``parallelism`` of them on the cluster at a time."""
+    with ThreadPoolExecutor(max(1, parallelism)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(j)) for j in jobs]]
+
+
+def margin_steps(model: GBTClassificationModel, rows: DataFrame) -> DataFrame:
+    """Rows with ``steps``: what each tree of the model adds to the row's margin, in order."""
+    found, names = rows, []
+    for i, tree in enumerate(model.trees):
+        names.append(f"_tree{i}")
+        found = tree.setFeaturesCol("features").setPredictionCol(names[-1]).transform(found)
+    steps = [F.col(n) * float(w) for n, w in zip(names, model.treeWeights)]
+    return found.select(*rows.columns, F.array(*steps).alias("steps"))
+
+
+def fold_rows(matrix: DataFrame, folds: int = 5) -> DataFrame:
+    """The assembled matrix with contiguous folds, as a table that fits can read again."""
+    return materialize(scoring.contiguous_folds(assembled(matrix), folds).drop("position"))
+
+
+def cv_learning_curve(
+    matrix: DataFrame, folds: int = 5, parallelism: int = 5, **params
+) -> DataFrame:
+    """Held-out AUC of every (fold, round), each fold's trees fitted on the other folds.
+
+    A fold is fitted once. Its held-out rows pass all trees in one scan, and the AUC after
+    every round comes from running sums of what the trees add to the margin.
+    """
+    rows = fold_rows(matrix, folds)
+
+    def fit(k: int) -> Callable:
+        return lambda: gbt(**params).fit(rows.where(F.col("fold") != k))
+
+    fitted = at_once(rows.sparkSession, [fit(k) for k in range(folds)], parallelism)
+    held = [margin_steps(m, rows.where(F.col("fold") == k)) for k, m in enumerate(fitted)]
+    steps = [h.select("game_id", "fold", F.col(LABEL).alias("label"), "steps") for h in held]
+    return scoring.fold_curve(materialize(reduce(DataFrame.unionByName, steps)))
+
+
+def depth_sweep(
+    matrix: DataFrame, depths: list[int], trees: int = 20, seed: int = 1, parallelism: int = 4
+) -> DataFrame:
     """Validation accuracy of a random forest per depth (Spark allows depths up to 30)."""
     rows = materialize(scoring.stable_split(assembled(matrix)))
     train, valid = rows.where(F.col("part") == "train"), rows.where(F.col("part") == "valid")
     accuracy = MulticlassClassificationEvaluator(labelCol=LABEL, metricName="accuracy")
-    found = []
-    for depth in depths:
+
+    def measure(depth: int) -> Callable:
         forest = RandomForestClassifier(labelCol=LABEL, maxDepth=depth, numTrees=trees, seed=seed)
-        found.append((depth, accuracy.evaluate(forest.fit(train).transform(valid))))
-    return matrix.sparkSession.createDataFrame(found, "depth INT, accuracy DOUBLE")
+        return lambda: (depth, accuracy.evaluate(forest.fit(train).transform(valid)))
+
+    spark = matrix.sparkSession
+    found = at_once(spark, [measure(d) for d in depths], parallelism)
+    return spark.createDataFrame(found, "depth INT, accuracy DOUBLE")
 
 
 def importances(model, names: list[str]) -> DataFrame:
@@ -126,7 +176,7 @@ def feature_importance(matrix: DataFrame, k: int = 15, **params) -> DataFrame:
     return importances(model, feature_columns(plain_names(matrix))).limit(k)
 
 
-def sample_parameters(trials: int, bounds: dict = BOUNDS, seed: int = 4321) -> list[dict]:
+def sample_parameters(trials: int, bounds: dict = BOUNDS, seed: int = 20) -> list[dict]:
     """Seeded random parameter sets inside the bounds."""
     rng = random.Random(seed)
     return [{n: rng.uniform(lo, hi) for n, (lo, hi) in bounds.items()} for _ in range(trials)]
@@ -156,14 +206,14 @@ def cv_search(
     trials: int,
     folds: int = 5,
     bounds: dict = BOUNDS,
-    seed: int = 4321,
+    seed: int = 20,
     parallelism: int = 4,
 ) -> DataFrame:
     """Mean AUC over contiguous folds for each sampled parameter set.
 
     Trials and folds are fitted ``parallelism`` at a time.
     """
-    rows = materialize(scoring.contiguous_folds(assembled(matrix), folds).drop("position"))
+    rows = fold_rows(matrix, folds)
     estimator = gbt(seed)
     drawn = sample_parameters(trials, bounds, seed)
     grid = [
@@ -189,6 +239,69 @@ def cv_search(
     )
 
 
+def halving_search(
+    matrix: DataFrame,
+    trials: int = 8,
+    folds: int = 5,
+    bounds: dict = BOUNDS,
+    first: int = 10,
+    eta: int = 2,
+    seed: int = 20,
+    parallelism: int = 8,
+) -> DataFrame:
+    """Successive halving over sampled parameter sets, by mean AUC over contiguous folds.
+
+    All trials are fitted with ``first`` rounds; the best 1 / ``eta`` of them go on with
+    ``eta`` times as many, and so forth until one is left. A trial never has more rounds than
+    it drew in ``iterations``. Boosting adds trees one by one, so a trial's trees of one rung
+    are the first trees of its next; Spark can't take up a fitted model, though, so a rung
+    fits them again, which costs less than eta / (eta - 1) times what going on would. A
+    trial's AUC is that of a plain fit with its last number of rounds. The scores of all
+    trials and folds of a rung are ranked together, and only one number per trial is read.
+
+    One row per trial: the rungs it was in, its rounds, its last AUC, what it drew.
+    """
+    spark = matrix.sparkSession
+    rows = fold_rows(matrix, folds)
+    drawn = sample_parameters(trials, bounds, seed)
+    settings = [tree_parameters(d) for d in drawn]
+    reached: dict[int, tuple[int, int, float]] = {}
+
+    def held_scores(trial: int, k: int, rounds: int) -> Callable:
+        def fit() -> DataFrame:
+            model = gbt(seed, **settings[trial] | {"maxIter": rounds}).fit(rows.where(F.col("fold") != k))
+            return model.transform(rows.where(F.col("fold") == k)).select(
+                F.lit(trial).alias("trial"),
+                "fold",
+                F.col(LABEL).alias("label"),
+                vector_to_array("rawPrediction")[1].alias("score"),
+            )
+
+        return fit
+
+    alive, rung, rounds = list(range(trials)), 1, first
+    while alive:
+        due = {t: min(rounds, settings[t]["maxIter"]) for t in alive}
+        new = [t for t in alive if t not in reached or reached[t][1] < due[t]]
+        jobs = [held_scores(t, k, due[t]) for t in new for k in range(folds)]
+        if jobs:
+            scores = materialize(reduce(DataFrame.unionByName, at_once(spark, jobs, parallelism)))
+            per_trial = scoring.auc(scores, by=("trial", "fold")).groupBy("trial").agg(F.avg("auc").alias("auc"))
+            found = {r.trial: r.auc for r in per_trial.collect()}
+        for t in alive:
+            reached[t] = (rung, due[t], found[t] if t in new else reached[t][2])
+        if len(alive) == 1:
+            break
+        alive.sort(key=lambda t: (-reached[t][2], t))
+        alive = alive[: math.ceil(len(alive) / eta)]
+        rung, rounds = rung + 1, rounds * eta
+    names = list(bounds)
+    return spark.createDataFrame(
+        [(t, *reached[t], *[float(drawn[t][n]) for n in names]) for t in range(trials)],
+        "trial INT, rungs INT, rounds INT, auc DOUBLE, " + ", ".join(f"{n} DOUBLE" for n in names),
+    )
+
+
 def fit_unit_pca(counts: DataFrame, k: int = 10) -> PipelineModel:
     """Principal components of unit counts, centred as on the fitted log."""
     columns = [c for c in counts.columns if c != "game_id"]

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchlog.operators import ordered
 
-ID_STRETCH = 1_000_000
-
 
 def split_number(key: Column, seed: int = 1, parts: int = 100) -> Column:
     """A number from 0 to ``parts`` - 1 that depends only on key and seed."""
@@ -26,76 +26,118 @@ def stable_split(games: DataFrame, test_share: int = 20, valid_share: int = 40)
     )
 
 
-def contiguous_folds(games: DataFrame, folds: int = 5, stretch: int = ID_STRETCH) -> DataFrame:
-    """0-based folds of consecutive ids; the first folds take the remainder.
-
-    Ids are unique, so a stretch of ids has at most ``stretch`` rows to number at a time;
-    the total comes from the stretches' sizes.
-    """
-    ranked = ordered.with_rank(
-        games, [], [F.col("game_id")], F.expr(f"game_id div {stretch}"), "position"
-    )
-    n = games.select(F.count(F.lit(1))).scalar()
-    at = F.col("position") - 1
+def contiguous_folds(games: DataFrame, folds: int = 5) -> DataFrame:
+    """0-based folds of consecutive ids; the first folds take the remainder."""
+    ranked = ordered.exact_rank(games, [], [F.col("game_id")], "position", "_games")
+    at, n = F.col("position") - 1, F.col("_games")
     size, bigger = F.floor(n / folds), n % folds
     cut = bigger * (size + 1)
     fold = F.when(at < cut, F.floor(at / (size + 1))).otherwise(
         bigger + F.floor((at - cut) / F.greatest(size, F.lit(1)))
     )
-    return ranked.withColumn("fold", fold.cast("int"))
+    return ranked.withColumn("fold", fold.cast("int")).drop("_games")
 
 
-def auc(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """Exact ROC AUC: the chance that a positive outscores a negative, ties half.
+def ordered_bits(score: Column) -> Column:
+    """A long that orders as the double does: its bit pattern, turned round if negative.
 
-    Scores lie in [0, 1]. Rows are counted per distinct score first. Distinct scores are
-    then grouped by their leading 20 and next 20 binary digits; negatives below a score
-    are those in lower groups plus those below it in its own. No step orders all scores
-    in one task, and every step is exact because the digits are.
+    Both zeros are one value; NaN is above infinity, as in Spark's own order.
     """
-    per_score = scored.groupBy(F.col(score).cast("double").alias("s")).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
+    pattern = F.reflect(
+        F.lit("java.lang.Double"), F.lit("doubleToLongBits"), score.cast("double") + F.lit(0.0)
+    ).cast("bigint")
+    return pattern.bitwiseXOR(F.shiftright(pattern, 63).bitwiseAND(F.lit((1 << 63) - 1)))
+
+
+# A score's 64 bits fall into digits of 22, 21 and 21 bits; (shift, mask) of each.
+_DIGITS = ((42, -1), (21, (1 << 21) - 1), (0, (1 << 21) - 1))
+
+
+def auc(
+    scored: DataFrame, score: str = "score", label: str = "label", by: tuple[str, ...] = ()
+) -> DataFrame:
+    """Exact ROC AUC of any real scores, for each group of ``by`` or over all rows: the
+    chance that a positive outscores a negative, ties half.
+
+    Rows are counted per distinct score first. Distinct scores are told apart by the digits
+    of their bit pattern: the negatives below a score are those in lower groups at the first
+    digit, below it in its group at the second, and at the third. So no group that is put in
+    order has more than 2^22 rows, however many scores there are and however close they lie.
+    Counts are multiplied as decimals, hence exact. Rows without a score are left out.
+    """
+    names = [f"_d{i}" for i in range(len(_DIGITS))]
+    counted = (
+        scored.where(F.col(score).isNotNull())
+        .groupBy(*by, (F.col(score).cast("double") + F.lit(0.0)).alias("_s"))
+        .agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
+        .select(*by, "pos", "neg", ordered_bits(F.col("_s")).alias("_bits"))
     )
-    scale = float(1 << 20)
-    first = F.floor(F.col("s") * scale)
-    second = F.floor((F.col("s") * scale - first) * scale)
-    digits = per_score.select("*", first.alias("d1"), second.alias("d2")).repartition("d1", "d2")
-
-    def below(df: DataFrame, keys: list[str], by: str, name: str) -> DataFrame:
-        w = Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumn(name, F.coalesce(F.sum("neg").over(w), F.lit(0)))
-
-    # one row per group of 40 digits, then per group of 20
-    level2 = digits.groupBy("d1", "d2").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    level1 = level2.groupBy("d1").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    wins = [
-        below(digits, ["d1", "d2"], "s", "lower").select(
-            (F.col("pos") * (F.col("lower") + F.col("neg") / 2)).alias("wins"), "pos", "neg"
-        ),
-        below(level2, ["d1"], "d2", "lower").select(
-            (F.col("pos") * F.col("lower")).cast("double").alias("wins"),
-            F.lit(0).cast("bigint").alias("pos"),
-            F.lit(0).cast("bigint").alias("neg"),
-        ),
-        below(level1, [], "d1", "lower").select(
-            (F.col("pos") * F.col("lower")).cast("double").alias("wins"),
-            F.lit(0).cast("bigint").alias("pos"),
-            F.lit(0).cast("bigint").alias("neg"),
-        ),
-    ]
-    return (
-        wins[0]
-        .unionByName(wins[1])
-        .unionByName(wins[2])
-        .agg(F.sum("wins").alias("wins"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        .select(
-            F.try_divide(
-                F.col("wins"), F.col("pos").cast("double") * F.col("neg").cast("double")
-            ).alias("auc"),
-            "pos",
-            "neg",
+    level = counted.select(
+        *by,
+        "pos",
+        "neg",
+        *[
+            F.shiftright("_bits", shift).bitwiseAND(F.lit(mask)).alias(n)
+            for n, (shift, mask) in zip(names, _DIGITS)
+        ],
+    ).repartition(*by, *names[:-1])
+    wins = []
+    for last in reversed(range(len(names))):
+        group = Window.partitionBy(*by, *names[:last]).orderBy(names[last])
+        lower = F.coalesce(
+            F.sum("neg").over(group.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+        )
+        whole = last == len(names) - 1
+        twice = 2 * lower + (F.col("neg") if whole else F.lit(0))
+        wins.append(
+            level.select(
+                *by,
+                (F.col("pos").cast("decimal(18,0)") * twice.cast("decimal(19,0)")).alias("wins"),
+                *[(F.col(c) if whole else F.lit(0).cast("bigint")).alias(c) for c in ("pos", "neg")],
+            )
         )
+        level = level.groupBy(*by, *names[:last]).agg(
+            F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
+        )
+    total = reduce(DataFrame.unionByName, wins).groupBy(*by).agg(
+        F.sum("wins").alias("wins"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
+    )
+    pairs = 2 * F.col("pos").cast("double") * F.col("neg").cast("double")
+    return total.select(*by, F.try_divide(F.col("wins").cast("double"), pairs).alias("auc"), "pos", "neg")
+
+
+def running_margins(rows: DataFrame, steps: str = "steps", kept: tuple[str, ...] = ()) -> DataFrame:
+    """One row per round with the sum of the row's steps so far, rounds from 1.
+
+    Sums are made inside the row, in one pass over its array.
+    """
+    sums = F.aggregate(
+        steps,
+        F.expr("cast(array() as array<double>)"),
+        lambda so_far, step: F.concat(
+            so_far, F.array(F.coalesce(F.try_element_at(so_far, F.lit(-1)), F.lit(0.0)) + step)
+        ),
+    )
+    return rows.select(*kept, F.posexplode(sums).alias("_at", "margin")).select(
+        *kept, (F.col("_at") + 1).alias("round"), "margin"
+    )
+
+
+def fold_curve(rows: DataFrame, steps: str = "steps", label: str = "label") -> DataFrame:
+    """AUC of every (fold, round) of rows with a fold, a label and the steps of their margin."""
+    return auc(running_margins(rows, steps, ("fold", label)), "margin", label, ("fold", "round"))
+
+
+def curve_summary(curve: DataFrame) -> DataFrame:
+    """Mean and sample deviation of the folds' AUC in each round, with the best round."""
+    rounds = curve.groupBy("round").agg(
+        F.count("auc").alias("folds"),
+        F.avg("auc").alias("mean_auc"),
+        F.stddev_samp("auc").alias("std_auc"),
     )
+    rounds = rounds.withColumn("mean_auc", F.round("mean_auc", 12))
+    best = best_round(rounds, "round", "mean_auc").select("best_round").scalar()
+    return rounds.withColumn("is_best", F.col("round") == best)
 
 
 def accuracy_f1(

@@ -314,41 +314,42 @@ def top_slots(
     return scalar.fill_features(games.join(wide, "game_id", "left"))
 
 
-def roster(log: DataFrame, owned: DataFrame, prefix: int = 4) -> DataFrame:
+def roster(
+    log: DataFrame, owned: DataFrame, spread: int = ordered.BLOCK_ROWS
+) -> DataFrame:
     """Both players' units side by side in unit-id order, headed by species and result.
 
-    Positions are counted per id prefix, so that no player's units are sorted in one task.
-    ``owned`` is read twice.
+    Positions are exact ranks by ranges of (game, player, unit), whatever the ids look like,
+    and heads go to stretches of ``spread`` positions, so no game's units meet in one task.
     """
-    placed = ordered.with_rank(
-        owned,
-        ["game_id", "player"],
-        [F.col("unit_id")],
-        F.substring("unit_id", 1, prefix),
-    )
+    placed = ordered.exact_rank(owned, ["game_id", "player"], [F.col("unit_id")])
     sides = placed.groupBy("game_id", "position").agg(
         *[F.max(F.when(F.col("player") == p, F.col("unit"))).alias(f"unit_{p}") for p in PLAYERS]
     )
-    winners = log.groupBy("game_id").agg(F.min_by("winner", "seq").alias("winner"))
-    heads = (
-        first_species(log)
-        .groupBy("game_id")
-        .agg(
-            *[
-                F.max(F.when(F.col("player") == p, F.col("species"))).alias(f"species_{p}")
-                for p in PLAYERS
-            ]
-        )
-        .join(winners, "game_id")
-        .select(
-            "game_id",
-            *[
-                F.concat(
-                    f"species_{p}",
-                    F.when(F.col("winner") == p, F.lit(" (True)")).otherwise(F.lit(" (False)")),
-                ).alias(f"head_{p}")
-                for p in PLAYERS
-            ],
-        )
+    return shaping.join_spread(
+        sides, roster_heads(log), ["game_id"], F.expr(f"position div {spread}")
+    )
+
+
+def roster_heads(log: DataFrame) -> DataFrame:
+    """Each game's two headings: a player's species and whether they won.
+
+    One pass: the species is that of the player's first row, the winner the first row's.
+    """
+    first = {
+        f"species_{p}": F.min_by("species", F.when(F.col("player") == p, F.col("seq")))
+        for p in PLAYERS
+    }
+    games = log.groupBy("game_id").agg(
+        F.min_by("winner", "seq").alias("winner"), *[e.alias(n) for n, e in first.items()]
+    )
+    return games.select(
+        "game_id",
+        *[
+            F.concat(
+                f"species_{p}",
+                F.when(F.col("winner") == p, F.lit(" (True)")).otherwise(F.lit(" (False)")),
+            ).alias(f"head_{p}")
+            for p in PLAYERS
+        ],
     )
-    return sides.join(heads, "game_id")

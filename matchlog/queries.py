@@ -425,6 +425,48 @@ def auc_exact(spark, sf_dir):
     return rounded(scoring.auc(scored_games(match_log(spark, sf_dir))))
 
 
+def margin_steps(log: DataFrame, minutes: int = 10) -> DataFrame:
+    """Games with a label and a margin that grows by minutes: player 1's rows in the minute
+    less player 0's. It needs no model, so SQL can follow the curve."""
+    ahead = F.when(F.col("player") == 1, 1).otherwise(-1)
+    at = scalar.minute(F.col("time"))
+    per_minute = [F.sum(F.when(at == m, ahead).otherwise(0)).cast("double") for m in range(minutes)]
+    return log.groupBy("game_id").agg(F.max("winner").alias("label"), F.array(*per_minute).alias("steps"))
+
+
+def _margin_folds(spark, sf_dir):
+    return scoring.contiguous_folds(margin_steps(match_log(spark, sf_dir)))
+
+
+@query
+def fold_round_auc(spark, sf_dir):
+    return rounded(scoring.fold_curve(_margin_folds(spark, sf_dir)))
+
+
+@query
+def margin_learning_curve(spark, sf_dir):
+    curve = materialize(scoring.fold_curve(_margin_folds(spark, sf_dir)))
+    return rounded(scoring.curve_summary(curve))
+
+
+@query
+def best_margin_round(spark, sf_dir):
+    curve = materialize(scoring.fold_curve(_margin_folds(spark, sf_dir)))
+    return rounded(scoring.best_round(scoring.curve_summary(curve), "round", "mean_auc"))
+
+
+@query
+def auc_any_score(spark, sf_dir):
+    """AUC per species pair of a score of any size and sign: the actions' lead to the ninth
+    power, over a scale that makes some of them tiny."""
+    log = match_log(spark, sf_dir)
+    lead = scored_games(log).select(
+        "game_id", "label", (F.pow(F.col("score") * 1000 - 500, F.lit(9)) * 1e-280).alias("score")
+    )
+    mixed = explore.with_matchup(actions.species_labels(log)).select("game_id", "species_mix")
+    return rounded(scoring.auc(lead.join(mixed, "game_id"), by=("species_mix",)))
+
+
 @query
 def accuracy_f1(spark, sf_dir):
     return rounded(scoring.accuracy_f1(scored_games(match_log(spark, sf_dir))))
@@ -484,7 +526,7 @@ def gbt_scores(spark, sf_dir):
 
 @query
 def rf_depth_sweep(spark, sf_dir):
-    return models.depth_sweep(_matrix(spark, sf_dir), [2, 5, 14], trees=5)
+    return models.depth_sweep(_matrix(spark, sf_dir), list(range(1, 31)), parallelism=8)
 
 
 @query
@@ -497,7 +539,14 @@ def learning_curve(spark, sf_dir):
     return models.learning_curve(_matrix(spark, sf_dir), **TREES)
 
 
+@query
+def cv_learning_curve(spark, sf_dir):
+    """Mean and deviation of the AUC over five folds after every round, with the best one."""
+    curve = materialize(models.cv_learning_curve(_matrix(spark, sf_dir), 5, **TREES))
+    return scoring.curve_summary(curve)
+
+
 @query
 def cv_search(spark, sf_dir):
-    small = models.BOUNDS | {"iterations": (2, 4), "leaves": (4, 9)}
-    return models.cv_search(_matrix(spark, sf_dir), trials=2, bounds=small)
+    """Successive halving of eight trials over the whole bounds."""
+    return models.halving_search(_matrix(spark, sf_dir), trials=8)

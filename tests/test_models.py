@@ -44,6 +44,39 @@ def test_importance_and_curve(matrix):
     assert 1 <= model.getNumTrees <= 5 and rows.count() == 240
 
 
+def test_curve_over_folds_is_that_of_the_models(matrix):
+    """Every (fold, round) has the AUC of a plain fit with so many rounds."""
+    got = {(r.fold, r.round): r.auc for r in models.cv_learning_curve(matrix, 3, maxIter=4, maxDepth=2).collect()}
+    assert sorted(got) == [(f, n) for f in range(3) for n in range(1, 5)]
+    rows = models.fold_rows(matrix, 3)
+    for fold, rounds in [(0, 1), (1, 4), (2, 3)]:
+        model = models.gbt(maxIter=rounds, maxDepth=2).fit(rows.where(F.col("fold") != fold))
+        scored = model.transform(rows.where(F.col("fold") == fold)).select(
+            F.col("winner").alias("label"), models.vector_to_array("rawPrediction")[1].alias("score")
+        )
+        assert got[fold, rounds] == pytest.approx(scoring.auc(scored).first().auc, abs=1e-12)
+
+
+def test_halving(matrix):
+    small = models.BOUNDS | {"iterations": (3, 9), "leaves": (2, 9)}
+    got = models.halving_search(matrix, trials=4, folds=3, bounds=small, first=2).orderBy("trial").collect()
+    assert sorted(r.rungs for r in got) == [1, 1, 2, 3]
+    drawn = models.sample_parameters(4, small)
+    for r, d in zip(got, drawn):
+        assert r.rounds == min(2 ** r.rungs, int(d["iterations"]))
+        assert [r[n] for n in small] == [d[n] for n in small]
+    # the last AUC is a plain cross-validated fit's, and losers were no better in their rung
+    rows = models.fold_rows(matrix, 3)
+    for r, d in zip(got, drawn):
+        params = models.tree_parameters(d) | {"maxIter": r.rounds}
+        aucs = []
+        for k in range(3):
+            model = models.gbt(**params).fit(rows.where(F.col("fold") != k))
+            held = model.transform(rows.where(F.col("fold") == k))
+            aucs.append(BinaryClassificationEvaluator(labelCol="winner", numBins=0).evaluate(held))
+        assert r.auc == pytest.approx(sum(aucs) / 3, abs=1e-9)
+
+
 def test_depths(matrix):
     got = models.depth_sweep(matrix, [1, 3], trees=3).collect()
     assert [r.depth for r in got] == [1, 3] and all(0.5 < r.accuracy <= 1 for r in got)

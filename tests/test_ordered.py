@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import Window
@@ -39,19 +40,37 @@ def test_with_previous(rows, block_rows):
 def test_mark_last(rows, block_rows, n):
     placed = ordered.with_block(rows, block_rows=block_rows)
     summary = placed.groupBy("k", ordered.BLOCK).agg(F.count(F.lit(1)).alias("n"))
-    got = ordered.mark_last(placed, summary, ["k"], n, "n")
+    got = ordered.mark_last(placed, summary, ["k"], n).drop("n")
     w = Window.partitionBy("k").orderBy(F.desc("seq"))
     want = rows.select("k", "seq", (F.row_number().over(w) <= n).alias("is_last"))
     key = ["k", "seq"]
     assert got.select(want.columns).orderBy(key).collect() == want.orderBy(key).collect()
 
 
-def test_with_rank(rows):
-    got = ordered.with_rank(rows, ["k"], [F.col("seq")], F.expr("seq div 50"))
-    w = Window.partitionBy("k").orderBy("seq")
-    want = rows.select("k", "seq", F.row_number().over(w).cast("long").alias("position"))
-    key = ["k", "seq"]
-    assert got.select(want.columns).orderBy(key).collect() == want.orderBy(key).collect()
+@pytest.mark.parametrize("fine", [1, 3, 64, 10**6])
+@pytest.mark.parametrize("n", [1, 2, 50])
+def test_last_from_over_run_sizes(rows, fine, n):
+    placed = ordered.with_block(rows, block_rows=100)
+    got = {r.k: r["_from"] for r in ordered.last_from(placed, ["k"], n, fine=fine).collect()}
+    seqs = {}
+    for r in rows.collect():
+        seqs.setdefault(r.k, []).append(r.seq)
+    assert got == {k: sorted(v)[-n] for k, v in seqs.items() if len(v) > n}
+
+
+def test_last_rows_are_marked_without_sorting_rows(spark, rows):
+    placed = ordered.with_block(rows, block_rows=100).repartition("k", ordered.BLOCK)
+    summary = placed.groupBy("k", ordered.BLOCK).agg(F.min("v").alias("least"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = ordered.mark_last(placed, summary, ["k"], 5)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    sorts = re.findall(r"Sort \[(.*?)\]", plan)
+    assert sorts and not any("seq" in s for s in sorts)
+    assert "SortMergeJoin [k#" not in "".join(line for line in plan.splitlines() if "_block" in line)
 
 
 @pytest.mark.parametrize("low, high", [(0, 0), (0, 25), (7, 31), (10, 19)])

@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from matchlog.operators import ordered
 from matchlog.plans import units
 from matchlog.sources.readers import UnitCatalog
 from matchlog.sources.sample import UNITS
@@ -141,11 +142,30 @@ def test_roster(make_log):
             (0, 1, 1, "Selection", "Zealot [C]"),
         ]
     )
-    rows = units.roster(log, units.ownership(log, UNITS), prefix=1).orderBy("position").collect()
+    rows = units.roster(log, units.ownership(log, UNITS), spread=1).orderBy("position").collect()
     assert [(r.unit_0, r.unit_1) for r in rows] == [("SiegeTank", "Zealot"), ("Marine", None)]
     assert (rows[0].head_0, rows[0].head_1) == ("T (False)", "P (True)")
 
 
+def test_roster_of_ids_with_one_prefix_spreads_over_tasks(spark, make_log):
+    """Ids that share their first characters still end up in many partitions."""
+    log = make_log([(0, 0, 0, "Selection", "Marine [B]"), (0, 1, 1, "Selection", "Zealot [C]")])
+    owned = spark.range(2000).select(
+        F.lit(0).alias("game_id"), F.lit(0).alias("player"),
+        F.format_string("SAMEPREFIX%05d", "id").alias("unit_id"), F.lit("Marine").alias("unit"),
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranked = ordered.exact_rank(owned, ["game_id", "player"], [F.col("unit_id")])
+        files = len(set(ranked.inputFiles()))
+        got = units.roster(log, owned, spread=100).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert files >= 6
+    assert sorted(r.position for r in got) == list(range(1, 2001))
+    assert {r.head_0 for r in got} == {"T (False)"}
+
+
 def test_catalog(spark):
     assert UNITS.units == sorted(SPECIES)
     assert UnitCatalog.load(UNITS.frame(spark)).rows == UNITS.rows
