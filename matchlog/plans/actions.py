@@ -56,18 +56,11 @@ def attack_events(
     """Attacks with the supply of the units the player had selected right before.
 
     Kept rows are attacks and selections with a known combat unit. Only the row directly
-    before counts, so a second attack in a row has no selection and drops out.
+    before counts, so a second attack in a row has no selection and drops out. Names find
+    their supply by a join; a selection's are added up where it is read, before the shuffle.
     """
     contents = F.col("event_contents")
     is_attack = F.col("event") == "Ability"
-    supply = catalog.combat_supply()
-
-    def add(total: Column, name: Column) -> Column:
-        found = F.try_element_at(supply, name)
-        return F.coalesce(total + found, found, total)
-
-    # null without any known combat unit
-    total = F.aggregate(text.mention_names(contents), F.lit(None).cast("double"), add)
     considered = (
         log.where(
             (F.col("event") == "Selection") | (is_attack & F.contains(contents, F.lit("Attack")))
@@ -75,11 +68,17 @@ def attack_events(
         .withColumn("slice", scalar.minute(F.col("time")))
         .where(F.col("slice") < ATTACK_MINUTES)
     )
-    kept = (
-        shaping.with_once(considered, "supply", F.when(~is_attack, total))
-        .select("game_id", "player", "seq", "slice", is_attack.alias("is_attack"), "supply")
-        .where(F.col("is_attack") | F.col("supply").isNotNull())
+    row = ["game_id", "player", "seq", "slice"]
+    supplies = catalog.dictionary(log.sparkSession).select("unit", "supply").where(F.col("supply").isNotNull())
+    selected = (
+        considered.where(F.col("event") == "Selection")
+        .select(*row, F.explode(text.mention_names(contents)).alias("unit"))
+        .join(supplies, "unit")
+        .groupBy(*row)
+        .agg(F.sum("supply").alias("supply"))
     )
+    attacks = considered.where(is_attack).select(*row, F.lit(True).alias("is_attack"), F.lit(None).cast("double").alias("supply"))
+    kept = attacks.unionByName(selected.withColumn("is_attack", F.lit(False)))
     return (
         ordered.with_previous(kept, ["game_id", "player"], ["supply"], block_rows=block_rows)
         .where(F.col("is_attack") & F.col("prev_supply").isNotNull())

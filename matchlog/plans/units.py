@@ -51,17 +51,18 @@ def selection_mentions(log: DataFrame) -> DataFrame:
 
 
 def claims(log: DataFrame, catalog: UnitCatalog) -> DataFrame:
-    """Mentions of known combat units; ``native`` if the mentioning player's species owns it."""
-    owners = catalog.species_sets(log.sparkSession)
+    """Mentions of known combat units by their catalogue number ``code``; ``native`` if the
+    mentioning player's species owns the unit."""
+    known = catalog.dictionary(log.sparkSession).select("unit", "code", "owners")
     return (
         selection_mentions(log)
         .withColumn("unit", text.unit_stance_removed(F.col("name")))
         .where(~text.is_worker(F.col("unit")))
-        .join(owners, "unit")
+        .join(known, "unit")
         .select(
             *_UNIT,
             "player",
-            "unit",
+            "code",
             F.array_contains("owners", F.col("species")).alias("native"),
             "seq",
             _mention_order(F.col("seq"), F.col("pos")).alias("at"),
@@ -72,7 +73,19 @@ def claims(log: DataFrame, catalog: UnitCatalog) -> DataFrame:
 def ownership(
     log: DataFrame, catalog: UnitCatalog, block_rows: int = ordered.BLOCK_ROWS
 ) -> DataFrame:
-    """Final name of each unit id for each player who holds it.
+    """Final name of each unit id for each player who holds it, see ``owned_codes``."""
+    names = catalog.dictionary(log.sparkSession).select("code", "unit")
+    return (
+        owned_codes(log, catalog, block_rows)
+        .join(names, "code")
+        .select("game_id", "player", "unit_id", "unit")
+    )
+
+
+def owned_codes(
+    log: DataFrame, catalog: UnitCatalog, block_rows: int = ordered.BLOCK_ROWS
+) -> DataFrame:
+    """Final catalogue number of each unit id for each player who holds it.
 
     The first claim decides the owner: the claiming player if the unit is native to their
     species, else the opponent. The owner's later native claims rename the unit, until the
@@ -81,7 +94,8 @@ def ownership(
 
     So a player's claims matter up to their first foreign one. Both players are followed,
     first inside (unit, stretch) groups, then over one row per stretch; the owner is picked
-    at the end. No unit's claims are ever gathered in one task.
+    at the end. No unit's claims are ever gathered in one task. What is aggregated are
+    numbers: the buffers have a fixed width, so Spark hashes and need not sort.
     """
     placed = ordered.with_block(claims(log, catalog), block_rows=block_rows).repartition(
         *_UNIT, ordered.BLOCK
@@ -97,7 +111,7 @@ def ownership(
         "*", *[F.max(by(p, False)).over(inside).alias(f"ended{p}") for p in PLAYERS]
     )
     per_block = marked.groupBy(*_UNIT, ordered.BLOCK).agg(
-        F.min_by("unit", "at").alias("first_unit"),
+        F.min_by("code", "at").alias("first_code"),
         F.min_by(
             F.when(F.col("native"), F.col("player")).otherwise(1 - F.col("player")), "at"
         ).alias("first_owner"),
@@ -105,10 +119,10 @@ def ownership(
             e
             for p in PLAYERS
             for e in (
-                F.max_by("unit", F.when(by(p, True) & ~F.col(f"ended{p}"), F.col("at"))).alias(
+                F.max_by("code", F.when(by(p, True) & ~F.col(f"ended{p}"), F.col("at"))).alias(
                     f"own{p}"
                 ),
-                F.min_by("unit", F.when(by(p, False), F.col("at"))).alias(f"foreign{p}"),
+                F.min_by("code", F.when(by(p, False), F.col("at"))).alias(f"foreign{p}"),
             )
         ],
     )
@@ -126,7 +140,7 @@ def ownership(
     )
     at = F.col(ordered.BLOCK)
     per_unit = linked.groupBy(*_UNIT).agg(
-        F.min_by("first_unit", at).alias("first_unit"),
+        F.min_by("first_code", at).alias("first_code"),
         F.min_by("first_owner", at).alias("owner"),
         *[
             e
@@ -148,14 +162,14 @@ def ownership(
     held = F.array(
         F.struct(
             F.col("owner").alias("player"),
-            F.coalesce(of_owner("own"), F.col("first_unit")).alias("unit"),
+            F.coalesce(of_owner("own"), F.col("first_code")).alias("code"),
         ),
-        F.struct((1 - F.col("owner")).alias("player"), of_owner("foreign").alias("unit")),
+        F.struct((1 - F.col("owner")).alias("player"), of_owner("foreign").alias("code")),
     )
     return (
         per_unit.select(*_UNIT, F.inline(held))
-        .where(F.col("unit").isNotNull())
-        .select("game_id", "player", "unit_id", "unit")
+        .where(F.col("code").isNotNull())
+        .select("game_id", "player", "unit_id", "code")
     )
 
 
@@ -164,14 +178,13 @@ def unit_columns(catalog: UnitCatalog) -> list[str]:
 
 
 def unit_counts(owned: DataFrame, catalog: UnitCatalog) -> DataFrame:
-    """Number of units per name, one column per player and known name."""
-    numbers = {u: i for i, u in enumerate(catalog.units)}
-    unit_number = F.create_map(*[F.lit(v) for pair in numbers.items() for v in pair])
-    stride = 1 << 20
+    """Number of units per name, one column per player and known name; ``owned`` has the
+    names' numbers."""
+    numbers = dict(enumerate(catalog.units))
     return shaping.spread(
         owned,
-        F.col("player") * stride + F.element_at(unit_number, F.col("unit")),
-        {p * stride + i: f"p{p}_{u}" for p in PLAYERS for u, i in numbers.items()},
+        shaping.player_cell(number="code"),
+        {p * shaping.CELLS + i: f"p{p}_{u}" for p in PLAYERS for i, u in numbers.items()},
         {"n": F.count(F.lit(1))},
     )
 
@@ -187,7 +200,7 @@ def unit_counts_dense(
     low = F.lit(0) if from_zero else F.min("game_id")
     bounds = picked.agg(low.alias("low"), F.max("game_id").alias("high"))
     grid = ordered.id_grid(bounds, "low", "high", "game_id").select(F.col("game_id").cast("int"))
-    counts = unit_counts(ownership(log, catalog, block_rows), catalog)
+    counts = unit_counts(owned_codes(log, catalog, block_rows), catalog)
     return scalar.fill_features(grid.join(counts, "game_id", "left"))
 
 

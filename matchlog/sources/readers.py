@@ -5,14 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from matchlog.operators import ordered
 from matchlog.session import materialize
 from matchlog.sources import schema
 
-MAX_CATALOG_ROWS = 10_000
-
 
 def with_source_order(df: DataFrame) -> DataFrame:
     """Add ``seq``, the dense position of each row in its source files.
@@ -116,17 +115,17 @@ def load_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class UnitCatalog:
-    """The unit dimension: one row per (unit, species), at most ``MAX_CATALOG_ROWS``."""
+    """The unit dimension, one row per (unit, species): ``rows`` known here, or a ``table``
+    of any size. Names have numbers in their order, on which units are counted."""
 
-    rows: tuple[tuple, ...]
+    rows: tuple[tuple, ...] = ()
+    table: DataFrame | None = None
 
     @classmethod
     def load(cls, df: DataFrame) -> UnitCatalog:
-        """Read a unit table to the driver, refusing one too large to be a catalogue."""
-        found = df.select(schema.UNIT_INFO.names).limit(MAX_CATALOG_ROWS + 1).collect()
-        if len(found) > MAX_CATALOG_ROWS:
-            raise ValueError(f"unit table has more than {MAX_CATALOG_ROWS} rows")
-        return cls(tuple(tuple(r) for r in found))
+        """A unit table; its rows stay where they are."""
+        columns = df.select(schema.UNIT_INFO.names)
+        return cls(table=materialize(columns.withColumn("_row", F.monotonically_increasing_id())))
 
     @classmethod
     def read_csv(cls, spark: SparkSession, path: str) -> UnitCatalog:
@@ -134,22 +133,37 @@ class UnitCatalog:
 
     @property
     def units(self) -> list[str]:
-        """Distinct unit names in order."""
-        return sorted({r[0] for r in self.rows})
+        """Distinct unit names in order: the columns of a table that has one for each."""
+        if self.table is None:
+            return sorted({r[0] for r in self.rows})
+        names = self.table.select("unit").where(F.col("unit").isNotNull()).distinct()
+        return [r.unit for r in names.orderBy("unit").collect()]
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        """The catalogue as a local relation, whose known size lets Spark broadcast it."""
+        """The catalogue as a relation; known rows are a local one, whose size is known."""
+        if self.table is not None:
+            return self.table.drop("_row")
         columns = [list(c) for c in zip(*self.rows)] or [[] for _ in schema.UNIT_INFO.names]
         return spark.createDataFrame(pa.table(columns, names=schema.UNIT_INFO.names))
 
-    def species_sets(self, spark: SparkSession) -> DataFrame:
-        """Each unit with the species that own it."""
-        owners = {u: sorted({r[1] for r in self.rows if r[0] == u}) for u in self.units}
-        return spark.createDataFrame(
-            pa.table([list(owners), list(owners.values())], names=["unit", "owners"])
+    def dictionary(self, spark: SparkSession) -> DataFrame:
+        """(unit, code, owners, supply) per name: its number from 0, the species that own it,
+        and for units other than workers the supply, the last row's if there are several."""
+        if self.table is None:
+            supply = {r[0]: float(r[2]) for r in self.rows if r[0] not in schema.WORKERS}
+            owners = [sorted({r[1] for r in self.rows if r[0] == u}) for u in self.units]
+            columns = [self.units, list(range(len(self.units))), owners, [supply.get(u) for u in self.units]]
+            kinds = [pa.string(), pa.int32(), pa.list_(pa.string()), pa.float64()]
+            arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
+            return spark.createDataFrame(pa.table(arrays, names=["unit", "code", "owners", "supply"]))
+        per_name = self.table.where(F.col("unit").isNotNull()).groupBy("unit").agg(
+            F.array_sort(F.collect_set("species")).alias("owners"),
+            F.max_by("supply", "_row").alias("supply"),
+        )
+        numbered = ordered.exact_rank(per_name, [], [F.col("unit")])
+        return numbered.select(
+            "unit",
+            (F.col("position") - 1).cast("int").alias("code"),
+            "owners",
+            F.when(~F.col("unit").isin(*schema.WORKERS), F.col("supply")).alias("supply"),
         )
-
-    def combat_supply(self) -> Column:
-        """Map from unit name to supply, workers left out, the last row per name winning."""
-        supply = {r[0]: float(r[2]) for r in self.rows if r[0] not in schema.WORKERS}
-        return F.create_map(*[F.lit(v) for pair in supply.items() for v in pair])

@@ -76,7 +76,7 @@ def test_unit_csv(spark, tmp_path):
     path = tmp_path / "unit_info.csv"
     path.write_text("unit,species,supply,minerals,gas\nZergling,Z,0.5,25,0\n")
     catalog = readers.UnitCatalog.read_csv(spark, str(path))
-    assert catalog.rows == (("Zergling", "Z", 0.5, 25.0, 0.0),)
+    assert [tuple(r) for r in catalog.frame(spark).collect()] == [("Zergling", "Z", 0.5, 25.0, 0.0)]
 
 
 def test_exported_column(spark, tmp_path):

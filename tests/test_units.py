@@ -168,16 +168,33 @@ def test_roster_of_ids_with_one_prefix_spreads_over_tasks(spark, make_log):
 
 def test_catalog(spark):
     assert UNITS.units == sorted(SPECIES)
-    assert UnitCatalog.load(UNITS.frame(spark)).rows == UNITS.rows
-    found = {r.unit: r.owners for r in UNITS.species_sets(spark).collect()}
-    assert found["Roach"] == ["Z"]
-    big = spark.range(10_001).select(
-        F.col("id").cast("string").alias("unit"),
-        F.lit("T").alias("species"),
-        *[F.lit(0.0).alias(c) for c in ("supply", "minerals", "gas")],
+    loaded = UnitCatalog.load(UNITS.frame(spark))
+    assert loaded.units == UNITS.units
+    assert loaded.frame(spark).exceptAll(UNITS.frame(spark)).count() == 0
+    plain, table = (sorted(map(tuple, c.dictionary(spark).collect())) for c in (UNITS, loaded))
+    assert plain == table and [r[1] for r in plain] == list(range(len(SPECIES)))
+    found = {r[0]: (r[2], r[3]) for r in plain}
+    assert found["Roach"] == (["Z"], 2.0) and found["SCV"] == (["T"], None)
+
+
+def test_catalog_of_any_size(spark):
+    """A large table is never brought to the driver and has a number for every name."""
+    big = spark.range(30_000).select(
+        F.format_string("unit%05d", F.col("id") % 25_000).alias("unit"),
+        F.when(F.col("id") < 25_000, "T").otherwise("Z").alias("species"),
+        F.col("id").cast("double").alias("supply"),
+        *[F.lit(0.0).alias(c) for c in ("minerals", "gas")],
     )
-    with pytest.raises(ValueError):
-        UnitCatalog.load(big)
+    words = UnitCatalog.load(big).dictionary(spark)
+    assert words.agg(F.count_distinct("code"), F.max("code")).first() == (25_000, 24_999)
+    first = words.where("unit = 'unit00003'").first()
+    assert (first.code, first.owners, first.supply) == (3, ["T", "Z"], 25_003.0)
+
+
+def test_ownership_needs_no_sorted_aggregate(make_log):
+    log = make_log([(0, 0, 0, "Selection", "Marine [B]")])
+    plan = units.owned_codes(log, UNITS)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
 
 
 def test_too_long_a_list_is_refused(spark):
