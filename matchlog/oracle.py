@@ -7,7 +7,7 @@ games, self-joins for the two players, sequential updates spelled out step by st
 from __future__ import annotations
 
 from matchlog.plans.assemble import minute_columns
-from matchlog.queries import LAST_ROWS, RADIUS, SUPPORT, TOP, TRAIN_GAMES
+from matchlog.queries import LAST_ROWS, RADIUS, RARE_AFTER, SUPPORT, TOP, TRAIN_GAMES
 from matchlog.sources.sample import CENTRES, UNITS
 from matchlog.sources.schema import EVENTS, PLAYERS, SPECIES
 
@@ -88,6 +88,10 @@ ORACLE["union_train_test"] = _sql(
 ORACLE["limit_scan"] = _sql(
     final="SELECT seq, game_id, player, event FROM log ORDER BY seq LIMIT 100"
 )
+ORACLE["ingested_csv"] = _sql(
+    final="""SELECT * FROM (SELECT ROW_NUMBER() OVER (ORDER BY seq) - 1 AS seq, game_id, winner, player,
+      species, event, event_contents FROM log) t WHERE event IN ('Camera', 'Ability')"""
+)
 ORACLE["parse_coordinates"] = _sql(
     final=rf"""
 SELECT seq, event, slice, x, y, target, target_x, target_y FROM (
@@ -101,6 +105,23 @@ SELECT seq, event, slice, x, y, target, target_x, target_y FROM (
 WHERE x IS NOT NULL AND y IS NOT NULL"""
 )
 
+ORACLE["parse_targets"] = _sql(
+    """
+clicks AS (
+  SELECT seq, event, slice, CASE WHEN seq % 3 = 0 THEN 'Target: ' ||
+    CASE seq % 7 WHEN 0 THEN 'Lurker Den' WHEN 1 THEN '' WHEN 2 THEN 'SiegeTank' ELSE 'Zealot' END
+    || ' [' || printf('%X', seq) || CASE WHEN seq % 5 = 0 THEN 'x' ELSE '' END || ']; ' || event_contents
+    ELSE event_contents END AS event_contents
+  FROM log WHERE event = 'Right Click')""",
+    final=rf"""
+SELECT seq, event, slice, TRY_CAST(regexp_extract(event_contents, '{_COORD}', 1) AS INT) AS x,
+  TRY_CAST(regexp_extract(event_contents, '{_COORD}', 2) AS INT) AS y,
+  regexp_extract(event_contents, '{_TARGET}', 1) AS target,
+  TRY_CAST(regexp_extract(event_contents, '{_TARGET}', 3) AS INT) AS target_x,
+  TRY_CAST(regexp_extract(event_contents, '{_TARGET}', 4) AS INT) AS target_y
+FROM clicks WHERE regexp_extract(event_contents, '{_TARGET}', 1) <> ''""",
+)
+
 _NAME = "string_split(string_split(event_contents, ';')[1], '- ')[-1]"
 
 
@@ -399,6 +420,16 @@ ORACLE["matchup_segment"] = _sql(
               WHERE species_mix = '12'""",
 )
 
+ORACLE["exported_locations"] = _sql(
+    """
+located AS (
+  SELECT CASE WHEN contains(event_contents, ';')
+    THEN string_split(string_split(event_contents, ';')[-1], ': ')[-1] END AS location
+  FROM log WHERE event = 'Ability')""",
+    final="SELECT location, COUNT(*) AS n FROM located WHERE location IS NOT NULL GROUP BY location",
+)
+ORACLE["overwritten_table"] = ORACLE["game_duration"]
+
 # --- actions ---
 
 _AGILITY = f"""
@@ -454,6 +485,19 @@ def _event_columns() -> str:
     )
 
 
+def _chunked(condition: str, name: str) -> str:
+    """``_AGILITY`` of some rows under another name."""
+    return _AGILITY.replace("acted", f"acted_{name}").replace("agility AS", f"{name} AS").replace(
+        "event IN ('Ability', 'Right Click')", condition
+    )
+
+
+ORACLE["rewritten_chunk"] = _sql(
+    _chunked("event = 'Ability'", "stale"),
+    _chunked("event IN ('Ability', 'Right Click') AND game_id BETWEEN 100 AND 199", "fresh"),
+    final="""SELECT * FROM stale WHERE game_id NOT BETWEEN 100 AND 199
+UNION ALL SELECT * FROM fresh""",
+)
 ORACLE["player_event_counts"] = _sql(
     final=f"SELECT game_id, {_event_columns()} FROM log GROUP BY game_id"
 )
@@ -513,6 +557,8 @@ ORACLE["camera_center_drift"] = _sql(
     final=f"SELECT game_id, {_rounded([f'p{p}_center_{m}' for p, m in _CELLS])} FROM drift",
 )
 
+ORACLE["event_table_drift"] = ORACLE["camera_center_drift"]
+
 _STEP_NAMES = [f"p{p}_moving_{s}" for s in ("mean", "std") for p in PLAYERS] + [
     f"cam_moving_p{p}_{s}{m}" for p, m in _CELLS for s in ("mean", "std")
 ]
@@ -675,7 +721,7 @@ ORACLE["unit_name_frequency"] = _sql(
 ORACLE["rare_units"] = _sql(
     _MENTIONS,
     _FIRST_CLAIMS,
-    final=f"SELECT species, name, mentions FROM places WHERE place > {TOP}",
+    final=f"SELECT species, name, mentions FROM places WHERE place > {RARE_AFTER}",
 )
 _SLOTS = f"""
 species_of AS (
@@ -823,22 +869,30 @@ _WHOLE = [f"map_{i}" for i in range(7)] + [
 _DECIMAL = ["duration"] + [f"{c}_{p}" for p in PLAYERS for c in ("supply", "minerals", "gas")]
 _FLAGS = [f"species{p}_{s}" for p in PLAYERS for s in SPECIES]
 
+ORACLE["kept_ownership"] = _sql(
+    _UNITS,
+    _MENTIONS,
+    _OWNED,
+    final="SELECT player, unit, COUNT(*) AS n, COUNT(DISTINCT game_id) AS games FROM owned GROUP BY player, unit",
+)
 ORACLE["final_matrix"] = _sql(
     *_MATRIX_TABLES,
     f"flags AS (SELECT game_id, {_SPECIES_FLAGS} FROM flat)",
     f"action_totals AS (SELECT game_id, {_AGILITY_TOTALS} FROM agility)",
     final=f"""
-SELECT g.game_id, f.winner, {_zeroed("f", _WHOLE)}, {_zeroed("f", _DECIMAL, True)},
+SELECT g.game_id, g.winner, {_zeroed("f", _WHOLE)}, {_zeroed("f", _DECIMAL, True)},
   {_zeroed("s", _FLAGS)}, {_zeroed("h", _HOMEAWAY_NAMES, True)},
   {_zeroed("t", [n for n in _STEP_NAMES if n.startswith("p")], True)},
   {_zeroed("a", [f"p{p}_attack_units" for p in PLAYERS], True)},
   {_zeroed("n", [f"p{p}_actions" for p in PLAYERS])}
-FROM unit_counts g LEFT JOIN flat f ON g.game_id = f.game_id
+FROM (SELECT game_id, MAX(winner) AS winner FROM log GROUP BY game_id) g
+LEFT JOIN flat f ON g.game_id = f.game_id
 LEFT JOIN flags s ON g.game_id = s.game_id LEFT JOIN homeaway h ON g.game_id = h.game_id
 LEFT JOIN drift d ON g.game_id = d.game_id LEFT JOIN step_stats t ON g.game_id = t.game_id
 LEFT JOIN attack a ON g.game_id = a.game_id LEFT JOIN action_totals n ON g.game_id = n.game_id
-WHERE f.winner IS NOT NULL""",
+WHERE g.winner IS NOT NULL""",
 )
+ORACLE["saved_feature_matrix"] = ORACLE["final_matrix"]
 
 # --- scores ---
 

@@ -145,23 +145,21 @@ def map_flags(number: Column, count: int) -> list[Column]:
 def flatten_players(rows: DataFrame, maps: DataFrame, map_count: int = MAPS) -> DataFrame:
     """Both players of a game side by side, with map and species as 0/1 columns.
 
-    A game without rows of both players drops out. The two sides are gathered in one
-    grouping (a player has one row per species played), so the log is read once.
+    A game without rows of both players drops out. The two sides join on the game, by which
+    ``rows`` are dealt already, and agree on the winner; a player has one row per species
+    played.
     """
     values = ("species", *COUNTS, *COSTS)
-    sides = rows.groupBy("game_id", "winner", "duration").agg(
-        *[
-            F.collect_list(
-                F.when(F.col("player") == p, F.struct(*[F.col(v).alias(f"{v}_{p}") for v in values]))
-            ).alias(f"side_{p}")
-            for p in PLAYERS
-        ]
-    )
-    games = (
-        sides.select("game_id", "winner", "duration", F.explode("side_0").alias("_0"), "side_1")
-        .select("game_id", "winner", "duration", "_0", F.explode("side_1").alias("_1"))
-        .select("game_id", "winner", "duration", "_0.*", "_1.*")
-    )
+
+    def side(p: int, *keys: Column) -> DataFrame:
+        named = [F.col(v).alias(f"{v}_{p}") for v in values]
+        return rows.where(F.col("player") == p).select(*keys, *named)
+
+    left = side(0, F.col("game_id"), F.col("winner"), F.col("duration"))
+    right = side(1, F.col("game_id").alias("_game"), F.col("winner").alias("_winner"))
+    # not an equality of columns: the game alone stays the join key
+    agree = F.coalesce("winner", F.lit(-1)) - F.coalesce("_winner", F.lit(-1)) == 0
+    games = left.join(right, (F.col("game_id") == F.col("_game")) & agree)
     return games.join(maps.select("game_id", "map"), "game_id", "left").select(
         "game_id",
         "winner",

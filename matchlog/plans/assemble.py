@@ -9,7 +9,7 @@ from matchlog.functions import scalar
 from matchlog.operators import ordered, shaping
 from matchlog.plans import ability, actions, camera, units
 from matchlog.session import materialize
-from matchlog.sources.readers import UnitCatalog, game_spine
+from matchlog.sources.readers import UnitCatalog
 from matchlog.sources.schema import PLAYERS
 
 KEYS = ("game_id", "winner")
@@ -21,16 +21,23 @@ def feature_tables(
     maps: DataFrame,
     last_rows: int = camera.LAST_ROWS,
     block_rows: int = ordered.BLOCK_ROWS,
+    map_count: int = ability.MAPS,
+    games: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """The feature tables by name, each with one row per game; ``games`` lists those of the log.
+    """The feature tables by name, each with one row per game; ``games`` lists those of the log
+    with their label, whatever events they have.
 
     Positions are parsed once and kept as a narrow table for the three tables made of them.
+    ``map_count`` is the number of map columns, the ``k`` of fitted map detection; ``games``
+    the games with their labels, where they are known already.
     """
     moves = materialize(camera.points(log))
     return {
-        "games": game_spine(log),
+        "games": labelled_games(log) if games is None else games,
         "unit_counts": units.unit_counts_dense(log, catalog, block_rows=block_rows),
-        "ability": ability.game_rows(log, catalog.frame(log.sparkSession), maps),
+        "ability": ability.game_rows(
+            log, catalog.frame(log.sparkSession), maps, map_count
+        ).drop("winner"),
         "camera_homeaway": camera.home_away(moves, last_rows, block_rows),
         "camera_center_moves": camera.center_drift(moves),
         "user_activity": actions.agility(log),
@@ -39,6 +46,11 @@ def feature_tables(
     }
 
 
+def labelled_games(log: DataFrame) -> DataFrame:
+    """Every game with its result, null where the log has none."""
+    return log.groupBy("game_id").agg(F.max("winner").alias("winner"))
+
+
 def minute_columns() -> list[str]:
     """Per-minute columns, left out of the final matrix."""
     minutes = range(camera.MINUTES)
@@ -56,13 +68,11 @@ def minute_columns() -> list[str]:
 def join_tables(tables: dict[str, DataFrame], extra: tuple[DataFrame, ...] = ()) -> DataFrame:
     """Every game of the log or of the unit counts with all tables; missing features become 0.
 
-    ``extra`` takes further tables that come ready-made. The label is never filled. Without a
-    table ``games`` the unit counts alone say which games there are.
+    ``extra`` takes further tables that come ready-made. The label is never filled; it comes
+    with ``games``, so a game needs no events of a certain type to have one.
     """
     others = [t for n, t in tables.items() if n not in ("games", "unit_counts")]
-    spine = tables["unit_counts"]
-    if "games" in tables:
-        spine = tables["games"].join(spine, "game_id", "full")
+    spine = tables["games"].join(tables["unit_counts"], "game_id", "full")
     joined = shaping.star_join(spine, [*others, *extra])
     return scalar.fill_features(joined, KEYS)
 

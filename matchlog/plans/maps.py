@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchlog.functions import scalar, text
+from matchlog.session import materialize
 from matchlog.sources.schema import PLAYERS
 
 STARTS = 15
@@ -16,8 +17,11 @@ SUPPORT = 100
 NO_THIRD = 999
 
 
-def start_positions(log: DataFrame) -> DataFrame:
-    """First camera position of both players for every game, null where there is none."""
+def start_positions(log: DataFrame, games: DataFrame | None = None) -> DataFrame:
+    """First camera position of both players for every game, null where there is none.
+
+    ``games`` lists the games where that is known already; else the log is read for it.
+    """
     camera = log.where(F.col("event") == "Camera")
     firsts = camera.groupBy("game_id").agg(
         *[
@@ -30,7 +34,8 @@ def start_positions(log: DataFrame) -> DataFrame:
         ]
     )
     # payloads are read for camera rows only, game ids for all
-    return log.select("game_id").distinct().join(firsts, "game_id", "left")
+    games = log.select("game_id").distinct() if games is None else games.select("game_id")
+    return games.join(firsts, "game_id", "left")
 
 
 def start_points(positions: DataFrame) -> DataFrame:
@@ -188,10 +193,11 @@ def map_data(
     centres: list[tuple[float, float]],
     radius: float = RADIUS,
     support: int = SUPPORT,
+    games: DataFrame | None = None,
 ) -> DataFrame:
     """Start numbers and map of every game, for given start centres."""
-    games = game_starts(start_positions(log), centres, radius)
-    return resolve_games(games, map_table(games, support))
+    starts = game_starts(start_positions(log, games), centres, radius)
+    return resolve_games(starts, map_table(starts, support))
 
 
 def fitted_map_data(
@@ -201,9 +207,11 @@ def fitted_map_data(
     support: int = SUPPORT,
     seed: int = 7,
 ) -> DataFrame:
-    """``map_data`` with centres clustered from the log itself."""
-    _, centres = fit_centres(start_points(start_positions(log)), k, seed)
-    return map_data(log, centres, radius, support)
+    """``map_data`` with centres clustered from the log itself, which is read once."""
+    positions = materialize(start_positions(log))
+    _, centres = fit_centres(start_points(positions), k, seed)
+    starts = materialize(game_starts(positions, centres, radius))
+    return resolve_games(starts, map_table(starts, support))
 
 
 def unordered_start_key(positions: DataFrame) -> DataFrame:

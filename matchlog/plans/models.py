@@ -244,8 +244,8 @@ def halving_search(
     trials: int = 8,
     folds: int = 5,
     bounds: dict = BOUNDS,
-    first: int = 10,
-    eta: int = 2,
+    first: int = 5,
+    eta: int = 3,
     seed: int = 20,
     parallelism: int = 8,
 ) -> DataFrame:
@@ -280,7 +280,7 @@ def halving_search(
         return fit
 
     alive, rung, rounds = list(range(trials)), 1, first
-    while alive:
+    while True:
         due = {t: min(rounds, settings[t]["maxIter"]) for t in alive}
         new = [t for t in alive if t not in reached or reached[t][1] < due[t]]
         jobs = [held_scores(t, k, due[t]) for t in new for k in range(folds)]
@@ -290,10 +290,10 @@ def halving_search(
             found = {r.trial: r.auc for r in per_trial.collect()}
         for t in alive:
             reached[t] = (rung, due[t], found[t] if t in new else reached[t][2])
-        if len(alive) == 1:
-            break
         alive.sort(key=lambda t: (-reached[t][2], t))
         alive = alive[: math.ceil(len(alive) / eta)]
+        if len(alive) == 1:
+            break
         rung, rounds = rung + 1, rounds * eta
     names = list(bounds)
     return spark.createDataFrame(
@@ -326,3 +326,16 @@ def submission(spine: DataFrame, scored: DataFrame) -> DataFrame:
     """Every game of the spine with its score, 0.5 where there is none."""
     answers = scored.select("game_id", clip(F.col("score"), 0.0, 1.0).alias("winner"))
     return answer_spine(spine, answers, 0.5)
+
+
+def answers(matrix: DataFrame, spine: DataFrame, **params) -> DataFrame:
+    """Trees fitted on the labelled games answer for every game of the spine.
+
+    ``matrix`` keeps games without a label; they are scored, and labelled ones get their own
+    result. A game of the spine that has no features gets 0.5.
+    """
+    rows = materialize(assembled(matrix))
+    model = gbt(**params).fit(rows.where(F.col(LABEL).isNotNull()))
+    known = rows.where(F.col(LABEL).isNotNull()).select("game_id", F.col(LABEL).cast("double").alias("score"))
+    scored = with_scores(model, rows.where(F.col(LABEL).isNull())).select("game_id", "score")
+    return submission(spine, known.unionByName(scored))

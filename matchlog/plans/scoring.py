@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchlog.operators import ordered
+from matchlog.session import materialize
 
 
 def split_number(key: Column, seed: int = 1, parts: int = 100) -> Column:
@@ -179,8 +180,9 @@ def error_frequency(games: DataFrame, wrong: DataFrame, *by: str) -> DataFrame:
 def histogram(scored: DataFrame, score: str = "score", bins: int = 10) -> DataFrame:
     """Counts in equal bins from the lowest to the highest score, empty bins left out.
 
-    The range is a one-row scalar subquery.
+    The range is a one-row scalar subquery over the scores, which are kept for it.
     """
+    scored = materialize(scored.select(score))
     low = scored.select(F.min(score)).scalar()
     high = scored.select(F.max(score)).scalar()
     width = (high - low) / bins

@@ -281,12 +281,15 @@ def without_neutral(held: DataFrame, neutral: DataFrame, every: bool = False) ->
     """Holdings without neutral objects.
 
     By default one object per player and name goes, the last claimed one; ``every``
-    removes them all.
+    removes them all. The neutral names travel as one row, so no name, however common, is a
+    join key.
     """
+    names = neutral.select(F.array_sort(F.collect_set("name"))).scalar()
+    is_neutral = F.coalesce(F.array_contains(names, F.col("name")), F.lit(False))
     if every:
-        return held.join(neutral, "name", "left_anti")
+        return held.where(~is_neutral)
     last = (
-        held.join(neutral, "name", "left_semi")
+        held.where(is_neutral)
         .groupBy("game_id", "player", "name")
         .agg(F.max("claimed_at").alias("claimed_at"))
         .select("game_id", "claimed_at")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchlog.functions import scalar, text
@@ -20,9 +21,9 @@ from matchlog.plans import (
     scoring,
     units,
 )
-from matchlog.session import materialize
-from matchlog.sources import readers
-from matchlog.sources.sample import CENTRES, UNITS, match_log
+from matchlog.session import materialize, shared_folder
+from matchlog.sources import readers, sinks
+from matchlog.sources.sample import CENTRES, UNITS, match_log, with_targets
 from matchlog.sources.schema import PLAYERS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,7 +31,8 @@ QUERIES: dict[str, Query] = {}
 
 # The sample log has a few dozen rows per game and spread-out starts.
 LAST_ROWS = 20
-TOP = 5
+TOP = units.TOP_NAMES
+RARE_AFTER = 5  # it names fewer than a hundred units
 RADIUS = 25.0
 SUPPORT = 3
 TRAIN_GAMES = 100
@@ -75,12 +77,19 @@ def limit_scan(spark, sf_dir):
 
 @query
 def parse_coordinates(spark, sf_dir):
-    return explore.parsed_coordinates(match_log(spark, sf_dir))
+    return explore.parsed_coordinates(match_log(spark, sf_dir, "Camera", "Right Click", "Ability"))
+
+
+@query
+def parse_targets(spark, sf_dir):
+    """Coordinates and targets of a log whose clicks name units."""
+    log = with_targets(match_log(spark, sf_dir, "Right Click"))
+    return explore.parsed_coordinates(log).where(F.col("target").isNotNull())
 
 
 @query
 def parse_ability(spark, sf_dir):
-    return explore.parsed_abilities(match_log(spark, sf_dir))
+    return explore.parsed_abilities(match_log(spark, sf_dir, "Ability"))
 
 
 @query
@@ -103,6 +112,79 @@ def parse_selection_units(spark, sf_dir):
     )
 
 
+# --- tables written and read back ---
+
+
+def _folder(spark) -> str:
+    return f"{shared_folder(spark)}/matchlog-{uuid.uuid4().hex}"
+
+
+@query
+def ingested_csv(spark, sf_dir):
+    """The log as CSV in several files, ingested by event type, two types read back pruned:
+    positions are those in the source."""
+    log, folder = match_log(spark, sf_dir), _folder(spark)
+    log.repartitionByRange("seq").sortWithinPartitions("seq").drop("seq").write.csv(f"{folder}/csv", header=True)
+    sinks.ingest_csv(spark, f"{folder}/csv", f"{folder}/log")
+    some = readers.read_ingested(spark, f"{folder}/log", "Camera", "Ability")
+    return some.select("seq", "game_id", "winner", "player", "species", "event", "event_contents")
+
+
+@query
+def event_table_drift(spark, sf_dir):
+    """Camera drift from a log table by event type, of which only two types are read."""
+    folder = _folder(spark)
+    sinks.write_by_event(match_log(spark, sf_dir), folder)
+    log = readers.read_log(spark, folder, "Camera", "Right Click")
+    return rounded(camera.center_drift(camera.points(log)))
+
+
+@query
+def rewritten_chunk(spark, sf_dir):
+    """Actions by chunks of 100 games, first of abilities only; the second chunk is then
+    written again from the whole log and replaces itself."""
+    log, folder = match_log(spark, sf_dir), _folder(spark)
+    stale = actions.agility(log.where(F.col("event") == "Ability"))
+    sinks.write_by_game_chunk(stale, folder, 100)
+    sinks.write_by_game_chunk(actions.agility(readers.game_range(log, 100, 199)), folder, 100)
+    return readers.load_chunks(spark, folder)
+
+
+@query
+def saved_feature_matrix(spark, sf_dir):
+    """The final matrix from feature tables that were saved bucketed and loaded by name."""
+    folder = _folder(spark)
+    sinks.save_features(_tables(spark, sf_dir), folder, buckets=8)
+    loaded = readers.load_features(spark, folder)
+    return rounded(scalar.plain_names(assemble.final_matrix(loaded, UNITS)))
+
+
+@query
+def exported_locations(spark, sf_dir):
+    """The parsed ability locations written as CSV and read back, with their frequency."""
+    folder = _folder(spark)
+    parsed = explore.parsed_abilities(match_log(spark, sf_dir, "Ability"))
+    sinks.export_column(parsed, "location", folder)
+    return explore.value_counts(spark.read.csv(folder, header=True), "location")
+
+
+@query
+def overwritten_table(spark, sf_dir):
+    """A CSV feature table written twice: what is read back is the second one."""
+    folder, log = _folder(spark), match_log(spark, sf_dir, "Ability")
+    sinks.write_table(ability.game_duration(log.where(F.col("game_id") < 50)), folder, "csv")
+    sinks.write_table(ability.game_duration(log), folder, "csv")
+    return rounded(spark.read.schema("game_id INT, duration DOUBLE").csv(folder, header=True))
+
+
+@query
+def kept_ownership(spark, sf_dir):
+    """Unit ownership kept as a relation, read back and counted by name."""
+    owned = units.ownership(match_log(spark, sf_dir, "Selection"), UNITS)
+    kept = sinks.save_relation(owned, _folder(spark))
+    return kept.groupBy("player", "unit").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("game_id").alias("games"))
+
+
 # --- ability features ---
 
 
@@ -160,12 +242,12 @@ def matchup_segment(spark, sf_dir):
 
 
 def _moves(spark, sf_dir):
-    return camera.points(match_log(spark, sf_dir))
+    return camera.points(match_log(spark, sf_dir, "Camera", "Right Click"))
 
 
 @query
 def action_agility(spark, sf_dir):
-    return actions.agility_totals(actions.agility(match_log(spark, sf_dir)))
+    return actions.agility_totals(actions.agility(match_log(spark, sf_dir, "Ability", "Right Click")))
 
 
 @query
@@ -195,7 +277,7 @@ def aggressive_per_minute(spark, sf_dir):
 
 @query
 def attack_strength(spark, sf_dir):
-    return rounded(actions.attack_strength(match_log(spark, sf_dir), UNITS))
+    return rounded(actions.attack_strength(match_log(spark, sf_dir, "Selection", "Ability"), UNITS))
 
 
 @query
@@ -262,7 +344,7 @@ def slot_ratios(spark, sf_dir):
 @query
 def rare_units(spark, sf_dir):
     frequency = materialize(units.name_frequency(units.first_claims(match_log(spark, sf_dir, "Selection"))))
-    return units.rare_names(frequency, TOP)
+    return units.rare_names(frequency, RARE_AFTER)
 
 
 @query
@@ -378,10 +460,16 @@ def text_search_first(spark, sf_dir):
 # --- matrix and scores ---
 
 
-def _matrix(spark, sf_dir):
+def _tables(spark, sf_dir):
+    """The feature tables; the games are listed once and handed to all that need them."""
     log = match_log(spark, sf_dir)
-    tables = assemble.feature_tables(log, UNITS, _map_data(spark, sf_dir), LAST_ROWS)
-    return assemble.final_matrix(tables, UNITS)
+    games = materialize(assemble.labelled_games(log))
+    played = maps.map_data(log, list(CENTRES), RADIUS, SUPPORT, games)
+    return assemble.feature_tables(log, UNITS, played, LAST_ROWS, games=games)
+
+
+def _matrix(spark, sf_dir):
+    return assemble.final_matrix(_tables(spark, sf_dir), UNITS)
 
 
 @query
@@ -389,6 +477,15 @@ def final_matrix(spark, sf_dir):
     return rounded(scalar.plain_names(_matrix(spark, sf_dir)))
 
 
+@query
+def fitted_map_matrix(spark, sf_dir):
+    """The matrix with maps detected from clustered starts, 15 map columns."""
+    log = match_log(spark, sf_dir)
+    played = materialize(maps.fitted_map_data(log, maps.STARTS, RADIUS, SUPPORT))
+    tables = assemble.feature_tables(log, UNITS, played, LAST_ROWS, map_count=maps.STARTS)
+    return rounded(scalar.plain_names(assemble.final_matrix(tables, UNITS)))
+
+
 def scored_games(log: DataFrame) -> DataFrame:
     """A score that needs no model: player 1's share of abilities and clicks."""
     acted = F.col("event").isin("Ability", "Right Click")
@@ -489,17 +586,21 @@ def score_histogram(spark, sf_dir):
 
 @query
 def best_iteration(spark, sf_dir):
-    """The minute up to which the more active player won most often."""
-    series = actions.event_series(match_log(spark, sf_dir)).groupBy("game_id", "slice").agg(
-        *[
-            F.max(F.when(F.col("player") == p, F.col("so_far"))).alias(f"so_far_{p}")
-            for p in PLAYERS
-        ]
+    """The minute up to which the more active player won most often, in one read of the log."""
+    minute = scalar.minute(F.col("time")).alias("slice")
+    counts = match_log(spark, sf_dir).groupBy("game_id", minute).agg(
+        *[F.count_if(F.col("player") == p).alias(f"n_{p}") for p in PLAYERS],
+        F.max("winner").alias("winner"),
+    )
+    so_far = Window.partitionBy("game_id").orderBy("slice")
+    totals = [F.sum(f"n_{p}").over(so_far) for p in PLAYERS]
+    series = counts.select(
+        "slice",
+        *[F.when(F.col(f"n_{p}") > 0, t).alias(f"so_far_{p}") for p, t in zip(PLAYERS, totals)],
+        F.max("winner").over(Window.partitionBy("game_id")).alias("winner"),
     )
-    winners = match_log(spark, sf_dir).groupBy("game_id").agg(F.max("winner").alias("winner"))
     hits = (
-        series.dropna()
-        .join(winners, "game_id")
+        series.dropna(subset=[f"so_far_{p}" for p in PLAYERS])
         .groupBy("slice")
         .agg(
             F.avg(
@@ -507,7 +608,7 @@ def best_iteration(spark, sf_dir):
             ).alias("hit_rate")
         )
     )
-    return scoring.best_round(rounded(hits), "slice", "hit_rate")
+    return scoring.best_round(materialize(rounded(hits)), "slice", "hit_rate")
 
 
 # --- models: fitted on the whole matrix, checked by properties ---
@@ -524,6 +625,17 @@ def gbt_scores(spark, sf_dir):
     return models.gbt_holdout(_matrix(spark, sf_dir), positive=1.1, **TREES)
 
 
+@query
+def all_games_answered(spark, sf_dir):
+    """Fitted on the games of a train log, scored on those of a test log without results."""
+    log = match_log(spark, sf_dir).withColumn(
+        "winner", F.when(F.col("game_id") < TRAIN_GAMES, F.col("winner"))
+    )
+    tables = assemble.feature_tables(log, UNITS, _map_data(spark, sf_dir), LAST_ROWS)
+    matrix = assemble.final_matrix(tables, UNITS, labeled=False)
+    return models.answers(matrix, readers.game_spine(log), **TREES)
+
+
 @query
 def rf_depth_sweep(spark, sf_dir):
     return models.depth_sweep(_matrix(spark, sf_dir), list(range(1, 31)), parallelism=8)
@@ -548,5 +660,5 @@ def cv_learning_curve(spark, sf_dir):
 
 @query
 def cv_search(spark, sf_dir):
-    """Successive halving of eight trials over the whole bounds."""
-    return models.halving_search(_matrix(spark, sf_dir), trials=8)
+    """Successive halving of six trials over the whole bounds."""
+    return models.halving_search(_matrix(spark, sf_dir), trials=6)

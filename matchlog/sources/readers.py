@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -13,39 +14,48 @@ from matchlog.session import materialize
 from matchlog.sources import schema
 
 
-def with_source_order(df: DataFrame) -> DataFrame:
-    """Add ``seq``, the dense position of each row in its source files.
+SPLIT = ["_file", "_start"]
 
-    File order is split order, so the row numbers inside a split are shifted by the rows
-    of the splits before it. The rows are first written down with the numbers they got:
-    another scan may cut and number its splits differently. How the counts per split (one
-    row per ~128 MB of input) are joined to the rows is Spark's choice, by their size.
-    """
-    located = materialize(
-        df.select(
-            "*",
-            F.col("_metadata.file_path").alias("_file"),
-            F.col("_metadata.file_block_start").alias("_start"),
-            F.monotonically_increasing_id().alias("_row"),
-        )
+
+def located(raw: DataFrame) -> DataFrame:
+    """Rows read from files, with the split each comes from and a number that grows along it."""
+    return raw.select(
+        "*",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_row"),
     )
-    before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
-    splits = materialize(
-        located.groupBy("_file", "_start")
-        .agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
-        .select(
-            "_file",
-            "_start",
-            (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
-        )
+
+
+def split_shifts(rows: DataFrame) -> DataFrame:
+    """What to add to a split's row numbers to get positions in the source: file order is
+    split order, so the rows of the splits before. There is one row per ~128 MB of input."""
+    before = Window.orderBy(*SPLIT).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(*SPLIT).agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    return sizes.select(
+        *SPLIT, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift")
     )
+
+
+def positioned(rows: DataFrame, shifts: DataFrame) -> DataFrame:
+    """Located rows with ``seq``. How the shifts are joined is Spark's choice, by their size."""
     return (
-        located.join(splits, ["_file", "_start"])
+        rows.join(shifts, SPLIT)
         .withColumn("seq", F.col("_row") + F.col("_shift"))
-        .drop("_file", "_start", "_row", "_shift")
+        .drop(*SPLIT, "_row", "_shift")
     )
 
 
+def with_source_order(df: DataFrame) -> DataFrame:
+    """Add ``seq``, the dense position of each row in its source files.
+
+    The rows are first written down with the numbers they got: another scan may cut and
+    number its splits differently. ``sinks.ingest_csv`` makes that copy the log table itself.
+    """
+    rows = materialize(located(df))
+    return positioned(rows, materialize(split_shifts(rows)))
+
+
 def csv_header(spark: SparkSession, path: str) -> list[str]:
     """The column names in the first line of a CSV."""
     return list(spark.read.csv(path, header=False).first())
@@ -53,12 +63,26 @@ def csv_header(spark: SparkSession, path: str) -> list[str]:
 
 def read_log_csv(spark: SparkSession, path: str) -> DataFrame:
     """A raw log CSV with its row order frozen as ``seq``; a missing winner becomes null."""
-    raw = spark.read.schema(schema.csv_schema(csv_header(spark, path))).csv(path, header=True)
-    ordered = with_source_order(raw)
-    for field in schema.LOG.fields:
-        if field.name not in ordered.columns:
-            ordered = ordered.withColumn(field.name, F.lit(None).cast(field.dataType))
-    return ordered.select(schema.LOG.names)
+    return as_log(with_source_order(scan_csv(spark, path)))
+
+
+def scan_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A raw log CSV in the columns of its header."""
+    return spark.read.schema(schema.csv_schema(csv_header(spark, path))).csv(path, header=True)
+
+
+def as_log(rows: DataFrame) -> DataFrame:
+    """Rows in the columns of a log; what is missing is null."""
+    missing = [f for f in schema.LOG.fields if f.name not in rows.columns]
+    nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in missing]
+    return rows.select("*", *nulls).select(schema.LOG.names)
+
+
+def read_ingested(spark: SparkSession, path: str, *events: str) -> DataFrame:
+    """A log that ``sinks.ingest_csv`` wrote; ``events`` prune its partitions."""
+    rows = spark.read.parquet(f"{path}/rows")
+    rows = rows.where(F.col("event").isin(*events)) if events else rows
+    return as_log(positioned(rows, spark.read.parquet(f"{path}/splits")))
 
 
 def read_log(spark: SparkSession, path: str, *events: str) -> DataFrame:
@@ -68,8 +92,18 @@ def read_log(spark: SparkSession, path: str, *events: str) -> DataFrame:
 
 
 def first_rows(log: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` rows in source order."""
-    return log.orderBy("seq").limit(n)
+    """The first ``n`` rows in source order, read up to a bound on the position.
+
+    The bound starts at 2 n and doubles until ``n`` rows lie below it, or none above. It goes
+    to the scan, which skips files and row groups by their statistics; so a prefix costs about
+    its own size, also of a filtered log.
+    """
+    bound = 2 * n
+    while n and log.where(F.col("seq") < bound).limit(n).count() < n:
+        if log.where(F.col("seq") >= bound).isEmpty():
+            break
+        bound *= 2
+    return log.where(F.col("seq") < bound).orderBy("seq").limit(n)
 
 
 def game_range(log: DataFrame, first: int, last: int) -> DataFrame:
@@ -79,12 +113,10 @@ def game_range(log: DataFrame, first: int, last: int) -> DataFrame:
 
 def union_logs(train: DataFrame, test: DataFrame) -> DataFrame:
     """Train without its label, followed by test: test's positions start after train's last,
-    so that positions stay unique over the joined log."""
-    last = train.agg(F.coalesce(F.max("seq") + 1, F.lit(0)).alias("_after"))
-    start = test.agg(F.coalesce(F.min("seq"), F.lit(0)).alias("_from"))
-    shift = last.crossJoin(start).select(F.greatest(F.col("_after") - F.col("_from"), F.lit(0)).alias("_shift"))
-    moved = test.drop("winner").crossJoin(F.broadcast(shift))  # one row
-    moved = moved.withColumn("seq", F.col("seq") + F.col("_shift")).drop("_shift")
+    so that positions stay unique over the joined log. The shift is a scalar subquery."""
+    last = train.select(F.coalesce(F.max("seq") + 1, F.lit(0))).scalar()
+    start = test.select(F.coalesce(F.min("seq"), F.lit(0))).scalar()
+    moved = test.drop("winner").withColumn("seq", F.col("seq") + F.greatest(last - start, F.lit(0)))
     return train.drop("winner").unionByName(moved, allowMissingColumns=True)
 
 
@@ -113,6 +145,26 @@ def load_chunks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("game_chunk")
 
 
+def load_features(spark: SparkSession, path: str, *names: str) -> dict[str, DataFrame]:
+    """Feature tables that ``sinks.save_features`` wrote, all or those named.
+
+    They are declared with their buckets, so joins on the game need no shuffle.
+    """
+    listed = {r.name: r for r in spark.read.json(f"{path}/manifest").collect()}
+    found = {}
+    for name in names or listed:
+        if name not in listed:
+            raise KeyError(f"no feature table {name} in {path}; there are {sorted(listed)}")
+        table = f"matchlog_{uuid.uuid4().hex}"
+        spark.sql(
+            f"CREATE TABLE {table} ({listed[name].columns}) USING parquet "
+            f"CLUSTERED BY (game_id) SORTED BY (game_id) INTO {listed[name].buckets} BUCKETS "
+            f"LOCATION '{path}/{name}'"
+        )
+        found[name] = spark.table(table)
+    return found
+
+
 @dataclass(frozen=True)
 class UnitCatalog:
     """The unit dimension, one row per (unit, species): ``rows`` known here, or a ``table``

@@ -81,3 +81,13 @@ def match_log(spark: SparkSession, sf_dir: str, *events: str) -> DataFrame:
             f"{_CONTENTS} AS event_contents",
         )
     )
+
+
+def with_targets(log: DataFrame) -> DataFrame:
+    """The log with a target before every third row's location, as clicks on units have it;
+    some names are ill-formed and name no target."""
+    name = "CASE seq % 7 WHEN 0 THEN 'Lurker Den' WHEN 1 THEN '' WHEN 2 THEN 'SiegeTank' ELSE 'Zealot' END"
+    target = f"concat('Target: ', {name}, ' [', hex(seq), CASE WHEN seq % 5 = 0 THEN 'x' ELSE '' END, ']; ')"
+    clicked = F.expr("event = 'Right Click' AND seq % 3 = 0")
+    contents = F.concat(F.expr(target), F.col("event_contents"))
+    return log.withColumn("event_contents", F.when(clicked, contents).otherwise(F.col("event_contents")))

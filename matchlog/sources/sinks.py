@@ -2,12 +2,63 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml.util import MLWritable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matchlog.sources import readers
+
 ROWS_PER_FILE = 4_000_000
 GAMES_PER_CHUNK = 1000
+BUCKETS = 200
+
+
+def ingest_csv(spark: SparkSession, source: str, path: str) -> None:
+    """A raw log CSV to a log table by event type, in one write of its rows.
+
+    Each row keeps its split and its number there; the counts per split, read back from those
+    two columns, go beside the rows, and ``readers.read_ingested`` makes positions of them.
+    Rows are gathered by (event, split); Spark splits large and merges small partitions.
+    """
+    (
+        readers.located(readers.scan_csv(spark, source))
+        .hint("rebalance", "event", *readers.SPLIT)
+        .sortWithinPartitions("event", "_row")
+        .write.mode("overwrite")
+        .partitionBy("event")
+        .parquet(f"{path}/rows")
+    )
+    shifts = readers.split_shifts(spark.read.parquet(f"{path}/rows"))
+    shifts.write.mode("overwrite").parquet(f"{path}/splits")
+
+
+def save_features(
+    tables: dict[str, DataFrame], path: str, buckets: int = BUCKETS
+) -> None:
+    """Write feature tables by name, each bucketed and sorted by game, and then a manifest.
+
+    All get the same buckets, one file each, so that any of them join without a shuffle.
+    The manifest lists a table's columns and buckets once it is whole.
+    """
+    listed = []
+    for name, table in tables.items():
+        temporary = f"matchlog_{uuid.uuid4().hex}"
+        (
+            table.repartition(buckets, "game_id")
+            .write.mode("overwrite")
+            .bucketBy(buckets, "game_id")
+            .sortBy("game_id")
+            .option("path", f"{path}/{name}")
+            .saveAsTable(temporary)
+        )
+        spark = table.sparkSession
+        spark.sql(f"DROP TABLE {temporary}")  # the files stay
+        columns = ", ".join(f"`{c}` {t}" for c, t in table.dtypes)
+        listed.append((name, columns, buckets))
+    manifest = spark.createDataFrame(listed, "name STRING, columns STRING, buckets INT")
+    manifest.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
 
 
 def write_by_event(log: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE) -> None:

@@ -13,5 +13,5 @@ def test_keys():
     # only fitted models have no SQL
     assert set(QUERIES) - set(statements) == {
         "map_clusters", "unit_pca", "gbt_scores", "rf_depth_sweep", "feature_importance",
-        "learning_curve", "cv_search",
+        "learning_curve", "cv_learning_curve", "cv_search", "fitted_map_matrix", "all_games_answered",
     }

@@ -1,6 +1,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from matchlog.plans import ability, actions, assemble, camera, explore
 from matchlog.sources.sample import UNITS
@@ -210,7 +211,9 @@ def test_final_matrix(make_log, spark):
     full = assemble.final_matrix(tables, UNITS, (extra,), labeled=False)
     assert full.count() == 3
     train = assemble.final_matrix(tables, UNITS, (extra,))
-    row = one(train)
+    # the label comes from the log: a game that one player has abilities in keeps its own
+    assert sorted((r.game_id, r.winner) for r in train.collect()) == [(0, 1), (1, 1)]
+    row = one(train.where("game_id = 0"))
     assert (row.game_id, row.winner, row.near, row.p0_moving_mean) == (0, 1, 5.0, 0.0)
     assert not [c for c in train.columns if "center" in c or "Marine" in c or "_s5" in c]
     assert len(assemble.minute_columns()) == 94
@@ -223,11 +226,42 @@ def test_final_matrix_of_games_without_selection(make_log, spark):
     maps = spark.createDataFrame([], "game_id INT, map INT")
     tables = assemble.feature_tables(log, UNITS, maps)
     train = assemble.final_matrix(tables, UNITS).collect()
-    assert sorted((r.game_id, r.winner, r.train_sum_0, r.train_sum_1) for r in train) == [(g, 1, 1, 1) for g in (-3, 0, 5)]
+    assert sorted((r.game_id, r.winner, r.train_sum_0, r.train_sum_1) for r in train) == [*[(g, 1, 1, 1) for g in (-3, 0, 5)], (7, 1, 0, 0)]
     full = assemble.final_matrix(tables, UNITS, labeled=False).collect()
     assert sorted(r.game_id for r in full) == [-3, 0, 5, 7]
 
 
+def test_matrix_keeps_labelled_games_without_abilities_of_both(make_log, spark):
+    """A label comes from the log, so a game without any ability stays, features at 0."""
+    rows = [(0, p, 1.0, "Ability", "(1) - TrainMarine") for p in (0, 1)]
+    rows += [(1, 0, 1.0, "Ability", "(1) - TrainMarine"), (2, 0, 0.1, "Camera", "at (1, 1)")]
+    maps = spark.createDataFrame([(2, 1)], "game_id INT, map INT")
+    train = assemble.final_matrix(assemble.feature_tables(make_log(rows), UNITS, maps), UNITS)
+    assert sorted((r.game_id, r.winner, r.train_sum_0) for r in train.collect()) == [(0, 1, 1), (1, 1, 0), (2, 1, 0)]
+    unlabelled = make_log(rows, winner=None)
+    tables = assemble.feature_tables(unlabelled, UNITS, maps)
+    assert assemble.final_matrix(tables, UNITS).count() == 0
+    assert assemble.final_matrix(tables, UNITS, labeled=False).count() == 3
+
+
+def test_matrix_with_fifteen_maps(make_log, spark):
+    log = make_log([(g, p, 1.0, "Ability", "(1) - TrainMarine") for g in range(15) for p in (0, 1)])
+    maps = spark.createDataFrame([(g, g) for g in range(15)], "game_id INT, map INT")
+    tables = assemble.feature_tables(log, UNITS, maps, map_count=15)
+    for r in assemble.final_matrix(tables, UNITS).collect():
+        assert [r[f"map_{i}"] for i in range(15)] == [int(i == r.game_id) for i in range(15)]
+    with pytest.raises(Exception, match="no column for map"):
+        assemble.final_matrix(assemble.feature_tables(log, UNITS, maps), UNITS).collect()
+
+
+def test_sides_of_several_species_and_null_winners(make_log, spark):
+    log = make_log([(0, p, 1.0, "Ability", "(1) - TrainMarine") for p in (0, 1)], winner=None)
+    twice = log.unionByName(log.where("player = 1").withColumn("species", F.lit("Z")))
+    rows = ability.player_rows(twice, UNITS.frame(spark))
+    got = ability.flatten_players(rows, spark.createDataFrame([], "game_id INT, map INT")).collect()
+    assert sorted((r.winner, r.species_0, r.species_1) for r in got) == [(None, "T", "P"), (None, "T", "Z")]
+
+
 def test_near_ratios(spark):
     near = spark.createDataFrame(
         [(0, 3, 1, 0, 0)],

@@ -1,3 +1,4 @@
+import os
 import re
 
 import pytest
@@ -5,6 +6,7 @@ from pyspark.sql import functions as F
 
 from matchlog.operators import shaping
 from matchlog.plans import explore
+from matchlog.session import shared_folder
 from matchlog.sources import readers, sample, sinks
 from matchlog.sources.schema import LOG
 
@@ -30,6 +32,90 @@ def test_csv_order_becomes_seq(spark, tmp_path):
     assert len(rows) == 2000 and all(r.seq == r.game_id for r in rows)
 
 
+def test_ingest_writes_the_rows_once_and_keeps_their_order(spark, tmp_path):
+    """Cut into many splits, the log is written to its table and nowhere else."""
+    path, table = tmp_path / "train.csv", str(tmp_path / "log")
+    events = ["Camera", "Ability", "Selection"]
+    lines = ["game_id,winner,time,player,species,event,event_contents"]
+    lines += [f'{i},1,{i / 7},{i % 2},T,{events[i % 3]},"at ({i}, 2)"' for i in range(3000)]
+    path.write_text("\n".join(lines) + "\n")
+    folder = shared_folder(spark)
+    before = set(os.listdir(folder))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        assert spark.read.text(str(path)).select("_metadata.file_block_start").distinct().count() > 5
+        sinks.ingest_csv(spark, str(path), table)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert set(os.listdir(folder)) == before
+    assert spark.read.parquet(f"{table}/rows").count() == 3000
+    assert spark.read.parquet(f"{table}/splits").count() > 5
+    log = readers.read_ingested(spark, table)
+    assert log.columns == LOG.names
+    assert sorted((r.seq, r.game_id) for r in log.collect()) == [(i, i) for i in range(3000)]
+    some = readers.read_ingested(spark, table, "Ability")
+    assert sorted(r.seq for r in some.collect()) == list(range(1, 3000, 3))
+    plan = re.sub(r"#\d+", "", some._jdf.queryExecution().executedPlan().toString())
+    assert re.search(r"PartitionFilters: \[isnotnull\(event\), \(event = Ability\)|PartitionFilters: \[event IN \(Ability\)|PartitionFilters: \[.*event = Ability", plan)
+
+
+def scanned_rows(df):
+    """Rows that the scans of a collected frame put out."""
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.executedPlan() if hasattr(plan, "executedPlan") and "Adaptive" in plan.nodeName() else plan
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+def test_first_rows_read_a_bounded_part(spark, tmp_path):
+    path = str(tmp_path / "log")
+    (
+        spark.range(200_000).select(F.col("id").alias("seq"), (F.col("id") % 100).alias("event"))
+        .coalesce(1).write.option("parquet.block.size", 1 << 16).option("parquet.page.row.count.limit", 1000).parquet(path)
+    )
+    log = spark.read.parquet(path)
+    first = readers.first_rows(log, 100)
+    assert [r.seq for r in first.collect()] == list(range(100))
+    assert scanned_rows(first) < 20_000
+    # a filtered log, of which every hundredth row is left, and fewer rows than asked for
+    some = readers.first_rows(log.where("event = 7"), 50)
+    assert [r.seq for r in some.collect()] == [7 + 100 * i for i in range(50)]
+    assert scanned_rows(some) < 40_000
+    late = readers.first_rows(log.where("seq >= 199990"), 100)
+    assert [r.seq for r in late.collect()] == list(range(199_990, 200_000))
+    assert readers.first_rows(log.where("seq < 0"), 10).count() == 0
+    assert readers.first_rows(log, 0).count() == 0
+
+
+def test_saved_features_join_without_a_shuffle(spark, tmp_path):
+    path = str(tmp_path / "features")
+    games = spark.range(500).select(F.col("id").cast("int").alias("game_id"))
+    tables = {
+        "games": games.withColumn("winner", F.col("game_id") % 2),
+        "one": games.where("game_id % 3 = 0").withColumn("a b", F.col("game_id") * 2),
+        "two": games.where("game_id % 5 = 0").withColumn("c", F.col("game_id") * 0.5),
+    }
+    sinks.save_features(tables, path, buckets=4)
+    loaded = readers.load_features(spark, path)
+    assert list(loaded) == list(tables)
+    for name, table in tables.items():
+        assert loaded[name].columns == table.columns
+        assert loaded[name].exceptAll(table).count() == 0 and loaded[name].count() == table.count()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = shaping.star_join(loaded["games"], [loaded["one"], loaded["two"]])
+        computed = shaping.star_join(tables["games"], [tables["one"], tables["two"]])
+        plans = [d._jdf.queryExecution().executedPlan().toString() for d in (joined, computed)]
+        assert "Exchange" not in plans[0] and "Exchange" in plans[1]
+        assert plans[0].count("SortMergeJoin") == 2
+        assert joined.exceptAll(computed).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert list(readers.load_features(spark, path, "two")) == ["two"]
+    with pytest.raises(KeyError, match="three"):
+        readers.load_features(spark, path, "three")
+
+
 def test_test_csv_has_no_winner(spark, tmp_path):
     path = tmp_path / "test.csv"
     path.write_text("game_id,time,player,species,event,event_contents\n7,0.5,1,Z,Camera,\n")

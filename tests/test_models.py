@@ -59,11 +59,13 @@ def test_curve_over_folds_is_that_of_the_models(matrix):
 
 def test_halving(matrix):
     small = models.BOUNDS | {"iterations": (3, 9), "leaves": (2, 9)}
-    got = models.halving_search(matrix, trials=4, folds=3, bounds=small, first=2).orderBy("trial").collect()
-    assert sorted(r.rungs for r in got) == [1, 1, 2, 3]
+    got = models.halving_search(matrix, trials=4, folds=3, bounds=small, first=2, eta=2).orderBy("trial").collect()
+    assert sorted(r.rungs for r in got) == [1, 1, 2, 2]
+    kept = [r for r in got if r.rungs == 2]
+    assert min(r.auc for r in kept) > 0.5
     drawn = models.sample_parameters(4, small)
     for r, d in zip(got, drawn):
-        assert r.rounds == min(2 ** r.rungs, int(d["iterations"]))
+        assert r.rounds == min(2**r.rungs, int(d["iterations"]))
         assert [r[n] for n in small] == [d[n] for n in small]
     # the last AUC is a plain cross-validated fit's, and losers were no better in their rung
     rows = models.fold_rows(matrix, 3)
@@ -109,6 +111,16 @@ def test_pca_is_centred_and_saved(spark, tmp_path):
     assert again.exceptAll(parts).count() == 0
 
 
+def test_answers_for_every_game(spark, matrix):
+    half = matrix.withColumn("winner", F.when(F.col("game_id") < 160, F.col("winner")))
+    spine = spark.range(250).select(F.col("id").cast("int").alias("game_id"))
+    got = {r.game_id: r.winner for r in models.answers(half, spine, maxIter=5, maxDepth=2).collect()}
+    truth = {r.game_id: r.winner for r in matrix.collect()}
+    assert len(got) == 250 and all(got[g] == 0.5 for g in range(240, 250))
+    assert all(got[g] == truth[g] for g in range(160))
+    assert sum((got[g] > 0.5) == truth[g] for g in range(160, 240)) > 70
+
+
 def test_submission(spark):
     spine = spark.createDataFrame([(1,), (2,)], "game_id INT")
     scored = spark.createDataFrame([(1, 1.2)], "game_id INT, score DOUBLE")
