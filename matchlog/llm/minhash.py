@@ -20,12 +20,17 @@ sequence as one; none: empty). Texts with 100 * intersection >= 75 * union are l
    between two components. So each candidate pair ends inside one component or refuted.
 6. What step 4 left out of the buckets is made up for: in each bucket that still holds several
    components, every member outside the bucket's largest component is compared with every
-   member of another component whose size allows the similarity, by the MinHash values of
-   both. That goes in squares of ``square`` members a side, each a group of its own, so that no
-   task holds a whole bucket. Pairs that agree often enough and weren't verified yet are
-   verified as in step 5. So every pair of classes that share a bucket ends inside one
-   component or refuted, whatever the bucket's size. The work grows with the members that
-   are not in the largest component times the members of the bucket.
+   member of another component whose size allows the similarity. What is compared are sketches
+   of ``SKETCH`` bits, each bit telling whether an odd number of the set's shingles fall on it.
+   Two sketches differ in at most as many bits as the sets have shingles that the other lacks,
+   and two linked sets have at most a seventh of their total size of those; so a pair whose
+   sketches differ in more can't be linked, and no linked pair is lost. Texts under one
+   template at 0.7 or less go here without becoming a row; only what remains is put out, and
+   verified as in step 5. It goes in squares of ``square`` members a side, each a group of its
+   own, so that no task holds a whole bucket. So every pair of classes that share a bucket ends
+   inside one component or refuted, whatever the bucket's size. The comparisons, a few words of
+   bits each, grow with the members that are not in the largest component times the members of
+   the bucket; what is shuffled and verified doesn't.
 
 A pair at exactly 0.75 shares no table with a chance of 0.0012 at half = 10, width = 2 (each
 entry matches at 0.75 ** 2; one in each collection must); at 0.85 of 1e-5.
@@ -46,12 +51,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchlog.llm.common import SPACES, binary, mixed, slices, word_hashes
+from matchlog.llm.common import SPACES, binary, mixed, slices, task_count, word_hashes
 from matchlog.session import materialize
 
 SHINGLE, PERCENT = 5, 75
 HALF, WIDTH = 10, 2
 SQUARE = 4096
+SKETCH = 1024
 #: Of 2 * HALF * WIDTH = 40 values; the chance to be below it is 3e-4 for a pair at 0.75.
 LEAST_AGREEING = 20
 
@@ -92,18 +98,24 @@ def signature(values: np.ndarray, seeds: tuple[np.ndarray, np.ndarray]) -> np.nd
     return out
 
 
+def sketch(values: np.ndarray) -> bytes:
+    """Parities of the set's shingles over ``SKETCH`` places."""
+    places = (values >> np.uint64(24)).astype(np.int64) % SKETCH
+    return np.packbits(np.bincount(places, minlength=SKETCH).astype(np.uint8) & 1).tobytes()
+
+
 def signatures(docs: DataFrame, key: str, value: str, half: int, width: int) -> DataFrame:
-    """(doc_id, n_shingles, set_key, entries, marks, text_key); an empty set has a null key."""
+    """(doc_id, n_shingles, set_key, entries, marks, sketch, text_key); an empty set has a null key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = hash_seeds(2 * half * width)
         for batch in batches:
             for row, end, data, offsets in slices(batch):
-                sizes, keys, entries, marks = [], [], [], []
+                sizes, keys, entries, marks, sketches = [], [], [], [], []
                 for values in shingle_sets(data, offsets):
                     sizes.append(len(values))
                     if not len(values):
-                        keys.append(None), entries.append(None), marks.append(None)
+                        keys.append(None), entries.append(None), marks.append(None), sketches.append(None)
                         continue
                     least = signature(values, seeds)
                     pairs = least.reshape(2 * half, width)
@@ -113,12 +125,13 @@ def signatures(docs: DataFrame, key: str, value: str, half: int, width: int) ->
                     keys.append(hashlib.blake2b(values.tobytes(), digest_size=16).digest())
                     entries.append(mixed(folded).view(np.int64))
                     marks.append(mixed(least).astype(np.uint8).tobytes())
+                    sketches.append(sketch(values))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(row, end - row), pa.array(sizes, pa.int64()), binary(keys), pa.array(entries, pa.list_(pa.int64())), binary(marks), batch.column(2).slice(row, end - row)],
-                    ["doc_id", "n_shingles", "set_key", "entries", "marks", "text_key"],
+                    [batch.column(0).slice(row, end - row), pa.array(sizes, pa.int64()), binary(keys), pa.array(entries, pa.list_(pa.int64())), binary(marks), binary(sketches), batch.column(2).slice(row, end - row)],
+                    ["doc_id", "n_shingles", "set_key", "entries", "marks", "sketch", "text_key"],
                 )
 
-    return _source(docs, key, value).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, entries array<long>, marks binary, text_key string")
+    return _source(docs, key, value).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, entries array<long>, marks binary, sketch binary, text_key string")
 
 
 def _source(docs: DataFrame, key: str, value: str) -> DataFrame:
@@ -144,21 +157,20 @@ def first_met(classes: DataFrame, half: int) -> DataFrame:
     return _pairs(met.select("class", F.col("x.class").alias("other"), _sizes_fit(F.col("x.size"), F.col("size")).alias("fits")), "fits")
 
 
-def left_to_meet(classes: DataFrame, half: int, least_agreeing: int, square: int = SQUARE) -> DataFrame:
-    """Distinct (a, b, agreeing), a < b: all pairs of classes of different components that share
-    a bucket, whose sizes allow the similarity and whose MinHash values agree often enough;
-    ``classes`` has a column root."""
-    keys = table_keys(classes, half, F.col("root"), F.col("n_shingles").alias("size"), F.col("marks"))
-    keys = keys.select("class", "root", "size", "marks", "key").repartition("key")
-    own, bucket = Window.partitionBy("key", "root"), Window.partitionBy("key")
-    keys = keys.withColumn("n_root", F.count("*").over(own))
-    keys = keys.withColumn("main", F.max(F.struct("n_root", "root")).over(bucket)).withColumn("n", F.count("*").over(bucket))
-    keys = keys.filter(F.col("n") > F.col("main.n_root")).withColumn("probe", F.col("root") != F.col("main.root"))
+def left_to_meet(classes: DataFrame, half: int, square: int = SQUARE) -> DataFrame:
+    """Distinct (a, b, alike), a < b: the pairs of classes of different components that share a
+    bucket and whose sketches allow the similarity; ``classes`` has a column root."""
+    keys = table_keys(classes, half, F.col("root"), F.col("n_shingles").alias("size")).select("class", "root", "size", "key")
+    per_root = keys.groupBy("key", "root").agg(F.count("*").alias("n_root"))
+    buckets = per_root.groupBy("key").agg(F.max(F.struct("n_root", "root")).alias("main"), F.sum("n_root").alias("n"))
+    buckets = buckets.filter(F.col("n") > F.col("main.n_root"))
+    keys = keys.join(buckets, "key").join(classes.select("class", "sketch"), "class")
+    keys = materialize(keys.withColumn("probe", F.col("root") != F.col("main.root")))
     across, down = (F.ceil(c / square).cast("int") for c in (F.col("n"), F.col("n") - F.col("main.n_root")))
     place = F.xxhash64("class", F.lit(1))
     every = lambda n: F.sequence(F.lit(0), n - 1)
-    as_target = keys.select("class", "root", "size", "marks", "key", F.lit(False).alias("probe"), F.pmod(place, across).cast("int").alias("x"), F.explode(every(down)).alias("y"))
-    as_probe = keys.filter("probe").select("class", "root", "size", "marks", "key", "probe", F.explode(every(across)).alias("x"), F.pmod(place, down).cast("int").alias("y"))
+    as_target = keys.select("class", "root", "size", "sketch", "key", F.lit(False).alias("probe"), F.pmod(place, across).cast("int").alias("x"), F.explode(every(down)).alias("y"))
+    as_probe = keys.filter("probe").select("class", "root", "size", "sketch", "key", "probe", F.explode(every(across)).alias("x"), F.pmod(place, down).cast("int").alias("y"))
     dealt = as_target.union(as_probe).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +179,7 @@ def left_to_meet(classes: DataFrame, half: int, least_agreeing: int, square: int
             if batch.num_rows:
                 group, rest = _ends_of_groups([*held, batch])
                 for each in group:
-                    pairs.append(_agreeing_across(*each, least_agreeing))
+                    pairs.append(_near_across(*each))
                     size += len(pairs[-1])
                 held = [rest]
                 if size >= 1 << 16:
@@ -175,16 +187,16 @@ def left_to_meet(classes: DataFrame, half: int, least_agreeing: int, square: int
                     pairs, size = [], 0
         if held:
             for each in _ends_of_groups(held, True)[0]:
-                pairs.append(_agreeing_across(*each, least_agreeing))
+                pairs.append(_near_across(*each))
         if pairs:
             yield _distinct_pairs(pairs)
 
-    met = dealt.select("class", "root", "size", "marks", "probe", "key", "x", "y").mapInArrow(compare, "a long, b long, agreeing int")
+    met = dealt.select("class", "root", "size", "sketch", "probe", "key", "x", "y").mapInArrow(compare, "a long, b long, alike int")
     return met.distinct()
 
 
 def _ends_of_groups(held: list[pa.RecordBatch], last: bool = False) -> tuple[Iterator[tuple[np.ndarray, ...]], pa.RecordBatch]:
-    """The (class, root, size, marks, probe) of each whole group (key, x, y), and the rows after them."""
+    """The (class, root, size, sketch, probe) of each whole group (key, x, y), and the rows after them."""
     whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
     place = [whole.column(k).to_numpy(zero_copy_only=False) for k in (5, 6, 7)]
     starts = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in place])]))
@@ -192,13 +204,14 @@ def _ends_of_groups(held: list[pa.RecordBatch], last: bool = False) -> tuple[Ite
         starts = np.append(starts, whole.num_rows)
     done = int(starts[-1])
     columns = [whole.column(k).to_numpy(zero_copy_only=False)[:done] for k in (0, 1, 2, 4)]
-    marks = np.frombuffer(b"".join(whole.column(3).slice(0, done).to_pylist()), np.uint8).reshape(done, -1) if done else np.zeros((0, 1), np.uint8)
-    groups = ((*(c[a:b] for c in columns[:3]), marks[a:b], columns[3][a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True))
+    bits = np.frombuffer(b"".join(whole.column(3).slice(0, done).to_pylist()), np.uint64).reshape(done, SKETCH // 64)
+    groups = ((*(c[a:b] for c in columns[:3]), bits[a:b], columns[3][a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True))
     return groups, whole.slice(done)
 
 
-def _agreeing_across(classes: np.ndarray, roots: np.ndarray, sizes: np.ndarray, marks: np.ndarray, probe: np.ndarray, least_agreeing: int) -> np.ndarray:
-    """Rows (a, b, agreeing) of probes with targets of another component."""
+def _near_across(classes: np.ndarray, roots: np.ndarray, sizes: np.ndarray, bits: np.ndarray, probe: np.ndarray) -> np.ndarray:
+    """Rows (a, b, alike) of probes with targets of another component: those whose sketches
+    differ in no more bits than linked sets differ in shingles."""
     probes, targets = np.flatnonzero(probe), np.flatnonzero(~probe)
     out = [np.zeros((0, 3), np.int64)]
     step = max(1, 100_000 // max(1, len(targets)))
@@ -207,16 +220,19 @@ def _agreeing_across(classes: np.ndarray, roots: np.ndarray, sizes: np.ndarray,
         small, large = np.minimum(sizes[p][:, None], sizes[targets]), np.maximum(sizes[p][:, None], sizes[targets])
         i, j = np.nonzero((roots[p][:, None] != roots[targets]) & (100 * small >= PERCENT * large))
         i, j = p[i], targets[j]
-        agree = (marks[i] == marks[j]).sum(axis=1)
-        keep = agree >= least_agreeing
+        total = sizes[i] + sizes[j]
+        apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+        # linked: 100 * both >= 75 * (total - both), and apart is at most total - 2 * both
+        keep = (100 + PERCENT) * apart <= (100 - PERCENT) * total
         x, y = classes[i[keep]], classes[j[keep]]
-        out.append(np.stack([np.minimum(x, y), np.maximum(x, y), agree[keep]], axis=1))
+        alike = 1_000_000 - 1_000_000 * apart[keep] // total[keep]
+        out.append(np.stack([np.minimum(x, y), np.maximum(x, y), alike], axis=1))
     return np.concatenate(out)
 
 
 def _distinct_pairs(pairs: list[np.ndarray]) -> pa.RecordBatch:
     rows = np.unique(np.concatenate(pairs), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2].astype(np.int32))], ["a", "b", "agreeing"])
+    return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2].astype(np.int32))], ["a", "b", "alike"])
 
 
 def _sizes_fit(a: F.Column, b: F.Column) -> F.Column:
@@ -302,7 +318,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", value: str = "text", h
     spark = docs.sparkSession
     rows = materialize(signatures(docs, key, value, half, width))
     grouped = rows.filter("set_key is not null").groupBy("set_key").agg(
-        F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("entries").alias("entries"), F.first("marks").alias("marks"), F.first("text_key").alias("text_key")
+        F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("entries").alias("entries"), F.first("marks").alias("marks"), F.first("sketch").alias("sketch"), F.first("text_key").alias("text_key")
     )
     classes = materialize(grouped.withColumn("class", F.monotonically_increasing_id()))
     met = materialize(first_met(classes, half))
@@ -311,19 +327,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", value: str = "text", h
     wanted = met.select(F.col("a").alias("class")).union(met.select(F.col("b").alias("class"))).distinct()
     involved = materialize(wanted.join(classes, "class"))
     source = _source(docs, key, value).select("text_key", "text")
-    texts = materialize(source.join(involved.select("class", "text_key"), "text_key").select("class", "text").dropDuplicates(["class"]))
+    # a text that many rows share is one before it is shuffled
+    source = source.groupBy("text_key").agg(F.first("text").alias("text"))
+    texts = materialize(source.join(involved.select("class", "text_key"), "text_key").select("class", "text"))
     best = found.select("a", "b", "agreeing").union(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "agreeing"))
     best = best.groupBy("a").agg(F.max(F.struct("agreeing", "b")).alias("best")).select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b"))
     links = materialize(verified(best.distinct(), texts))
     first = components(links)
     links, first = _linked_further(_between(found.select("a", "b"), first), texts, links, first)
     rooted = involved.join(first.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    near = materialize(left_to_meet(rooted, half, least_agreeing, square).join(found.select("a", "b"), ["a", "b"], "left_anti"))
+    near = materialize(left_to_meet(materialize(rooted), half, square).join(found.select("a", "b"), ["a", "b"], "left_anti"))
     # the most similar pair of each two components, then all that are still between two
     x = rooted.select(F.col("class").alias("a"), F.col("root").alias("x"))
     y = rooted.select(F.col("class").alias("b"), F.col("root").alias("y"))
     sides = near.join(x, "a").join(y, "b").groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    best = materialize(sides.agg(F.max(F.struct("agreeing", "a", "b")).alias("best")).select("best.a", "best.b"))
+    best = materialize(sides.agg(F.max(F.struct("alike", "a", "b")).alias("best")).select("best.a", "best.b"))
     links, first = _linked_further(best, texts, links, first)
     rest = near.select("a", "b").join(best, ["a", "b"], "left_anti")
     links, first = _linked_further(_between(rest, first), texts, links, first)
@@ -333,7 +351,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", value: str = "text", h
     # only classes that another row or class is in need a look-up
     copies = rows.filter("set_key is not null").groupBy("set_key").agg(F.count("*").alias("copies"))
     own = named.join(heads, "group").join(copies, "set_key").filter("classes > 1 or copies > 1")
-    out = rows.select("doc_id", "n_shingles", "set_key", "text_key").join(own.select("set_key", "component_id", "group"), "set_key", "left")
+    # copies of one set without number: each key's look-up goes to as many tasks as its rows
+    deal = F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(task_count(docs)))
+    narrow = rows.select("doc_id", "n_shingles", "set_key", "text_key").withColumn("deal", deal)
+    asked = narrow.filter("set_key is not null").select("set_key", "deal").distinct()
+    found = asked.join(own.select("set_key", "component_id", "group"), "set_key")
+    out = narrow.join(found, ["set_key", "deal"], "left")
     component = F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "group", "text_key")
 
