@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -42,6 +43,23 @@ def byte_symbols() -> list[str]:
     return [chr(b if b in printable else next(spare)) for b in range(256)]
 
 
+def ascii_form(pattern: str) -> re.Pattern | None:
+    """The pattern for ASCII texts, its classes spelled out for the quicker engine; None if it
+    has classes other than letters, numbers and white space."""
+    spelled = {r"\p{L}": "A-Za-z", r"\p{N}": "0-9", r"\s": r"\t-\r\x20"}
+
+    def members(found: re.Match) -> str:
+        text = found[0]
+        for name, some in spelled.items():
+            text = text.replace(name, some)
+        return text
+
+    pattern = re.sub(r"\[[^\]]*\]", members, pattern)
+    for name, some in spelled.items():
+        pattern = pattern.replace(name, f"[{some}]")
+    return None if re.search(r"\\[pPwWdDsSbB]|\(\?|&&", pattern) else re.compile(pattern)
+
+
 class Words:
     """Splits texts into pre-tokens, as the tokenizer file's normaliser and splitter do.
 
@@ -59,12 +77,15 @@ class Words:
             raise ValueError("this tokenizer file has other normalising or splitting steps")
         # white space as the tokenizers' regular expressions have it
         self.pattern = regex.compile(split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
+        self.ascii_pattern = ascii_form(split["pattern"]["Regex"])
         self.spec, self.library = spec, None
         self.bytes = {c: b for b, c in enumerate(byte_symbols())}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.between = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
     def plain(self, text: str) -> list[str]:
+        if self.ascii_pattern and text.isascii():
+            return self.ascii_pattern.findall(text.lower())
         if self.COMMON.fullmatch(text):
             return self.pattern.findall(unicodedata.normalize("NFC", text).lower())
         if self.library is None:
@@ -188,11 +209,14 @@ class Encoder:
     def __init__(self, spec: dict, cache: int = 1 << 18):
         self.words, self.automaton, self.most = Words(spec), Automaton(spec), cache
         self.cache: dict[str, bytes] = {}
+        self.emitted: dict[str, tuple[bytes, str]] = {}
 
     def _miss(self, word: str) -> bytes:
         if len(self.cache) >= self.most:
             self.cache.clear()
-        ids = self.cache[word] = np.array(self.automaton.encode(word), "<u4").tobytes()
+        ids = self.cache.get(word)
+        if ids is None:
+            ids = self.cache[word] = np.array(self.automaton.encode(word), "<u4").tobytes()
         return ids
 
     def encode(self, text: str) -> bytes:
@@ -208,6 +232,25 @@ class Encoder:
     def decode(self, ids: bytes) -> str:
         return self.automaton.decode(np.frombuffer(ids, "<u4").tolist())
 
+    def round_trip(self, text: str) -> tuple[bytes, str]:
+        """Ids, and the labels they are decoded to: a word's labels are emitted when it is
+        first met and kept with its ids."""
+        ids, labels, cache = [], [], self.emitted
+        for special, words in self.words.parts(text):
+            if special is not None:
+                ids.append(special.to_bytes(4, "little"))
+                labels.append(self.automaton.labels[special])
+            for word in words:
+                known = cache.get(word)
+                if known is None:
+                    if len(cache) >= self.most:
+                        cache.clear()
+                    found = self._miss(word)
+                    known = cache[word] = found, self.decode(found)
+                ids.append(known[0])
+                labels.append(known[1])
+        return b"".join(ids), " ".join(labels)
+
 
 def tokenizer_spec(path: str) -> dict:
     with open(path, encoding="utf-8") as f:
@@ -236,8 +279,7 @@ def _run(docs: DataFrame, path: str, key: str, value: str, schema: str, digest:
                 batch = whole.slice(at, 256)
                 counts, ids, decoded = [], [], []
                 for text in batch.column(1):
-                    found = coder.encode(text.as_py() or "")
-                    back = coder.decode(found)
+                    found, back = coder.round_trip(text.as_py() or "")
                     counts.append(len(found) // 4)
                     ids.append(hashlib.sha256(found).hexdigest() if digest else np.frombuffer(found, "<i4"))
                     decoded.append(hashlib.sha256(back.encode()).hexdigest() if digest else back)

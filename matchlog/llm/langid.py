@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from matchlog.operators import ordered
+
 PROFILE = 400
 FOLDS = 5
 
@@ -118,12 +120,15 @@ def learn(docs: DataFrame, key: str = "doc_id", value: str = "text", label: str
                 yield pa.RecordBatch.from_pandas(pd.DataFrame({"lang": lang, "gram": grams.astype(np.int64), "n": n}), preserve_index=False)
 
     counts = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    found = {}
-    for lang in totals:
-        rows = counts.filter(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(4 * size).collect()
-        if rows:
-            found[lang] = ranked(np.array([r.gram for r in rows], np.int64).astype(np.uint64), size, np.array([r["n"] for r in rows]))
-    return found
+    top = ordered.top_per_key(counts, ["lang"], [F.desc("n"), F.col("gram")], 4 * size, "place")
+    rows: dict[str, list] = {}
+    for r in top.orderBy("lang", "place").collect():
+        rows.setdefault(r.lang, []).append((r.gram, r["n"]))
+    return {
+        lang: ranked(np.array([g for g, _ in rows[lang]], np.int64).astype(np.uint64), size, np.array([n for _, n in rows[lang]]))
+        for lang in totals
+        if lang in rows
+    }
 
 
 def predict(docs: DataFrame, profiles: dict[str, np.ndarray], key: str = "doc_id", value: str = "text", size: int = PROFILE) -> DataFrame:

@@ -242,10 +242,10 @@ class Surrogates:
             done = p.text("email", f"{local}@{labels}", [*letters, DIGITS])
             return f"{done}.{top}"
         if kind == "secret":
-            alphabets = [HEX] if re.fullmatch("[0-9a-f]+", entity) else [DIGITS, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
-            keep = re.match(r"AKIA|ASIA|gh[pousr]_|sk-", entity)
-            head = keep[0] if keep else ""
-            return head + p.text("secret" + head, entity[len(head) :], alphabets)
+            head, is_hex = secret_class(entity)
+            alphabets = [HEX] if is_hex else [DIGITS, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+            made = lambda t: head + p.text("secret" + head, t[len(head) :], alphabets)
+            return p.walk(made, entity, lambda t: secret_class(t) == (head, is_hex))
         if kind == "card":
             check = lambda body: body + next(d for d in DIGITS if luhn(body + d))
             return p.walk(lambda t: check(t[0] + p.text("card" + t[0], t[1:-1], [DIGITS])), entity, issued)
@@ -262,8 +262,8 @@ class Surrogates:
             new = p.digits("ip", [int(o) - n for o, n in zip(parts, least, strict=True)], sizes)
             return ".".join(str(x + n) for x, n in zip(new, least, strict=True))
         if kind == "phone":
-            if len(entity) == 10:  # area codes and exchanges start with 2 to 9, when they did
-                fine = lambda t: (entity[0] < "2" or t[0] >= "2") and (entity[3] < "2" or t[3] >= "2")
+            if len(entity) == 10:  # area codes and exchanges that start with 2 to 9 stay so, others too
+                fine = lambda t: (t[0] < "2", t[3] < "2") == (entity[0] < "2", entity[3] < "2")
                 return p.walk(lambda t: p.text("phone", t, [DIGITS]), entity, fine)
             return entity[:2] + p.text("phone" + entity[:2], entity[2:], [DIGITS])
         if kind.startswith("first:"):
@@ -297,6 +297,23 @@ class Surrogates:
         return "".join([*out, text[end:]]) if out else text, done
 
 
+def secret_class(secret: str) -> tuple[str, bool]:
+    """(known beginning, whether it is hexadecimal): a surrogate is of the same class."""
+    head = re.match(r"AKIA|ASIA|gh[pousr]_|sk-", secret)
+    return head[0] if head else "", bool(re.fullmatch("[0-9a-f]+", secret))
+
+
+def checked_key(docs: DataFrame, key: bytes, value: str = "text", attempts: int = 8) -> bytes:
+    """The key, or the first one derived from it, under which no two entities of ``docs`` share
+    a surrogate and none is its own. All entities of all texts are compared, by their distinct
+    (kind, surrogate); one key for all keeps mentions of an entity alike."""
+    for attempt in range(attempts):
+        tried = key if not attempt else hashlib.blake2b(attempt.to_bytes(4, "little"), key=key[:64]).digest()
+        if collisions(entities(docs, tried, value)).isEmpty():
+            return tried
+    raise ValueError(f"entities still share surrogates after {attempts} keys")
+
+
 def replace(docs: DataFrame, key: bytes, value: str = "text") -> DataFrame:
     """Every column of ``docs``, the texts with surrogates, and n_entities and kinds (array of
     distinct kinds); columns of those names are replaced."""

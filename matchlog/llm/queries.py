@@ -53,7 +53,8 @@ def op4_columnwise_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), EXAMPLE_KEY)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace(docs, pii.checked_key(docs, EXAMPLE_KEY))
 
 
 def op6_two_tier_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

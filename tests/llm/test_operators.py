@@ -374,3 +374,117 @@ def test_bundle_frames():
     assert [reader.read(k)[1] for k in (29, 0, 17)] == [b"p" * 580, b"", b"p" * 340]
     with pytest.raises(ValueError):
         warc.BundleReader(b"no bundle at all, far from it")
+
+
+# --- added checks ---
+
+
+def test_telephone_numbers_stay_apart():
+    """Over all four classes of numbers surrogates are a permutation within the class."""
+    maker = pii.Surrogates(b"key")
+    numbers = [f"{a}{n:02d}{b}{n * 37 % 1000000:06d}" for a in "0129" for b in "0123" for n in range(100)]
+    made = [maker.canonical("phone", n) for n in numbers]
+    assert len(set(made)) == len(set(numbers))
+    assert all((m[0] < "2", m[3] < "2") == (n[0] < "2", n[3] < "2") for m, n in zip(made, numbers, strict=True))
+    both = {maker.canonical("phone", n) for n in ("3502080636", "3170087546")}
+    assert len(both) == 2
+
+
+def test_small_worlds_are_permuted_onto_themselves():
+    """Whole domains, every member tried: no two surrogates are equal."""
+    maker = pii.Surrogates(b"key")
+    for kind, world in (("ip", [f"10.{a}.{b}.7" for a in range(10, 60) for b in range(100, 130)]), ("secret", [f"sk-{n:04d}" for n in range(3000)])):
+        made = [maker.canonical(kind, e) for e in world]
+        assert len(set(made)) == len(world)
+        assert all(pii.secret_class(m) == pii.secret_class(e) for m, e in zip(made, world, strict=True)) or kind != "secret"
+
+
+def test_keys_are_changed_until_nothing_collides(make_docs, monkeypatch):
+    docs = make_docs([(1, "write to a.b@example.com"), (2, "or to c.d@example.com"), (3, None)])
+    assert pii.checked_key(docs, b"key") == b"key"
+    tried = []
+    real = pii.collisions
+    monkeypatch.setattr(pii, "collisions", lambda found: tried.append(1) or (real(found) if len(tried) > 2 else found))
+    other = pii.checked_key(docs, b"key")
+    assert other != b"key" and len(tried) == 3
+    monkeypatch.setattr(pii, "collisions", lambda found: found)
+    with pytest.raises(ValueError, match="share surrogates"):
+        pii.checked_key(docs, b"key")
+
+
+def test_language_by_plain_rank_distance(docs):
+    """Every row's language and score by profiles and distances written out in Python."""
+
+    def grams(text):
+        words = "".join(c.lower()[0] if c.isalpha() else " " for c in text or "").split()
+        found = Counter()
+        for w in words:
+            found.update(w)
+            padded = f" {w} "
+            found.update(padded[i : i + 2] for i in range(len(padded) - 1))
+            found.update(padded[i : i + 3] for i in range(len(padded) - 2))
+        return found
+
+    def number(gram):
+        value = 0
+        for c in gram:
+            value = value << 21 | (0 if c == " " else ord(c))
+        return value + ({1: 0, 2: 1, 3: 2}[len(gram)] << 62)
+
+    def top(counts):
+        return sorted(counts, key=lambda g: (-counts[g], number(g)))[: langid.PROFILE]
+
+    rows = docs.collect()
+    totals = {}
+    for r in rows:
+        if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 5:
+            totals.setdefault(r.lang, Counter()).update(grams(r.text))
+    profiles = {lang: {g: i for i, g in enumerate(top(c))} for lang, c in totals.items()}
+    found = by_id(langid.identify(docs))
+    for r in rows:
+        own = top(grams(r.text))
+        if not own:
+            assert found[r.doc_id].lang_pred == "und"
+            continue
+        distance = {
+            lang: sum(min(abs(p[g] - i), langid.PROFILE) if g in p else langid.PROFILE for i, g in enumerate(own)) for lang, p in profiles.items()
+        }
+        best = min(distance, key=lambda lang: (distance[lang], lang))
+        assert found[r.doc_id].lang_pred == best
+        assert found[r.doc_id].score == pytest.approx(1 - distance[best] / (langid.PROFILE * len(own)))
+
+
+@given(st.text(st.characters(max_codepoint=127)))
+@settings(max_examples=300, deadline=None)
+def test_ascii_texts_split_as_by_the_whole_pattern(text):
+    words = CODER.words
+    assert words.ascii_pattern.findall(text.lower()) == words.pattern.findall(text.lower())
+    ids, labels = CODER.round_trip(text)
+    assert ids == CODER.encode(text) and labels == CODER.decode(ids)
+
+
+def test_sketches_never_refute_a_link():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 100, 3000):
+        whole = np.unique(rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64))
+        for cut in range(1, n + 1, max(1, n // 20)):
+            a, b = whole[: 2 * n - cut], whole[cut // 2 :]
+            both = len(np.intersect1d(a, b))
+            if 100 * both >= 75 * (len(a) + len(b) - both):
+                bits = np.array([np.frombuffer(minhash.sketch(v), np.uint64) for v in (a, b)])
+                near = minhash._near_across(np.array([1, 2]), np.array([1, 2]), np.array([len(a), len(b)]), np.stack([bits[0], bits[1]]), np.array([True, False]))
+                assert near[:, :2].tolist() == [[1, 2]]
+
+
+def test_passages_of_fifty_words_and_400_bytes(make_docs):
+    """Planted passages of 50 to 120 words: those of 400 bytes go, shorter ones are kept."""
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), rng.integers(2, 9)))
+    passages = [" ".join(word() for _ in range(n)) for n in (50, 70, 90, 120)]
+    rows = [(i, " ".join(word() for _ in range(60)) + "|" + passages[i % 4] + "|" + " ".join(word() for _ in range(40))) for i in range(24)]
+    found = by_id(suffix_dedup.remove_repeats(make_docs(rows)))
+    for i, text in rows:
+        size = len(passages[i % 4])
+        assert found[i].n_removed == (0 if size < 398 else found[i].n_removed)
+        assert size < 400 or found[i].n_removed >= size
+    assert any(len(p) >= 400 for p in passages) and any(len(p) < 400 for p in passages)
