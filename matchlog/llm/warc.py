@@ -3,8 +3,9 @@
 Records are grouped into independent frames; after the frames of a bundle comes a seek table
 in a skippable frame, as the seekable Zstandard format has it (an entry of compressed and
 decompressed size for each frame, then a footer with the number of frames). A second
-skippable frame before it maps record numbers to (frame, offset in the frame). A record is
-read by decompressing its own frame alone.
+skippable frame before it maps records to (frame, offset in the frame): in the order they
+were written, and by their identifiers, which stand there sorted. A record is found by its
+identifier and read by decompressing its own frame alone.
 
 Bundles are rows (bundle, payload) of a Parquet table: Spark's commit makes a lost or
 repeated task leave no half-written bundle, on any store. ``bundle_bytes`` bounds a bundle,
@@ -17,6 +18,7 @@ the same identifier and payload have the same type.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import struct
 import uuid
@@ -28,20 +30,22 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchlog.llm.common import binary
+from matchlog.llm.common import binary, task_count
 from matchlog.session import materialize
 
 #: Fixed values of the seekable format: magic numbers of a skippable frame and of the footer.
 SKIPPABLE, INDEX, FOOTER = 0x184D2A5E, 0x184D2A5D, 0x8F92EAB1
-LEAST_REVISIT = 1000
+LEAST_REVISIT, MOST_FETCHED = 1000, 100_000
+#: The pages table tells no time of capture; callers that know one pass it.
+DATE = "1970-01-01T00:00:00Z"
 
 
 def records(pages: DataFrame, key: str = "page_id", url: str = "url", body: str = "html", least: int = LEAST_REVISIT) -> DataFrame:
     """Rows (page_id, url, payload, payload_digest, record_type, refers_to) to be archived.
 
     The owner of each digest is found on digests alone, with partial aggregation, and only
-    digests that repeat are joined back, so a payload that a third of the rows share makes
-    no hot task.
+    digests that repeat are joined back. They go to each of the tasks over which the digest's
+    rows are dealt, so a payload that a third of the rows share makes no hot task.
     """
     rows = pages.select(
         F.col(f"`{key}`").cast("long").alias("page_id"),
@@ -57,7 +61,9 @@ def records(pages: DataFrame, key: str = "page_id", url: str = "url", body: str
         .filter("copies > 1")
         .select("payload_digest", "owner")
     )
-    joined = rows.join(owners, "payload_digest", "left")
+    dealt = rows.withColumn("deal", F.pmod(F.xxhash64("page_id", "url"), F.lit(task_count(pages))))
+    asked = dealt.filter(large).select("payload_digest", "deal").distinct().join(owners, "payload_digest")
+    joined = dealt.join(asked, ["payload_digest", "deal"], "left")
     revisit = large & F.col("owner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("owner"))
     return joined.select(
         "page_id", "url", "payload", "payload_digest",
@@ -70,12 +76,18 @@ def _header_value(text: str) -> str:
     return text.replace("\r", "%0D").replace("\n", "%0A")
 
 
-def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, kind: str, refers_to: int | None) -> bytes:
+def record_id(page_id: int | None, digest: str) -> uuid.UUID:
+    """The identifier of a page's record; rows repeated under one page and payload share it."""
+    return uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id}/{digest}")
+
+
+def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, kind: str, refers_to: int | None, date: str = DATE) -> bytes:
     """One WARC/1.1 record; a revisit has no content block, but the digest and the length."""
     block = b"" if kind == "revisit" else payload
     fields = [
         ("WARC-Type", kind),
-        ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{digest}')}>"),
+        ("WARC-Record-ID", f"<urn:uuid:{record_id(page_id, digest)}>"),
+        ("WARC-Date", date),
         ("X-Page-ID", "" if page_id is None else str(page_id)),
         ("WARC-Target-URI", _header_value(url or "")),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
@@ -86,6 +98,7 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: s
     if kind == "revisit":
         fields += [
             ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
+            ("WARC-Refers-To", f"<urn:uuid:{record_id(refers_to, digest)}>"),
             ("X-Refers-To-Page-ID", "" if refers_to is None else str(refers_to)),
         ]
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n"
@@ -113,13 +126,15 @@ class BundleWriter:
         self.frames: list[bytes] = []
         self.sizes: list[int] = []
         self.places: list[tuple[int, int]] = []
+        self.ids: list[bytes] = []
         self.open: list[bytes] = []
         self.filled = self.size = 0
 
-    def add(self, record: bytes) -> None:
+    def add(self, record: bytes, identifier: uuid.UUID) -> None:
         if self.filled and self.filled + len(record) > self.frame_bytes:
             self._end_frame()
         self.places.append((len(self.frames), self.filled))
+        self.ids.append(identifier.bytes)
         self.open.append(record)
         self.filled += len(record)
 
@@ -133,14 +148,15 @@ class BundleWriter:
     def close(self) -> bytes:
         if self.filled:
             self._end_frame()
-        index = np.array(self.places, "<u4").tobytes()
+        ranks = sorted(range(len(self.ids)), key=self.ids.__getitem__)
+        index = np.array(self.places, "<u4").tobytes() + np.array(ranks, "<u4").tobytes() + b"".join([self.ids[k] for k in ranks])
         table = b"".join(struct.pack("<II", len(f), n) for f, n in zip(self.frames, self.sizes, strict=True))
         foot = table + struct.pack("<IBI", len(self.frames), 0, FOOTER)
         return b"".join(self.frames) + struct.pack("<II", INDEX, len(index)) + index + struct.pack("<II", SKIPPABLE, len(foot)) + foot
 
 
 class BundleReader:
-    """Reads records of a bundle by number, a frame at a time."""
+    """Reads records of a bundle by identifier or number, a frame at a time."""
 
     def __init__(self, data: bytes):
         frames, flags, magic = struct.unpack("<IBI", data[-9:])
@@ -156,13 +172,21 @@ class BundleReader:
         if magic != INDEX:
             raise ValueError("no record index")
         at = int(self.starts[-1]) + 8
-        self.places = np.frombuffer(data[at : at + length], "<u4").reshape(-1, 2)
+        n = length // 28  # two numbers for the place, one for the rank, 16 bytes of identifier
+        index = data[at : at + length]
+        self.places = np.frombuffer(index[: 8 * n], "<u4").reshape(-1, 2)
+        self.ranks, self.ids = np.frombuffer(index[8 * n : 12 * n], "<u4"), index[12 * n :]
         self.decompressor = zstandard.ZstdDecompressor()
         self.held = (-1, b"")
 
     def __len__(self) -> int:
         return len(self.places)
 
+    def find(self, identifier: uuid.UUID) -> int | None:
+        """The number of the first record of that identifier, by binary search."""
+        at = bisect.bisect_left(range(len(self)), identifier.bytes, key=lambda k: self.ids[16 * k : 16 * k + 16])
+        return int(self.ranks[at]) if at < len(self) and self.ids[16 * at : 16 * at + 16] == identifier.bytes else None
+
     def read(self, number: int) -> tuple[dict[str, str], bytes]:
         frame, offset = map(int, self.places[number])
         if self.held[0] != frame:
@@ -172,7 +196,7 @@ class BundleReader:
         return headers, block
 
 
-def write_bundles(rows: DataFrame, bundle_bytes: int = 16 << 20, frame_bytes: int = 256 << 10, level: int = 3) -> DataFrame:
+def write_bundles(rows: DataFrame, bundle_bytes: int = 16 << 20, frame_bytes: int = 256 << 10, level: int = 3, date: str = DATE) -> DataFrame:
     """The rows of ``records`` as a stored table (bundle, n_records, payload)."""
 
     def bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +211,8 @@ def write_bundles(rows: DataFrame, bundle_bytes: int = 16 << 20, frame_bytes: in
         for batch in batches:
             columns = [batch.column(i) for i in range(6)]
             for row in range(batch.num_rows):
-                writer.add(record_bytes(*(c[row].as_py() for c in columns)))
+                page_id, url, payload, digest, kind, refers_to = (c[row].as_py() for c in columns)
+                writer.add(record_bytes(page_id, url, payload, digest, kind, refers_to, date), record_id(page_id, digest))
                 if writer.size >= bundle_bytes:
                     yield ended(writer)
                     writer = BundleWriter(frame_bytes, level)
@@ -229,6 +254,30 @@ def read_bundles(bundles: DataFrame, blocks: bool = True) -> DataFrame:
     return bundles.select("bundle", "payload").mapInArrow(read, READ)
 
 
+def fetch(bundles: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(page_id, payload_digest, url, block) of the records (page_id, payload_digest) that
+    ``wanted`` lists, each read through the index: of a bundle only the frames that hold one are
+    decompressed. ``wanted`` goes to every bundle, so it is to be a list one task can hold."""
+    asked = [(r.page_id, r.payload_digest) for r in wanted.limit(MOST_FETCHED + 1).collect()]
+    if len(asked) > MOST_FETCHED:
+        raise ValueError(f"more than {MOST_FETCHED} records; join read_bundles instead")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0):
+                reader, out = BundleReader(data.as_py()), []
+                places = [(reader.find(record_id(*who)), *who) for who in asked]
+                for number, page_id, digest in sorted((p for p in places if p[0] is not None), key=lambda p: p[0]):
+                    headers, block = reader.read(number)
+                    out.append((page_id, digest, headers["WARC-Target-URI"], block))
+                if out:
+                    columns = list(zip(*out, strict=True))
+                    kinds = [pa.int64(), pa.string(), pa.string(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["page_id", "payload_digest", "url", "block"])
+
+    return bundles.select("payload").mapInArrow(read, "page_id long, payload_digest string, url string, block binary")
+
+
 def archive(pages: DataFrame, **names: str) -> DataFrame:
     """Writes the archives, reads them back and gives a row for each page."""
     read = read_bundles(write_bundles(records(pages, **names)), blocks=False)

@@ -367,15 +367,35 @@ def test_archives(spark):
 def test_bundle_frames():
     writer = warc.BundleWriter(500, 3)
     records = [warc.record_bytes(k, "u", b"p" * k * 20, hashlib.sha1(b"p" * k * 20).hexdigest(), "response", None) for k in range(30)]
-    for record in records:
-        writer.add(record)
+    ids = [warc.record_id(k, hashlib.sha1(b"p" * k * 20).hexdigest()) for k in range(30)]
+    for record, identifier in zip(records, ids, strict=True):
+        writer.add(record, identifier)
     reader = warc.BundleReader(writer.close())
     assert len(reader) == 30 and len(reader.sizes) > 5
+    assert [reader.find(i) for i in ids] == list(range(30)) and reader.find(warc.record_id(99, "")) is None
+    opened = []
+    real = reader.decompressor
+    reader.decompressor = type("Counting", (), {"decompress": lambda self, part, **o: opened.append(len(part)) or real.decompress(part, **o)})()
+    headers, block = reader.read(reader.find(ids[21]))
+    assert block == b"p" * 420 and len(opened) == 1  # a read by identifier opens one frame
+    assert headers["WARC-Record-ID"] == f"<urn:uuid:{ids[21]}>" and headers["WARC-Date"] == warc.DATE
     assert [reader.read(k)[1] for k in (29, 0, 17)] == [b"p" * 580, b"", b"p" * 340]
     with pytest.raises(ValueError):
         warc.BundleReader(b"no bundle at all, far from it")
 
 
+def test_records_are_fetched_by_identifier(spark):
+    large = "y" * 1500
+    pages = spark.createDataFrame([(1, "u1", large), (2, "u2", large), (3, "u3", "small"), (4, None, None)], "page_id long, url string, html string")
+    rows = warc.records(pages)
+    bundles = warc.write_bundles(rows, bundle_bytes=400, frame_bytes=600)
+    wanted = rows.select("page_id", "payload_digest").filter("page_id in (1, 2, 4)")
+    got = {r.page_id: (r.url, bytes(r.block)) for r in warc.fetch(bundles, wanted).collect()}
+    assert got == {1: ("u1", b""), 2: ("u2", large.encode()), 4: ("", b"")}  # 1 revisits 2
+    text = warc.record_bytes(1, "u", b"", "d" * 40, "revisit", 2).decode()
+    assert f"WARC-Refers-To: <urn:uuid:{warc.record_id(2, 'd' * 40)}>" in text
+
+
 # --- added checks ---
 
 
