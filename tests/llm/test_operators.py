@@ -348,6 +348,43 @@ def test_tree_is_a_distribution(make_docs):
     assert pst.score_texts(make_docs([])).count() == 0
 
 
+def test_scores_by_a_plain_suffix_tree(make_docs):
+    """Contexts, divergence test, smoothing and scores written out in Python, row by row."""
+    rng = np.random.default_rng(5)
+    words = ["the", "cat", "sat", "on", "a", "mat", "dog", "ran", "Été", "x" * 12]
+    rows = [(i, " ".join(rng.choice(words, rng.integers(0, 25)))) for i in range(60)] + [(70, None), (71, " \n"), (72, "zebra quartz")]
+    share, gain, prior = 1e-3, 5.0, pst.PRIOR
+
+    def symbols(text):
+        return [*b" ".join(re.findall(rb"[^\x20\x09-\x0D]+", lowered(text))), pst.END]
+
+    counts = {}
+    for k, text in rows:
+        if zlib.crc32(str(k).encode()) % 7 != 2:
+            stream = [pst.START] * pst.DEPTH + symbols(text)
+            for i in range(pst.DEPTH, len(stream)):
+                for d in range(pst.DEPTH + 1):
+                    counts.setdefault(tuple(stream[i - d : i]), Counter())[stream[i]] += 1
+    total = sum(counts[()].values())
+    dense, kept = {}, set()
+    for context in sorted(counts, key=len):
+        n, of = counts[context], sum(counts[context].values())
+        if of < max(1, share * total):
+            continue
+        suffix = dense[context[1:]] if context else [1 / 255] * 256
+        dense[context] = [(n[s] + prior * suffix[s]) / (of + prior) for s in range(256)]
+        if not context or of * sum(c / of * np.log(c / of / suffix[s]) for s, c in n.items()) > gain:
+            kept.update(context[d:] for d in range(len(context) + 1))
+    assert 20 < len(kept) < len(dense)
+    found = by_id(pst.score_texts(make_docs(rows), least_share=share, least_gain=gain))
+    for k, text in rows:
+        stream, want = [pst.START] * pst.DEPTH + symbols(text), 0.0
+        for i in range(pst.DEPTH, len(stream)):
+            state = next(c for d in range(pst.DEPTH, -1, -1) if (c := tuple(stream[i - d : i])) in kept)
+            want += np.log10(dense[state][stream[i]])
+        assert found[k].score == pytest.approx(want, rel=1e-9)
+
+
 # --- archives ---
 
 
