@@ -30,7 +30,8 @@ sequence as one; none: empty). Texts with 100 * intersection >= 75 * union are l
    own, so that no task holds a whole bucket. So every pair of classes that share a bucket ends
    inside one component or refuted, whatever the bucket's size. The comparisons, a few words of
    bits each, grow with the members that are not in the largest component times the members of
-   the bucket; what is shuffled and verified doesn't.
+   the bucket, and what is shuffled for them with that over ``square``; only pairs whose
+   sketches allow a link are put out.
 
 A pair at exactly 0.75 shares no table with a chance of 0.0012 at half = 10, width = 2 (each
 entry matches at 0.75 ** 2; one in each collection must); at 0.85 of 1e-5.
