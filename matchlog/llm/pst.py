@@ -1,47 +1,58 @@
-"""Language-model scores by a probabilistic suffix tree.
-
-A text is its words, A-Z lower-cased, with one blank between, as bytes, then an end symbol;
-its score is the log10 probability of that sequence. A context (the symbols before a symbol,
-up to ``DEPTH``, start marks before a text) is a state of the tree if it makes up at least
-``least_share`` of all contexts of its length in the training texts and its next-symbol
-distribution diverges from that of its suffix: contexts * Kullback-Leibler divergence over
-``least_gain`` nats. The suffixes of a state are states. Distributions are smoothed towards
-the suffix's, at the root towards even; a symbol is scored in the state of the longest suffix
-before it.
-
-``least_share`` bounds the tree by DEPTH / least_share states, so that it can be broadcast;
-the counts behind it come from all training texts, combined in the tasks and then by Spark.
-
-The base score needs the training count of every word. Those of the commonest, as many as
-``most_words`` allows, are broadcast; the others of a text are looked up by a join with all
-counts, by 64-bit hash, so no count is left out.
+"""Language-model scores by a probabilistic suffix tree over words that grows with the corpus.
+
+A text is its words, A-Z lower-cased, then an end; its score is the log10 probability of that
+sequence. A context (up to ``depth`` words before a symbol, all of the same text) is a state of
+the tree if training texts hold it at least ``least_count`` times and its next-symbol
+distribution diverges from that of its suffix, the context without its first word: count *
+Kullback-Leibler divergence over ``least_gain`` nats. Both bounds are absolute, so a larger
+corpus has more states. The root is the base model: (c + 1) / (N + V + 1). A state's
+distribution is smoothed towards that of the next shorter state that is a suffix of it, with
+the weight of ``prior`` observations; a symbol is scored in the longest state before it.
+
+The tree is as large as the corpus, so no process holds it. Texts are numbered in blocks of
+about ``BLOCK_BYTES``. Pass d counts, per block, the sequences of d + 1 words whose first d
+pass ``least_count``; Spark adds the counts of a sequence over blocks and sends the total back
+to the blocks that have it, unless all its occurrences are there. So a block always knows all
+counts of the sequences in it, and sums its part of each context's divergence, which is added
+and answered the same way. A sequence is one row per block, however often it stands there.
+The last pass scores each block with what it was sent: about as much as it has words.
+
+Words and sequences are known by 64-bit hashes. Divergence is added in units of 2 ** -20 nats,
+so that sums don't depend on their order.
 
 Training texts are those whose crc32(doc_id as text) mod 7 isn't 2. Null texts are empty and
 consist of the end; a null identifier counts as in fold 0. Repeated rows are scored one by one
-and each counts in training. Without training texts counts are 0 and symbols equally likely.
+and each counts in training. Without training texts counts are 0, every symbol has
+probability 1 and scores are 0.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchlog.llm.common import SPACES, prefix_sums, slices, span_hashes, word_spans
+from matchlog.llm.common import SPACES, mixed, prefix_sums, slices, span_hashes, word_spans
 from matchlog.llm.langid import fold
-from matchlog.session import materialize
+from matchlog.session import discard, materialize
 
-DEPTH = 5
-END, START = 0xFE, 0xFF
+DEPTH = 3
+LEAST_COUNT = 4
+LEAST_GAIN = 8.0
+PRIOR = 4.0
 FOLDS, HELD = 7, 2
+BLOCK_BYTES = 2 << 20
 #: The end's place among the hashes of words.
 END_TOKEN = np.int64(0)
-PRIOR = 4.0
+#: Kinds of row: d for the count of d + 1 words, CONTEXT + d for the divergence of d words.
+CONTEXT, TEXT = 16, 64
+UNIT = 1 << 20
+ROW = "block long, kind int, key long, n long"
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,137 +64,9 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.insert(hashes, at[1:], END_TOKEN), at[:-1] + np.arange(len(offsets) - 1)
 
 
-def streams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all texts, each after DEPTH start marks, and where each text begins."""
-    starts, _ = word_spans(data, offsets, SPACES)
-    keep = ~SPACES[data]
-    gap = np.zeros(len(data), bool)
-    at = np.searchsorted(starts, offsets)
-    gap[starts] = True
-    gap[starts[at[:-1][at[:-1] < at[1:]]]] = False  # no blank before a text's first word
-    used = np.concatenate([[0], np.cumsum(keep.astype(np.int64) + gap)])
-    begin = used[offsets] + (DEPTH + 1) * np.arange(len(offsets))
-    place = used[1:][keep] - 1 + DEPTH + np.repeat((DEPTH + 1) * np.arange(len(offsets) - 1), np.diff(np.concatenate([[0], np.cumsum(keep)])[offsets]))
-    out = np.full(int(begin[-1]), 0x20, np.uint8)
-    letters = data[keep]
-    out[place] = np.where((letters >= 0x41) & (letters <= 0x5A), letters | 0x20, letters)
-    for k in range(DEPTH):
-        out[begin[:-1] + k] = START
-    out[begin[1:] - 1] = END
-    return out, begin
-
-
-def grams(symbols: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """DEPTH symbols and the next, packed, for each symbol but the start marks."""
-    packed = np.zeros(max(0, len(symbols) - DEPTH), np.int64)
-    for k in range(DEPTH + 1):
-        packed |= symbols[k : k + len(packed)].astype(np.int64) << (8 * (DEPTH - k))
-    inside = np.ones(len(symbols), bool)
-    for k in range(DEPTH):
-        inside[begin[:-1] + k] = False
-    return packed[inside[DEPTH:]]
-
-
-class Tally:
-    """Counts of keys, merged as they come."""
-
-    def __init__(self):
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.size = 0
-
-    def add(self, keys: np.ndarray) -> None:
-        self.parts.append(np.unique(keys, return_counts=True))
-        self.size += len(self.parts[-1][0])
-        if len(self.parts) >= 16:
-            self.merge()
-
-    def merge(self) -> tuple[np.ndarray, np.ndarray]:
-        keys = np.concatenate([k for k, _ in self.parts])
-        counts = np.concatenate([n for _, n in self.parts])
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
-        self.parts = [(keys[first], np.add.reduceat(counts, first) if len(first) else counts)]
-        self.size = len(first)
-        return self.parts[0]
-
-
-def counted(docs: DataFrame, keys_of: Callable[[np.ndarray, np.ndarray], np.ndarray], most_held: int = 1 << 20) -> DataFrame:
-    """(key, n) of the keys that the function takes from the texts' bytes and offsets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally()
-
-        def out() -> Iterator[pa.RecordBatch]:
-            keys, n = tally.merge() if tally.parts else (np.zeros(0, np.int64),) * 2
-            for at in range(0, len(keys), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + (1 << 16)]), pa.array(n[at : at + (1 << 16)])], ["key", "n"])
-
-        for batch in batches:
-            for _, _, data, offsets in slices(batch):
-                tally.add(keys_of(data, offsets))
-                if tally.size > most_held and tally.merge() and tally.size > most_held // 2:
-                    yield from out()
-                    tally = Tally()
-        yield from out()
-
-    return docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-class Tree(NamedTuple):
-    """Per depth: packed (context, symbol) with log10 probability; packed contexts with log10
-    weight of the suffix's distribution. Sorted, for bisection."""
-
-    grams: list[np.ndarray]
-    scores: list[np.ndarray]
-    contexts: list[np.ndarray]
-    weights: list[np.ndarray]
-
-
-def contexts(found: DataFrame, least_share: float) -> DataFrame:
-    """(depth, context, symbol, n) of contexts frequent enough to be states."""
-    mask = F.element_at(F.lit([(1 << (8 * d)) - 1 for d in range(DEPTH + 1)]), F.col("depth") + 1)
-    split = found.select(F.explode(F.sequence(F.lit(0), F.lit(DEPTH))).alias("depth"), F.shiftright("key", 8).alias("before"), F.col("key").bitwiseAND(255).cast("int").alias("symbol"), "n")
-    each = materialize(split.groupBy("depth", F.col("before").bitwiseAND(mask).alias("context"), "symbol").agg(F.sum("n").alias("n")))
-    total = each.filter("depth = 0").agg(F.sum("n")).first()[0] or 0
-    frequent = each.groupBy("depth", "context").agg(F.sum("n").alias("of")).filter(F.col("of") >= max(1, least_share * total)).select("depth", "context")
-    return each.join(frequent, ["depth", "context"])
-
-
-def build(rows: pd.DataFrame, least_gain: float, prior: float) -> Tree:
-    """The tree from (depth, context, symbol, n), shallow contexts first."""
-    tree = Tree([], [], [], [])
-    uniform = 1.0 / 255
-    by_depth = [rows[rows.depth == d] for d in range(DEPTH + 1)]
-    dense: list[dict[int, np.ndarray]] = [{} for _ in range(DEPTH + 1)]
-    gain: list[dict[int, bool]] = [{} for _ in range(DEPTH + 1)]
-    totals: list[dict[int, float]] = [{} for _ in range(DEPTH + 1)]
-    for d in range(DEPTH + 1):
-        for context, group in by_depth[d].groupby("context"):
-            n, symbols = group["n"].to_numpy(np.float64), group["symbol"].to_numpy()
-            suffix = dense[d - 1].get(context & ((1 << (8 * (d - 1))) - 1)) if d else np.full(256, uniform)
-            if suffix is None:
-                continue
-            of = n.sum()
-            own = prior * suffix
-            own[symbols] += n
-            own /= of + prior
-            share = n / of
-            gain[d][context] = d == 0 or of * (share * np.log(share / suffix[symbols])).sum() > least_gain
-            dense[d][context], totals[d][context] = own, of
-    for d in range(DEPTH, 0, -1):
-        for context, keep in gain[d].items():
-            if keep:
-                gain[d - 1][context & ((1 << (8 * (d - 1))) - 1)] = True
-    for d in range(DEPTH + 1):
-        states = sorted(c for c, keep in gain[d].items() if keep)
-        group = by_depth[d][by_depth[d].context.isin(states)].sort_values(["context", "symbol"])
-        context, symbol = group.context.to_numpy(np.int64), group.symbol.to_numpy(np.int64)
-        tree.grams.append(context << 8 | symbol)
-        tree.scores.append(np.log10(np.array([dense[d][c][s] for c, s in zip(context.tolist(), symbol.tolist(), strict=True)], np.float64)))
-        tree.contexts.append(np.array(states, np.int64))
-        tree.weights.append(np.log10(np.array([prior / (totals[d][c] + prior) for c in states], np.float64)))
-    return tree
+def extended(context: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """Hashes of sequences with one more token."""
+    return mixed(context.view(np.uint64) * np.uint64(0x9FB21C651E98DF25) + token.view(np.uint64)).view(np.int64)
 
 
 def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -193,67 +76,190 @@ def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return table[at] == keys, at
 
 
-def score(tree: Tree, packed: np.ndarray) -> np.ndarray:
-    """log10 probability of the symbol of each gram in its longest suffix state."""
-    out = np.zeros(len(packed))
-    open_ = np.arange(len(packed))
-    for d in range(DEPTH, -1, -1):
-        keys = packed[open_] & ((1 << (8 * (d + 1))) - 1)
-        found, at = _find(tree.grams[d], keys)
-        out[open_[found]] += tree.scores[d][at[found]]
-        open_, keys = open_[~found], keys[~found]
-        state, at = _find(tree.contexts[d], keys >> 8)
-        out[open_[state]] += tree.weights[d][at[state]]
-        if not len(open_):
-            return out
-    out[open_] += np.log10(1.0 / 255)
-    return out
-
-
-def score_texts(docs: DataFrame, key: str = "doc_id", value: str = "text", least_share: float = 2e-5, least_gain: float = 50.0, prior: float = PRIOR, most_words: int = 1 << 18) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row."""
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{value}`").alias("text"))
-    held = fold("doc_id", FOLDS) == HELD
-    train = rows.filter(~held)
-    words = materialize(counted(train, lambda data, offsets: tokens(data, offsets)[0]))
-    totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    # the least count that not more than most_words words have or exceed
-    least, have = 1 << 62, 0
-    for r in words.groupBy("n").agg(F.count("*").alias("of")).orderBy(F.desc("n")).limit(most_words).toLocalIterator():
-        if have + r["of"] > most_words:
-            break
-        least, have = r["n"], have + r["of"]
-    frequent = words.filter(F.col("n") >= least).toPandas().sort_values("key")
-    keys, logs = frequent["key"].to_numpy(np.int64), np.log10(frequent["n"].to_numpy(np.float64) + 1)
-    tree = build(contexts(counted(train, lambda data, offsets: grams(*streams(data, offsets))), least_share).toPandas(), least_gain, prior)
-    shared = docs.sparkSession.sparkContext.broadcast((tree, keys, logs))
-    names = ["doc_id", "held_out", "n_tokens", "known", "logs", "score", "misses"]
+class Block:
+    """The tokens of a block's texts and the totals that were sent to it.
+
+    ``counts[d]`` is, for each token, the training count of the d + 1 words that end with it, 0
+    where there are fewer words or the first d of them are no candidate (``candidate[d]``).
+    """
+
+    def __init__(self, texts: list[pa.RecordBatch], known: dict[int, tuple[np.ndarray, np.ndarray]], least: int):
+        self.known, self.least, self.texts = known, least, texts
+        hashes, begin, size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        for part in texts:
+            for _, _, data, offsets in slices(part):
+                found, first = tokens(data, offsets)
+                hashes.append(found)
+                begin.append(first + size)
+                size += len(found)
+        self.begin = np.concatenate(begin)
+        self.sequences = [np.concatenate(hashes)]
+        self.sizes = np.diff(np.append(self.begin, size))
+        held = np.concatenate([part.column(part.schema.get_field_index("held_out")).to_numpy(zero_copy_only=False) for part in texts])
+        self.train = np.repeat(~held.astype(bool), self.sizes)
+        self.place = np.arange(size) - np.repeat(self.begin, self.sizes)
+        self.candidate = [np.ones(size, bool)]
+        self.counts: list[np.ndarray] = []
+
+    def before(self, values: np.ndarray) -> np.ndarray:
+        """Each token's value of the token before it; 0 for the first."""
+        return np.concatenate([np.zeros(min(1, len(values)), values.dtype), values[:-1]])
+
+    def own(self, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Candidate sequences of d + 1 words, each one's number, training counts in the block."""
+        if d:
+            self.candidate.append((self.place >= d) & (self.before(self.counts[d - 1]) >= self.least))
+            self.sequences.append(extended(self.before(self.sequences[d - 1]), self.sequences[0]))
+        there = self.candidate[d]
+        keys, number = np.unique(self.sequences[d][there], return_inverse=True)
+        return keys, number, np.bincount(number, self.train[there], len(keys)).astype(np.int64)
+
+    def count(self, d: int) -> None:
+        keys, number, total = self.own(d)
+        table, n = self.known.get(d, (np.zeros(0, np.int64),) * 2)
+        sent, at = _find(table, keys)
+        total[sent] = n[at[sent]]
+        self.counts.append(np.zeros(len(self.place), np.int64))
+        self.counts[d][self.candidate[d]] = total[number]
+
+    def divergence(self, d: int, all_tokens: int) -> tuple[np.ndarray, np.ndarray]:
+        """Contexts of d words and the block's part of count * divergence from the suffix."""
+        there = self.candidate[d]
+        of = self.before(self.counts[d - 1])[there]
+        of_suffix = self.before(self.counts[d - 2])[there] if d > 1 else np.full(len(of), all_tokens)
+        seen = self.train[there]  # where not, counts may be 0
+        ratio = np.ones(len(of))
+        np.divide(self.counts[d][there].astype(float) * of_suffix, of.astype(float) * self.counts[d - 1][there], out=ratio, where=seen)
+        keys, number = np.unique(self.before(self.sequences[d - 1])[there], return_inverse=True)
+        return keys, np.rint(np.bincount(number, np.log(ratio) * seen, len(keys)) * UNIT).astype(np.int64)
+
+    def scores(self, depth: int, all_tokens: int, vocabulary: int, prior: float) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability of each token: by the base model, by the tree."""
+        base = chance = (self.counts[0] + 1) / (all_tokens + vocabulary + 1)
+        for d in range(1, depth + 1):
+            context = self.before(self.sequences[d - 1])
+            state = self.candidate[d] & ~_find(self.known.get(CONTEXT + d, (np.zeros(0, np.int64),))[0], context)[0]
+            chance = np.where(state, (self.counts[d] + prior * chance) / (self.before(self.counts[d - 1]) + prior), chance)
+        return np.log10(base), np.log10(chance)
+
+
+def blocks(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[int, Block]]:
+    """Blocks of rows sorted by (block, kind): totals come before texts."""
+    held, texts, sent = None, [], []
+
+    def whole() -> Block:
+        kinds, keys, n = (np.concatenate([part[k] for part in sent]) if sent else np.zeros(0, np.int64) for k in range(3))
+        known = {}
+        for kind in np.unique(kinds).tolist():
+            own = kinds == kind
+            order = np.argsort(keys[own])
+            known[kind] = keys[own][order], n[own][order]
+        return Block(texts, known, least)
+
+    for batch in batches:
+        block = batch.column(0).to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+        for first, end in zip(edges, edges[1:], strict=False):
+            if first == end:
+                continue
+            if block[first] != held:
+                if texts:
+                    yield held, whole()
+                held, texts, sent = int(block[first]), [], []
+            part = batch.slice(first, end - first)
+            kinds = part.column(1).to_numpy()
+            at = int(np.searchsorted(kinds, TEXT))
+            if at:
+                sent.append(tuple(part.column(k).slice(0, at).to_numpy() for k in (1, 2, 3)))
+            if at < len(kinds):
+                texts.append(part.slice(at))
+    if texts:
+        yield held, whole()
+
+
+def numbered(rows: DataFrame, most: int = BLOCK_BYTES) -> DataFrame:
+    """The rows with a block number: consecutive rows of about ``most`` bytes, texts whole."""
+    names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, keys, logs = shared.value
+        block, used = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            for row, end, data, offsets in slices(batch, "text"):
-                found, begin = tokens(data, offsets)
-                texts = end - row
-                sizes = np.diff(np.append(begin, len(found)))
-                hit, at = _find(keys, found)
-                base = np.where(hit, logs[at], 0.0) if len(keys) else np.zeros(len(found))
-                doc = np.repeat(np.arange(texts), sizes)[~hit]
-                misses = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(texts + 1)), pa.int32()), pa.array(found[~hit]))
-                symbols, start = streams(data, offsets)
-                scores = np.add.reduceat(score(model, grams(symbols, start)), start[:-1] - DEPTH * np.arange(texts))
-                part = batch.slice(row, texts)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(np.add.reduceat(hit.astype(np.int64), begin)), pa.array(np.add.reduceat(base, begin)), pa.array(scores), misses], names
-                )
-
-    scored = rows.select("doc_id", held.alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, misses array<long>")
-    scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()))
-    rare = scored.select("row", F.explode("misses").alias("key")).join(words.filter(F.col("n") < least), "key")
-    rare = rare.groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("more_logs"))
-    complete = scored.drop("misses").join(rare, "row", "left")
-    each = float(np.log10(totals["n"] + totals["v"] + 1))
-    return complete.select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(int(totals["n"])).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(each)).alias("base_score"), "score",
-    )
+            sizes = pc.fill_null(pc.binary_length(batch.column(names.index("text"))), 0).to_numpy()
+            # a row opens a block if the bytes before it, in this task, pass a multiple of the size
+            before = used + np.cumsum(sizes) - sizes
+            used += int(sizes.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(block + before // most, pa.int64()), *batch.columns], ["block", *names])
+
+    return rows.mapInArrow(run, "block long, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema))
+
+
+def passed(texts: DataFrame, known: list[DataFrame], work: Callable[[int, Block], Iterator[pa.RecordBatch]], least: int, schema: str) -> DataFrame:
+    """Each block's texts with the totals sent to it, through ``work``."""
+    rows = texts.select("block", F.lit(TEXT).alias("kind"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("n"), "doc_id", "held_out", "text")
+    for table in known:
+        rows = rows.unionByName(table, allowMissingColumns=True)
+    if known:
+        rows = rows.repartition("block").sortWithinPartitions("block", "kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, block in blocks(batches, least):
+            yield from work(number, block)
+
+    return rows.mapInArrow(run, schema)
+
+
+def answered(parts: DataFrame, least_gain: float) -> DataFrame:
+    """What blocks are sent: totals that are more than their own count, and contexts that don't
+    diverge. A key has at most one row per block (two, where a block was read in two tasks)."""
+    total = F.sum("n").over(Window.partitionBy("kind", "key"))
+    counts = F.col("kind") < CONTEXT
+    rows = parts.withColumn("total", total).filter(F.when(counts, F.col("total") > F.col("n")).otherwise(F.col("total") <= least_gain * UNIT))
+    return rows.select("block", "kind", "key", F.when(counts, F.col("total")).otherwise(0).alias("n"))
+
+
+def score_texts(
+    docs: DataFrame, key: str = "doc_id", value: str = "text", depth: int = DEPTH, least_count: int = LEAST_COUNT, least_gain: float = LEAST_GAIN, prior: float = PRIOR, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row."""
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{value}`").alias("text"))
+    rows = rows.select("doc_id", (fold("doc_id", FOLDS) == HELD).alias("held_out"), "text")
+    texts = materialize(numbered(rows, block_bytes))
+    known: list[DataFrame] = []
+    all_tokens = vocabulary = 0
+    for step in range(depth + 2):
+
+        def work(number: int, block: Block, step: int = step, all_tokens: int = all_tokens) -> Iterator[pa.RecordBatch]:
+            def out(kind: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+                for at in range(0, len(keys), 1 << 16):
+                    own = keys[at : at + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(own), number)), pa.array(np.full(len(own), kind, np.int32)), pa.array(own), pa.array(n[at : at + (1 << 16)])], ["block", "kind", "key", "n"]
+                    )
+
+            for d in range(step):
+                block.count(d)
+            if step <= depth:
+                keys, _, n = block.own(step)
+                yield from out(step, keys, n)
+            if step > 1:
+                yield from out(CONTEXT + step - 1, *block.divergence(step - 1, all_tokens))
+
+        parts = passed(texts, known, work, least_count, ROW)
+        if not step:
+            parts = materialize(parts)
+            sums = parts.groupBy("key").agg(F.sum("n").alias("n")).agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
+            all_tokens, vocabulary = sums["n"] or 0, sums["v"]
+        known.append(materialize(answered(parts, least_gain)))
+        if not step:
+            discard(parts)
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
+    def scored(_: int, block: Block) -> Iterator[pa.RecordBatch]:
+        for d in range(depth + 1):
+            block.count(d)
+        sums = [np.add.reduceat(x, block.begin) for x in ((block.counts[0] > 0).astype(np.int64), *block.scores(depth, all_tokens, vocabulary, prior))]
+        own = pa.Table.from_batches(block.texts).select(["doc_id", "held_out"])
+        columns = [own.column(0).combine_chunks(), own.column(1).combine_chunks(), pa.array(block.sizes), pa.array(sums[0]), pa.array(np.full(len(block.sizes), all_tokens)), pa.array(sums[1]), pa.array(sums[2])]
+        yield pa.RecordBatch.from_arrays(columns, names)
+
+    return passed(texts, known, scored, least_count, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

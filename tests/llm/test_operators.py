@@ -321,13 +321,13 @@ def test_languages(spark, make_docs):
 # --- scores ---
 
 
-@pytest.mark.parametrize("most_words", [1 << 18, 50])
-def test_scores(docs, most_words):
+@pytest.mark.parametrize("block_bytes", [pst.BLOCK_BYTES, 3000])
+def test_scores(docs, block_bytes):
     words = {r.doc_id: [*re.findall(rb"[^\x20\x09-\x0D]+", lowered(r.text)), None] for r in docs.collect()}
     held = {k: zlib.crc32(str(k).encode()) % 7 == 2 for k in words}
     counts = Counter(w for k, own in words.items() if not held[k] for w in own)
     total = sum(counts.values())
-    found = by_id(pst.score_texts(docs, most_words=most_words))
+    found = by_id(pst.score_texts(docs, block_bytes=block_bytes))
     for k, own in words.items():
         r = found[k]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[k], len(own), sum(counts[w] > 0 for w in own), total)
@@ -335,56 +335,75 @@ def test_scores(docs, most_words):
         assert abs(r.base_score - base) < 1e-6 and r.score < 0
 
 
-def test_tree_is_a_distribution(make_docs):
-    """In each state the probabilities of all symbols sum to 1; odd texts are scored."""
-    rows = pst.contexts(pst.counted(make_docs([(i, "the cat sat on the mat " * 9) for i in range(9)]), lambda d, o: pst.grams(*pst.streams(d, o))), 1e-3).toPandas()
-    tree = pst.build(rows, 1.0, pst.PRIOR)
-    assert len(tree.contexts[2]) > 0
-    for before in (b"\xff" * 5, b"e cat", b"zzzzz", b"n the"):
-        packed = np.array([int.from_bytes(before + bytes([s]), "big") for s in range(256)], np.int64)
-        assert abs((10 ** pst.score(tree, packed)).sum() - 1) < 0.01
+def test_scores_of_odd_texts(make_docs):
     found = pst.score_texts(make_docs(ODD)).collect()
     assert len(found) == 8 and all(np.isfinite(r.score) and np.isfinite(r.base_score) for r in found)
     assert pst.score_texts(make_docs([])).count() == 0
 
 
-def test_scores_by_a_plain_suffix_tree(make_docs):
-    """Contexts, divergence test, smoothing and scores written out in Python, row by row."""
-    rng = np.random.default_rng(5)
-    words = ["the", "cat", "sat", "on", "a", "mat", "dog", "ran", "Été", "x" * 12]
-    rows = [(i, " ".join(rng.choice(words, rng.integers(0, 25)))) for i in range(60)] + [(70, None), (71, " \n"), (72, "zebra quartz")]
-    share, gain, prior = 1e-3, 5.0, pst.PRIOR
-
-    def symbols(text):
-        return [*b" ".join(re.findall(rb"[^\x20\x09-\x0D]+", lowered(text))), pst.END]
-
+def plain_tree(rows, depth, least, gain):
+    """Counts per context and the states, written out in Python."""
     counts = {}
     for k, text in rows:
         if zlib.crc32(str(k).encode()) % 7 != 2:
-            stream = [pst.START] * pst.DEPTH + symbols(text)
-            for i in range(pst.DEPTH, len(stream)):
-                for d in range(pst.DEPTH + 1):
-                    counts.setdefault(tuple(stream[i - d : i]), Counter())[stream[i]] += 1
-    total = sum(counts[()].values())
-    dense, kept = {}, set()
-    for context in sorted(counts, key=len):
-        n, of = counts[context], sum(counts[context].values())
-        if of < max(1, share * total):
-            continue
-        suffix = dense[context[1:]] if context else [1 / 255] * 256
-        dense[context] = [(n[s] + prior * suffix[s]) / (of + prior) for s in range(256)]
-        if not context or of * sum(c / of * np.log(c / of / suffix[s]) for s, c in n.items()) > gain:
-            kept.update(context[d:] for d in range(len(context) + 1))
-    assert 20 < len(kept) < len(dense)
-    found = by_id(pst.score_texts(make_docs(rows), least_share=share, least_gain=gain))
+            stream = [*re.findall(rb"[^\x20\x09-\x0D]+", lowered(text)), None]
+            for i, symbol in enumerate(stream):
+                for d in range(min(i, depth) + 1):
+                    counts.setdefault(tuple(stream[i - d : i]), Counter())[symbol] += 1
+    states, candidates = {()}, 0
+    for context, n in counts.items():
+        of = sum(n.values())
+        if context and of >= least:
+            candidates += 1
+            suffix = counts[context[1:]]
+            of_suffix = sum(suffix.values())
+            if sum(c * np.log(c / of * of_suffix / suffix[s]) for s, c in n.items()) > gain:
+                states.add(context)
+    return counts, states, candidates
+
+
+def chances(counts, states, prior, context, symbol, depth):
+    """A symbol's probability in the longest state before it, by recursion over the states."""
+    own = next(c for d in range(min(depth, len(context)), -1, -1) if (c := tuple(context[len(context) - d :])) in states)
+    n, of = counts[own][symbol], sum(counts[own].values())
+    if not own:
+        return (n + 1) / (of + len(counts[()]) + 1)
+    return (n + prior * chances(counts, states, prior, own, symbol, len(own) - 1)) / (of + prior)
+
+
+@pytest.mark.parametrize("block_bytes", [pst.BLOCK_BYTES, 200, 1])
+def test_scores_by_a_plain_suffix_tree(make_docs, block_bytes):
+    """Contexts, divergence test, smoothing and scores written out in Python, row by row."""
+    rng = np.random.default_rng(5)
+    words = ["the", "cat", "sat", "on", "a", "mat", "dog", "Ran", "Été", "x" * 12]
+    rows = [(i, " ".join(rng.choice(words, rng.integers(0, 25)))) for i in range(60)]
+    rows += [(100 + i, "the cat sat on a mat the dog ran") for i in range(9)] + [(70, None), (71, " \n"), (72, "zebra quartz")]
+    counts, states, candidates = plain_tree(rows, 3, 3, 5.0)
+    assert 20 < len(states) < candidates and {len(s) for s in states} == {0, 1, 2, 3}
+    found = by_id(pst.score_texts(make_docs(rows), depth=3, least_count=3, least_gain=5.0, block_bytes=block_bytes))
     for k, text in rows:
-        stream, want = [pst.START] * pst.DEPTH + symbols(text), 0.0
-        for i in range(pst.DEPTH, len(stream)):
-            state = next(c for d in range(pst.DEPTH, -1, -1) if (c := tuple(stream[i - d : i])) in kept)
-            want += np.log10(dense[state][stream[i]])
+        stream = [*re.findall(rb"[^\x20\x09-\x0D]+", lowered(text)), None]
+        want = sum(np.log10(chances(counts, states, pst.PRIOR, stream[max(0, i - 3) : i], s, 3)) for i, s in enumerate(stream))
         assert found[k].score == pytest.approx(want, rel=1e-9)
 
 
+def test_plain_tree_is_a_distribution(make_docs):
+    """In each state the probabilities of all known symbols and one unknown sum to 1."""
+    rows = [(i, "the cat sat on the mat " * 9) for i in range(9)]
+    counts, states, _ = plain_tree(rows, 3, 4, 1.0)
+    for context in [(), (b"the",), (b"on", b"the"), (b"zzz",), (b"zzz", b"cat")]:
+        assert sum(chances(counts, states, pst.PRIOR, context, s, 3) for s in [*counts[()], b"new"]) == pytest.approx(1)
+
+
+def test_tree_grows_with_the_corpus(make_docs):
+    """Contexts of a few texts stay states, whatever the size of the rest."""
+    rows = [(k, "a phrase seen in few texts only") for k in (7, 8, 9, 10, 11)]
+    few = by_id(pst.score_texts(make_docs(rows + [(i, f"other {i} words") for i in range(100, 140)])))
+    many = by_id(pst.score_texts(make_docs(rows + [(i, f"other {i} words") for i in range(100, 2000)])))
+    for k, _ in rows:
+        assert few[k].score > 0.8 * few[k].base_score and many[k].score > 0.6 * many[k].base_score
+
+
 # --- archives ---
 
 
