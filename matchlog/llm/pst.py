@@ -9,13 +9,18 @@ corpus has more states. The root is the base model: (c + 1) / (N + V + 1). A sta
 distribution is smoothed towards that of the next shorter state that is a suffix of it, with
 the weight of ``prior`` observations; a symbol is scored in the longest state before it.
 
-The tree is as large as the corpus, so no process holds it. Texts are numbered in blocks of
-about ``BLOCK_BYTES``. Pass d counts, per block, the sequences of d + 1 words whose first d
-pass ``least_count``; Spark adds the counts of a sequence over blocks and sends the total back
-to the blocks that have it, unless all its occurrences are there. So a block always knows all
-counts of the sequences in it, and sums its part of each context's divergence, which is added
-and answered the same way. A sequence is one row per block, however often it stands there.
-The last pass scores each block with what it was sent: about as much as it has words.
+The tree is as large as the corpus, so no process holds it. A hash of identifier and text puts
+each row into one of as many blocks as make about ``block_bytes`` each. Pass d counts, per
+block, the sequences of d + 1 words whose first d pass ``least_count``. The keys of a block are
+sorted and cut into ranges, one row of packed keys per block and range; a range meets in one
+task, which adds the counts of a sequence over blocks and sends the total back to the blocks
+that have it, unless all its occurrences are there. So a block always knows all counts of the
+sequences in it, and sums its part of each context's divergence, which is added and answered
+the same way. A sequence is one entry per block, however often it stands there, and ranges of
+hashes are even. The last pass scores each block with what it was sent: about as much as it has
+words. Blocks are worked on in pieces of at most ``PIECES`` times their size (one text at least),
+cut where the sorted rows of a block pass a multiple of it, so that rows repeated in identifier
+and text, which share a block, are never held at once.
 
 Words and sequences are known by 64-bit hashes. Divergence is added in units of 2 ** -20 nats,
 so that sums don't depend on their order.
@@ -33,32 +38,36 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchlog.llm.common import SPACES, mixed, prefix_sums, slices, span_hashes, word_spans
 from matchlog.llm.langid import fold
-from matchlog.session import discard, materialize
+from matchlog.session import materialize
 
-DEPTH = 3
+DEPTH = 2
 LEAST_COUNT = 4
 LEAST_GAIN = 8.0
-PRIOR = 4.0
+PRIOR = 64.0
 FOLDS, HELD = 7, 2
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 8 << 20
+PIECES = 4
+#: Bytes of text for each range of keys.
+RANGE_BYTES = 12 << 20
 #: The end's place among the hashes of words.
-END_TOKEN = np.int64(0)
+END_TOKEN = np.uint64(0)
 #: Kinds of row: d for the count of d + 1 words, CONTEXT + d for the divergence of d words.
 CONTEXT, TEXT = 16, 64
 UNIT = 1 << 20
-ROW = "block long, kind int, key long, n long"
+PART = "block long, kind int, range int, keys binary, n binary"
+SENT = "block long, kind int, keys binary, n binary, vocabulary long, tokens long"
+NONE = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes with an end after each text, and where texts begin in them."""
     starts, ends = word_spans(data, offsets, SPACES)
-    hashes = span_hashes(prefix_sums(data, True), starts, ends).view(np.int64)
+    hashes = span_hashes(prefix_sums(data, True), starts, ends)
     hashes[hashes == END_TOKEN] = 1
     at = np.searchsorted(starts, offsets)
     return np.insert(hashes, at[1:], END_TOKEN), at[:-1] + np.arange(len(offsets) - 1)
@@ -66,7 +75,22 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def extended(context: np.ndarray, token: np.ndarray) -> np.ndarray:
     """Hashes of sequences with one more token."""
-    return mixed(context.view(np.uint64) * np.uint64(0x9FB21C651E98DF25) + token.view(np.uint64)).view(np.int64)
+    return mixed(context * np.uint64(0x9FB21C651E98DF25) + token)
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Numbers by planes of equal bytes, which compress: high bytes of sorted keys, counts of 1."""
+    if values.dtype == np.int64 and (not len(values) or -(1 << 31) <= values.min() <= values.max() < 1 << 31):
+        values = values.astype(np.int32)
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def unpacked(keys: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray]:
+    size = len(keys) // 8
+    if not size:
+        return NONE
+    planes = [np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(-1, size).T) for x in (keys, n)]
+    return planes[0].view(np.uint64).ravel(), planes[1].view(np.int32 if len(n) == 4 * size else np.int64).ravel().astype(np.int64)
 
 
 def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +109,7 @@ class Block:
 
     def __init__(self, texts: list[pa.RecordBatch], known: dict[int, tuple[np.ndarray, np.ndarray]], least: int):
         self.known, self.least, self.texts = known, least, texts
-        hashes, begin, size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        hashes, begin, size = [NONE[0]], [NONE[1]], 0
         for part in texts:
             for _, _, data, offsets in slices(part):
                 found, first = tokens(data, offsets)
@@ -116,7 +140,7 @@ class Block:
 
     def count(self, d: int) -> None:
         keys, number, total = self.own(d)
-        table, n = self.known.get(d, (np.zeros(0, np.int64),) * 2)
+        table, n = self.known.get(d, NONE)
         sent, at = _find(table, keys)
         total[sent] = n[at[sent]]
         self.counts.append(np.zeros(len(self.place), np.int64))
@@ -138,23 +162,25 @@ class Block:
         base = chance = (self.counts[0] + 1) / (all_tokens + vocabulary + 1)
         for d in range(1, depth + 1):
             context = self.before(self.sequences[d - 1])
-            state = self.candidate[d] & ~_find(self.known.get(CONTEXT + d, (np.zeros(0, np.int64),))[0], context)[0]
+            state = self.candidate[d] & ~_find(self.known.get(CONTEXT + d, NONE)[0], context)[0]
             chance = np.where(state, (self.counts[d] + prior * chance) / (self.before(self.counts[d - 1]) + prior), chance)
         return np.log10(base), np.log10(chance)
 
 
-def blocks(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[int, Block]]:
-    """Blocks of rows sorted by (block, kind): totals come before texts."""
-    held, texts, sent = None, [], []
+def blocks(batches: Iterator[pa.RecordBatch], least: int, most: int) -> Iterator[tuple[int, Block]]:
+    """Pieces of blocks, from rows sorted by (block, kind): what was sent comes before texts."""
+    held, piece, used, texts, sent, known = None, 0, 0, [], [], {}
 
-    def whole() -> Block:
-        kinds, keys, n = (np.concatenate([part[k] for part in sent]) if sent else np.zeros(0, np.int64) for k in range(3))
-        known = {}
-        for kind in np.unique(kinds).tolist():
-            own = kinds == kind
-            order = np.argsort(keys[own])
-            known[kind] = keys[own][order], n[own][order]
-        return Block(texts, known, least)
+    def merged() -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        by_kind: dict[int, list] = {}
+        for kind, keys, n in sent:
+            by_kind.setdefault(kind, []).append(unpacked(keys, n))
+        out = {}
+        for kind, parts in by_kind.items():
+            keys, n = (np.concatenate([part[k] for part in parts]) for k in range(2))
+            order = np.argsort(keys)
+            out[kind] = keys[order], n[order]
+        return out
 
     for batch in batches:
         block = batch.column(0).to_numpy()
@@ -164,57 +190,95 @@ def blocks(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[int,
                 continue
             if block[first] != held:
                 if texts:
-                    yield held, whole()
-                held, texts, sent = int(block[first]), [], []
+                    yield held, Block(texts, known, least)
+                held, piece, used, texts, sent, known = int(block[first]), 0, 0, [], [], {}
             part = batch.slice(first, end - first)
-            kinds = part.column(1).to_numpy()
-            at = int(np.searchsorted(kinds, TEXT))
-            if at:
-                sent.append(tuple(part.column(k).slice(0, at).to_numpy() for k in (1, 2, 3)))
-            if at < len(kinds):
-                texts.append(part.slice(at))
-    if texts:
-        yield held, whole()
-
-
-def numbered(rows: DataFrame, most: int = BLOCK_BYTES) -> DataFrame:
-    """The rows with a block number: consecutive rows of about ``most`` bytes, texts whole."""
-    names = rows.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, used = TaskContext.get().partitionId() << 32, 0
-        for batch in batches:
-            sizes = pc.fill_null(pc.binary_length(batch.column(names.index("text"))), 0).to_numpy()
-            # a row opens a block if the bytes before it, in this task, pass a multiple of the size
-            before = used + np.cumsum(sizes) - sizes
+            at = int(np.searchsorted(part.column(1).to_numpy(), TEXT))
+            sent.extend(zip(*(part.column(k).slice(0, at).to_pylist() for k in (1, 2, 3)), strict=True))
+            part = part.slice(at)
+            if not part.num_rows:
+                continue
+            if sent:
+                known, sent = merged(), []
+            sizes = pc.fill_null(pc.binary_length(part.column(part.schema.get_field_index("text"))), 0).to_numpy()
+            pieces = (used + np.cumsum(sizes) - sizes) // most
             used += int(sizes.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(block + before // most, pa.int64()), *batch.columns], ["block", *names])
-
-    return rows.mapInArrow(run, "block long, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema))
+            cuts = [0, *(np.flatnonzero(np.diff(pieces)) + 1).tolist(), len(pieces)]
+            for begin, until in zip(cuts, cuts[1:], strict=False):
+                if pieces[begin] != piece and texts:
+                    yield held, Block(texts, known, least)
+                    texts = []
+                piece = pieces[begin]
+                texts.append(part.slice(begin, until - begin))
+    if texts:
+        yield held, Block(texts, known, least)
 
 
-def passed(texts: DataFrame, known: list[DataFrame], work: Callable[[int, Block], Iterator[pa.RecordBatch]], least: int, schema: str) -> DataFrame:
-    """Each block's texts with the totals sent to it, through ``work``."""
-    rows = texts.select("block", F.lit(TEXT).alias("kind"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("n"), "doc_id", "held_out", "text")
+def passed(texts: DataFrame, known: list[DataFrame], work: Callable[[int, Block], Iterator[pa.RecordBatch]], least: int, most: int, schema: str) -> DataFrame:
+    """Each block's texts with what was sent to it, through ``work``."""
+    nothing = F.lit(None).cast("binary")
+    rows = texts.select("block", F.lit(TEXT).alias("kind"), nothing.alias("keys"), nothing.alias("n"), "doc_id", "held_out", "text")
     for table in known:
-        rows = rows.unionByName(table, allowMissingColumns=True)
-    if known:
-        rows = rows.repartition("block").sortWithinPartitions("block", "kind")
+        rows = rows.unionByName(table.select("block", "kind", "keys", "n").filter("kind >= 0"), allowMissingColumns=True)
+    rows = rows.repartition("block").sortWithinPartitions("block", "kind", "doc_id", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, block in blocks(batches, least):
+        for number, block in blocks(batches, least, most):
             yield from work(number, block)
 
     return rows.mapInArrow(run, schema)
 
 
+def ranged(block: int, kind: int, keys: np.ndarray, n: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Sorted keys and their numbers, a row for each range of keys that has some."""
+    number = (keys >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(keys), np.int32)
+    edges = [*np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), number[1:] != number[:-1]])).tolist(), len(keys)]
+    rows = [(packed(keys[a:b]), packed(n[a:b])) for a, b in zip(edges, edges[1:], strict=False)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([block] * len(rows), pa.int64()), pa.array([kind] * len(rows), pa.int32()), pa.array(number[edges[:-1]]), pa.array([k for k, _ in rows], pa.binary()), pa.array([c for _, c in rows], pa.binary())],
+        ["block", "kind", "range", "keys", "n"],
+    )
+
+
 def answered(parts: DataFrame, least_gain: float) -> DataFrame:
     """What blocks are sent: totals that are more than their own count, and contexts that don't
-    diverge. A key has at most one row per block (two, where a block was read in two tasks)."""
-    total = F.sum("n").over(Window.partitionBy("kind", "key"))
-    counts = F.col("kind") < CONTEXT
-    rows = parts.withColumn("total", total).filter(F.when(counts, F.col("total") > F.col("n")).otherwise(F.col("total") <= least_gain * UNIT))
-    return rows.select("block", "kind", "key", F.when(counts, F.col("total")).otherwise(0).alias("n"))
+    diverge; for the counts of single words also a row with those of the range, of kind -1."""
+
+    def whole(kind: int, rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+        own = [unpacked(keys, n) for _, keys, n in rows]
+        edges = np.cumsum([0, *(len(keys) for keys, _ in own)])
+        keys, n = (np.concatenate([part[k] for part in own]) for k in range(2))
+        order = np.argsort(keys, kind="stable")
+        ranked = keys[order]
+        first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+        sums = np.add.reduceat(n[order], first)
+        total = np.empty(len(keys), np.int64)
+        total[order] = np.repeat(sums, np.diff(np.append(first, len(keys))))
+        send = total > n if kind < CONTEXT else total <= least_gain * UNIT
+        out = []
+        for (block, _, _), a, b in zip(rows, edges, edges[1:], strict=False):
+            if send[a:b].any():
+                out.append((block, kind, packed(keys[a:b][send[a:b]]), packed(total[a:b][send[a:b]]), 0, 0))
+        if not kind:
+            out.append((-1, -1, b"", b"", int((sums > 0).sum()), int(sums.sum())))
+        return pa.RecordBatch.from_pylist([dict(zip(names, row, strict=True)) for row in out], pa.schema(list(zip(names, types, strict=True))))
+
+    names = [c.split()[0] for c in SENT.split(", ")]
+    types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = None, []
+        for batch in batches:
+            for block, kind, number, keys, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (kind, number) != held:
+                    if rows:
+                        yield whole(held[0], rows)
+                    held, rows = (kind, number), []
+                rows.append((block, keys, n))
+        if rows:
+            yield whole(held[0], rows)
+
+    return parts.repartition("kind", "range").sortWithinPartitions("kind", "range").mapInArrow(run, SENT)
 
 
 def score_texts(
@@ -223,35 +287,26 @@ def score_texts(
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row."""
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{value}`").alias("text"))
     rows = rows.select("doc_id", (fold("doc_id", FOLDS) == HELD).alias("held_out"), "text")
-    texts = materialize(numbered(rows, block_bytes))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = int(size // RANGE_BYTES).bit_length()
+    texts = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(int(size // block_bytes) + 1)))
     known: list[DataFrame] = []
     all_tokens = vocabulary = 0
     for step in range(depth + 2):
 
         def work(number: int, block: Block, step: int = step, all_tokens: int = all_tokens) -> Iterator[pa.RecordBatch]:
-            def out(kind: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-                for at in range(0, len(keys), 1 << 16):
-                    own = keys[at : at + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(own), number)), pa.array(np.full(len(own), kind, np.int32)), pa.array(own), pa.array(n[at : at + (1 << 16)])], ["block", "kind", "key", "n"]
-                    )
-
             for d in range(step):
                 block.count(d)
             if step <= depth:
                 keys, _, n = block.own(step)
-                yield from out(step, keys, n)
+                yield ranged(number, step, keys, n, bits)
             if step > 1:
-                yield from out(CONTEXT + step - 1, *block.divergence(step - 1, all_tokens))
+                yield ranged(number, CONTEXT + step - 1, *block.divergence(step - 1, all_tokens), bits)
 
-        parts = passed(texts, known, work, least_count, ROW)
-        if not step:
-            parts = materialize(parts)
-            sums = parts.groupBy("key").agg(F.sum("n").alias("n")).agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
-            all_tokens, vocabulary = sums["n"] or 0, sums["v"]
-        known.append(materialize(answered(parts, least_gain)))
+        known.append(materialize(answered(passed(texts, known, work, least_count, PIECES * block_bytes, PART), least_gain)))
         if not step:
-            discard(parts)
+            sums = known[0].agg(F.sum("tokens").alias("n"), F.sum("vocabulary").alias("v")).first()
+            all_tokens, vocabulary = sums["n"] or 0, sums["v"] or 0
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def scored(_: int, block: Block) -> Iterator[pa.RecordBatch]:
@@ -262,4 +317,4 @@ def score_texts(
         columns = [own.column(0).combine_chunks(), own.column(1).combine_chunks(), pa.array(block.sizes), pa.array(sums[0]), pa.array(np.full(len(block.sizes), all_tokens)), pa.array(sums[1]), pa.array(sums[2])]
         yield pa.RecordBatch.from_arrays(columns, names)
 
-    return passed(texts, known, scored, least_count, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return passed(texts, known, scored, least_count, PIECES * block_bytes, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

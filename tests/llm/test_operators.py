@@ -372,12 +372,15 @@ def chances(counts, states, prior, context, symbol, depth):
 
 
 @pytest.mark.parametrize("block_bytes", [pst.BLOCK_BYTES, 200, 1])
-def test_scores_by_a_plain_suffix_tree(make_docs, block_bytes):
+@pytest.mark.parametrize("range_bytes", [pst.RANGE_BYTES, 100])
+def test_scores_by_a_plain_suffix_tree(make_docs, block_bytes, range_bytes, monkeypatch):
     """Contexts, divergence test, smoothing and scores written out in Python, row by row."""
     rng = np.random.default_rng(5)
     words = ["the", "cat", "sat", "on", "a", "mat", "dog", "Ran", "Été", "x" * 12]
     rows = [(i, " ".join(rng.choice(words, rng.integers(0, 25)))) for i in range(60)]
     rows += [(100 + i, "the cat sat on a mat the dog ran") for i in range(9)] + [(70, None), (71, " \n"), (72, "zebra quartz")]
+    rows += [(200, "repeated rows share a block of the cat")] * 12
+    monkeypatch.setattr(pst, "RANGE_BYTES", range_bytes)
     counts, states, candidates = plain_tree(rows, 3, 3, 5.0)
     assert 20 < len(states) < candidates and {len(s) for s in states} == {0, 1, 2, 3}
     found = by_id(pst.score_texts(make_docs(rows), depth=3, least_count=3, least_gain=5.0, block_bytes=block_bytes))
