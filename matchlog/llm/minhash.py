@@ -25,13 +25,18 @@ sequence as one; none: empty). Texts with 100 * intersection >= 75 * union are l
    Two sketches differ in at most as many bits as the sets have shingles that the other lacks,
    and two linked sets have at most a seventh of their total size of those; so a pair whose
    sketches differ in more can't be linked, and no linked pair is lost. Texts under one
-   template at 0.7 or less go here without becoming a row; only what remains is put out, and
-   verified as in step 5. It goes in squares of ``square`` members a side, each a group of its
-   own, so that no task holds a whole bucket. So every pair of classes that share a bucket ends
-   inside one component or refuted, whatever the bucket's size. The comparisons, a few words of
-   bits each, grow with the members that are not in the largest component times the members of
-   the bucket, and what is shuffled for them with that over ``square``; only pairs whose
-   sketches allow a link are put out.
+   template at 0.7 or less go here without becoming a row. Of what remains, a spanning forest
+   over components is put out, the most similar pairs first: fewer rows than the bucket has
+   components. It goes in squares of ``square`` members a side, each a group of its own, so that
+   no task holds a whole bucket. The comparisons, a few words of bits each, grow with the
+   members that are not in the largest component times the members of the bucket, and what is
+   shuffled for them with that over ``square``.
+7. The forests' pairs are verified as in step 5. Components that forests connect are a cluster;
+   each pair that sketches allow is inside one. In clusters that still hold several components,
+   members outside the largest one meet all others on full sets, made from the texts inside the
+   task, in squares of ``text_bytes`` a side; again a forest is put out, of links. So every pair
+   of classes that share a bucket ends inside one component or refuted, whatever the bucket's
+   size, and no step has a row for each pair.
 
 A pair at exactly 0.75 shares no table with a chance of 0.0012 at half = 10, width = 2 (each
 entry matches at 0.75 ** 2; one in each collection must); at 0.85 of 1e-5.
@@ -45,7 +50,7 @@ holds for each.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +63,7 @@ from matchlog.session import materialize
 SHINGLE, PERCENT = 5, 75
 HALF, WIDTH = 10, 2
 SQUARE = 4096
+TEXT_BYTES = 8 << 20
 SKETCH = 1024
 #: Of 2 * HALF * WIDTH = 40 values; the chance to be below it is 3e-4 for a pair at 0.75.
 LEAST_AGREEING = 20
@@ -159,78 +165,128 @@ def first_met(classes: DataFrame, half: int) -> DataFrame:
 
 
 def left_to_meet(classes: DataFrame, half: int, square: int = SQUARE) -> DataFrame:
-    """Distinct (a, b, alike), a < b: the pairs of classes of different components that share a
-    bucket and whose sketches allow the similarity; ``classes`` has a column root."""
+    """Distinct (a, b, alike), a < b: classes of different components that share a bucket and
+    whose sketches allow the similarity. All such components of a bucket's square are connected
+    by its rows, which are fewer than they; ``classes`` has a column root."""
     keys = table_keys(classes, half, F.col("root"), F.col("n_shingles").alias("size")).select("class", "root", "size", "key")
     per_root = keys.groupBy("key", "root").agg(F.count("*").alias("n_root"))
     buckets = per_root.groupBy("key").agg(F.max(F.struct("n_root", "root")).alias("main"), F.sum("n_root").alias("n"))
     buckets = buckets.filter(F.col("n") > F.col("main.n_root"))
     keys = keys.join(buckets, "key").join(classes.select("class", "sketch"), "class")
-    keys = materialize(keys.withColumn("probe", F.col("root") != F.col("main.root")))
+    keys = keys.withColumn("probe", F.col("root") != F.col("main.root"))
     across, down = (F.ceil(c / square).cast("int") for c in (F.col("n"), F.col("n") - F.col("main.n_root")))
-    place = F.xxhash64("class", F.lit(1))
-    every = lambda n: F.sequence(F.lit(0), n - 1)
-    as_target = keys.select("class", "root", "size", "sketch", "key", F.lit(False).alias("probe"), F.pmod(place, across).cast("int").alias("x"), F.explode(every(down)).alias("y"))
-    as_probe = keys.filter("probe").select("class", "root", "size", "sketch", "key", "probe", F.explode(every(across)).alias("x"), F.pmod(place, down).cast("int").alias("y"))
-    dealt = as_target.union(as_probe).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    dealt = _squares(materialize(keys.select("class", "root", "size", "sketch", "probe", "key", across.alias("across"), down.alias("down"))))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, pairs, size = [], [], 0
-        for batch in batches:
-            if batch.num_rows:
-                group, rest = _ends_of_groups([*held, batch])
-                for each in group:
-                    pairs.append(_near_across(*each))
-                    size += len(pairs[-1])
-                held = [rest]
-                if size >= 1 << 16:
-                    yield _distinct_pairs(pairs)
-                    pairs, size = [], 0
-        if held:
-            for each in _ends_of_groups(held, True)[0]:
-                pairs.append(_near_across(*each))
+        pairs, size = [], 0
+        for each in _groups(batches):
+            pairs.append(_near_across(*_compared(each)))
+            size += len(pairs[-1])
+            if size >= 1 << 16:
+                yield _distinct_pairs(pairs)
+                pairs, size = [], 0
         if pairs:
             yield _distinct_pairs(pairs)
 
-    met = dealt.select("class", "root", "size", "sketch", "probe", "key", "x", "y").mapInArrow(compare, "a long, b long, alike int")
-    return met.distinct()
-
+    return dealt.mapInArrow(compare, "a long, b long, alike int").distinct()
 
-def _ends_of_groups(held: list[pa.RecordBatch], last: bool = False) -> tuple[Iterator[tuple[np.ndarray, ...]], pa.RecordBatch]:
-    """The (class, root, size, sketch, probe) of each whole group (key, x, y), and the rows after them."""
-    whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-    place = [whole.column(k).to_numpy(zero_copy_only=False) for k in (5, 6, 7)]
-    starts = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in place])]))
-    if last:
-        starts = np.append(starts, whole.num_rows)
-    done = int(starts[-1])
-    columns = [whole.column(k).to_numpy(zero_copy_only=False)[:done] for k in (0, 1, 2, 4)]
-    bits = np.frombuffer(b"".join(whole.column(3).slice(0, done).to_pylist()), np.uint64).reshape(done, SKETCH // 64)
-    groups = ((*(c[a:b] for c in columns[:3]), bits[a:b], columns[3][a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True))
-    return groups, whole.slice(done)
 
-
-def _near_across(classes: np.ndarray, roots: np.ndarray, sizes: np.ndarray, bits: np.ndarray, probe: np.ndarray) -> np.ndarray:
-    """Rows (a, b, alike) of probes with targets of another component: those whose sketches
-    differ in no more bits than linked sets differ in shingles."""
+def _squares(members: DataFrame) -> DataFrame:
+    """Members of each key dealt over ``across`` times ``down`` squares, one after another:
+    targets to a column of them, probes also as such to a row of them."""
+    place = F.xxhash64("class", F.lit(1))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    columns = [c for c in members.columns if c not in ("probe", "key", "across", "down")]
+    as_target = members.select(*columns, F.lit(False).alias("probe"), "key", F.pmod(place, F.col("across")).cast("int").alias("x"), F.explode(every("down")).alias("y"))
+    as_probe = members.filter("probe").select(*columns, "probe", "key", F.explode(every("across")).alias("x"), F.pmod(place, F.col("down")).cast("int").alias("y"))
+    return as_target.union(as_probe).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each square, whole."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        place = [batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("key", "x", "y")]
+        starts = (np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in place])) + 1).tolist()
+        for first, end in zip([0, *starts], [*starts, batch.num_rows], strict=True):
+            part = batch.slice(first, end - first)
+            if held and any(held[0][c][0] != part[c][0] for c in ("key", "x", "y")):
+                yield _whole(held)
+                held = []
+            held.append(part)
+    if held:
+        yield _whole(held)
+
+
+def _whole(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+
+def _compared(square: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """(class, root, size, sketch, probe) of a square's rows."""
+    classes, roots, sizes, probe = (square[c].to_numpy(zero_copy_only=False) for c in ("class", "root", "size", "probe"))
+    return classes, roots, sizes, np.frombuffer(b"".join(square["sketch"].to_pylist()), np.uint64).reshape(square.num_rows, SKETCH // 64), probe
+
+
+def _near_across(classes: np.ndarray, roots: np.ndarray, sizes: np.ndarray, bits: np.ndarray, probe: np.ndarray, linked: Callable[[int, int], bool] = lambda i, j: True) -> np.ndarray:
+    """Rows (a, b, alike) of probes with targets of another component: of those whose sketches
+    differ in no more bits than linked sets differ in shingles, and which ``linked`` doesn't
+    refute, a forest that connects the components they connect."""
     probes, targets = np.flatnonzero(probe), np.flatnonzero(~probe)
+    top = np.unique(roots, return_inverse=True)[1]
     out = [np.zeros((0, 3), np.int64)]
     step = max(1, 100_000 // max(1, len(targets)))
     for at in range(0, len(probes), step):
         p = probes[at : at + step]
         small, large = np.minimum(sizes[p][:, None], sizes[targets]), np.maximum(sizes[p][:, None], sizes[targets])
-        i, j = np.nonzero((roots[p][:, None] != roots[targets]) & (100 * small >= PERCENT * large))
+        i, j = np.nonzero((top[p][:, None] != top[targets]) & (100 * small >= PERCENT * large))
         i, j = p[i], targets[j]
         total = sizes[i] + sizes[j]
         apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
         # linked: 100 * both >= 75 * (total - both), and apart is at most total - 2 * both
         keep = (100 + PERCENT) * apart <= (100 - PERCENT) * total
-        x, y = classes[i[keep]], classes[j[keep]]
-        alike = 1_000_000 - 1_000_000 * apart[keep] // total[keep]
-        out.append(np.stack([np.minimum(x, y), np.maximum(x, y), alike], axis=1))
+        i, j, alike = i[keep], j[keep], 1_000_000 - 1_000_000 * apart[keep] // total[keep]
+        order = np.lexsort((classes[j], classes[i], -alike))
+        i, j, alike = i[order], j[order], alike[order]
+        k = 0
+        while k < len(i):
+            if not linked(int(i[k]), int(j[k])):
+                k += 1
+                continue
+            x, y = classes[i[k]], classes[j[k]]
+            out.append(np.array([[min(x, y), max(x, y), alike[k]]]))
+            top[top == top[i[k]]] = top[j[k]]
+            left = k + np.flatnonzero(top[i[k:]] != top[j[k:]])
+            i, j, alike, k = i[left], j[left], alike[left], 0
     return np.concatenate(out)
 
 
+def linked_in_clusters(members: DataFrame, texts: DataFrame, text_bytes: int = TEXT_BYTES) -> DataFrame:
+    """Distinct (a, b): links between components of a cluster, which connect all that are linked.
+
+    ``members`` is (class, cluster, root, size, sketch); a cluster of one component costs nothing.
+    """
+    several = members.groupBy("cluster").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most")
+    members = materialize(members.join(several.select("cluster"), "cluster").join(texts, "class"))
+    per_root = members.groupBy("cluster", "root").agg(F.sum(F.octet_length("text")).alias("own"))
+    clusters = per_root.groupBy("cluster").agg(F.max(F.struct("own", "root")).alias("main"), F.sum("own").alias("all"))
+    across, down = (F.ceil(c / text_bytes).cast("int") for c in (F.col("all"), F.col("all") - F.col("main.own")))
+    met = members.join(clusters, "cluster").select(
+        "class", "root", "size", "sketch", "text", (F.col("root") != F.col("main.root")).alias("probe"), F.col("cluster").alias("key"), across.alias("across"), down.alias("down")
+    )
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for square in _groups(batches):
+            sets = [values for _, _, data, offsets in slices(square) for values in shingle_sets(data, offsets)]
+            both = lambda i, j: len(np.intersect1d(sets[i], sets[j], assume_unique=True))  # noqa: E731, B023
+            found = _near_across(*_compared(square), lambda i, j: 100 * (n := both(i, j)) >= PERCENT * (len(sets[i]) + len(sets[j]) - n))  # noqa: B023
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+    return _squares(met).mapInArrow(compare, "a long, b long").distinct()
+
+
 def _distinct_pairs(pairs: list[np.ndarray]) -> pa.RecordBatch:
     rows = np.unique(np.concatenate(pairs), axis=0)
     return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2].astype(np.int32))], ["a", "b", "alike"])
@@ -313,7 +369,7 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", value: str = "text", half: int = HALF, width: int = WIDTH, least_agreeing: int = LEAST_AGREEING, square: int = SQUARE) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", value: str = "text", half: int = HALF, width: int = WIDTH, least_agreeing: int = LEAST_AGREEING, square: int = SQUARE, text_bytes: int = TEXT_BYTES) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, group, text_key) of each row; ``group`` is null
     for a row alone."""
     spark = docs.sparkSession
@@ -336,16 +392,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", value: str = "text", h
     links = materialize(verified(best.distinct(), texts))
     first = components(links)
     links, first = _linked_further(_between(found.select("a", "b"), first), texts, links, first)
-    rooted = involved.join(first.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    near = materialize(left_to_meet(materialize(rooted), half, square).join(found.select("a", "b"), ["a", "b"], "left_anti"))
-    # the most similar pair of each two components, then all that are still between two
-    x = rooted.select(F.col("class").alias("a"), F.col("root").alias("x"))
-    y = rooted.select(F.col("class").alias("b"), F.col("root").alias("y"))
-    sides = near.join(x, "a").join(y, "b").groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    best = materialize(sides.agg(F.max(F.struct("alike", "a", "b")).alias("best")).select("best.a", "best.b"))
-    links, first = _linked_further(best, texts, links, first)
-    rest = near.select("a", "b").join(best, ["a", "b"], "left_anti")
-    links, first = _linked_further(_between(rest, first), texts, links, first)
+    rooted = materialize(involved.join(first.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class")))
+    near = materialize(left_to_meet(rooted, half, square))
+    if not near.isEmpty():
+        # components that the forests connect are a cluster
+        x = rooted.select(F.col("class").alias("a"), F.col("root").alias("x"))
+        y = rooted.select(F.col("class").alias("b"), F.col("root").alias("y"))
+        between = near.join(x, "a").join(y, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        clusters = components(between).select(F.col("node").alias("root"), F.col("root").alias("cluster"))
+        untested = near.select("a", "b").join(found.select("a", "b"), ["a", "b"], "left_anti")
+        links, first = _linked_further(untested, texts, links, first)
+        members = rooted.join(clusters, "root").select("class", "cluster", F.col("n_shingles").alias("size"), "sketch")
+        members = members.join(first.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+        more = materialize(linked_in_clusters(members, texts, text_bytes))
+        if not more.isEmpty():
+            first = components(materialize(links.union(more)))
     named = classes.select("class", "set_key", "least").join(first.withColumnRenamed("node", "class"), "class", "left")
     named = named.withColumn("group", F.coalesce("root", "class"))
     heads = named.groupBy("group").agg(F.min("least").alias("component_id"), F.count("*").alias("classes"))

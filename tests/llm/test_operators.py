@@ -567,3 +567,50 @@ def test_passages_of_fifty_words_and_400_bytes(make_docs):
         assert found[i].n_removed == (0 if size < 398 else found[i].n_removed)
         assert size < 400 or found[i].n_removed >= size
     assert any(len(p) >= 400 for p in passages) and any(len(p) < 400 for p in passages)
+
+
+def test_pairs_left_are_fewer_than_components(spark):
+    """Many copies and many texts near to each of them don't become a row for each two."""
+    bits = bytes(minhash.SKETCH // 8)
+    rows = [(i, 0 if i < 200 else i, 100, [5, 7], bits) for i in range(230)]
+    classes = spark.createDataFrame(rows, "class long, root long, n_shingles long, entries array<long>, sketch binary")
+    met = minhash.left_to_meet(classes, 1).collect()
+    assert len(met) == 30
+    dealt = minhash.left_to_meet(classes, 1, 16).collect()
+    assert len(dealt) < 230 * 30 / 4
+    assert set(components_by([(r.a if r.a >= 200 else 0, r.b if r.b >= 200 else 0) for r in met], [0, *range(200, 230)]).values()) == {0}
+
+
+def components_by(links, nodes):
+    root = {k: k for k in nodes}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        root[max(top(a), top(b))] = min(top(a), top(b))
+    return {k: top(k) for k in nodes}
+
+
+@pytest.mark.parametrize("options", [{}, {"square": 8, "text_bytes": 5000}])
+def test_pairs_about_the_bound_are_all_verified(make_docs, options):
+    """Texts at 0.6 to 0.9 of each other, some of which sketches can't tell: each pair that shares a
+    bucket is refuted or inside one component, whichever pairs were taken first."""
+    rng = np.random.default_rng(11)
+    words = [f"w{k}" for k in range(300)]
+    rows = []
+    for i in range(120):
+        own, at, size = list(words), int(rng.integers(0, 260)), int(rng.integers(30, 40))
+        own[at : at + size] = [f"own{i}x{k}" for k in range(size)]
+        rows.append((i, " ".join(own)))
+    met, sets = {}, {k: sets_of(t) for k, t in rows}
+    for k, t in rows:
+        data = np.frombuffer(t.encode(), np.uint8)
+        (values,) = minhash.shingle_sets(data, np.array([0, len(data)]))
+        met.setdefault(minhash.signature(values, minhash.hash_seeds(2)).tobytes(), {})[k] = sets[k]
+    want = {k: v for m in met.values() for k, v in components_of(m).items()}
+    assert max(len(m) for m in met.values()) > 40 and len(set(want.values())) > len(met)
+    found = by_id(minhash.near_duplicates(make_docs(rows), half=1, width=1, **options))
+    assert {k: r.component_id for k, r in found.items()} == want
