@@ -407,6 +407,20 @@ def test_tree_grows_with_the_corpus(make_docs):
         assert few[k].score > 0.8 * few[k].base_score and many[k].score > 0.6 * many[k].base_score
 
 
+def test_totals_go_back_without_their_keys(make_docs, monkeypatch):
+    """What blocks are sent is small next to their 8-byte keys, and pieces get their own."""
+    rng, sent = np.random.default_rng(3), []
+    rows = [(i, " ".join(f"w{w}" for w in rng.zipf(1.3, 60) % 5000)) for i in range(900)] + [(7, "one row many times " * 9)] * 40
+    monkeypatch.setattr(pst, "materialize", lambda df, f=pst.materialize, **kw: sent.append(f(df, **kw)) or sent[-1])
+    found = pst.score_texts(make_docs(rows), block_bytes=60_000)
+    assert found.count() == len(rows)
+    words = {(i, w) for i, text in rows for w in text.split()}
+    for table in sent:
+        columns = [c for c, kind in table.dtypes if kind == "binary"]
+        size = table.selectExpr(" + ".join(f"coalesce(sum(octet_length({c})), 0)" for c in columns)).first()[0]
+        assert size < 2 * len(words)
+
+
 # --- archives ---
 
 

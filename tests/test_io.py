@@ -1,12 +1,13 @@
 import os
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from matchlog.operators import shaping
 from matchlog.plans import explore
-from matchlog.session import shared_folder
+from matchlog.session import materialize, shared_folder
 from matchlog.sources import readers, sample, sinks
 from matchlog.sources.schema import LOG
 
@@ -190,3 +191,24 @@ def test_sample_log_does_not_depend_on_the_session_zone(spark):
         assert sample.match_log(spark, FOLDER).agg(F.sum("time")).first()[0] == pytest.approx(want)
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_shuffles_of_a_write_can_go_with_it(spark):
+    """Their files are deleted as the write ends, though the frame is still held."""
+
+    def files():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for f in found.mkString("\n").split("\n") if "/shuffle_" in f}
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = files(), spark.conf.get(name)
+    dealt = spark.range(50_000).repartition(7, "id")
+    table = materialize(dealt, keep_shuffles=False)
+    for _ in range(100):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and spark.conf.get(name) == setting
+    assert table.count() == dealt.count() == 50_000
+    materialize(dealt)
+    assert not files() <= before
