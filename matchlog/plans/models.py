@@ -8,10 +8,13 @@ from __future__ import annotations
 
 import math
 import random
+import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
@@ -19,7 +22,7 @@ from pyspark.ml.classification import (
     GBTClassifier,
     RandomForestClassifier,
 )
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator
@@ -30,7 +33,7 @@ from matchlog.functions.scalar import clip, plain_names
 from matchlog.operators.shaping import answer_spine
 from matchlog.plans import scoring
 from matchlog.plans.assemble import feature_columns
-from matchlog.session import materialize
+from matchlog.session import materialize, shared_folder
 
 LABEL = "winner"
 
@@ -143,21 +146,77 @@ def cv_learning_curve(
     return scoring.fold_curve(materialize(reduce(DataFrame.unionByName, steps)))
 
 
-def depth_sweep(
-    matrix: DataFrame, depths: list[int], trees: int = 20, seed: int = 1, parallelism: int = 4
-) -> DataFrame:
-    """Validation accuracy of a random forest per depth (Spark allows depths up to 30)."""
+def cut_votes(depths: list[int]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Of a tree's saved nodes, what each leaf votes for each class once the tree is cut at each
+    depth. As in a fit, two leaves of the same prediction are merged into their parent."""
+
+    def votes(nodes: pd.DataFrame) -> pd.DataFrame:
+        nodes = nodes.sort_values("id")
+        children = nodes[["leftChild", "rightChild"]].to_numpy()
+        inner, chosen = children[:, 0] >= 0, nodes["prediction"].to_numpy()
+        counts = np.stack(nodes["impurityStats"].tolist())
+        shares = counts / counts.sum(axis=1, keepdims=True)
+        parent = np.zeros(len(nodes), int)
+        parent[children[inner]] = np.flatnonzero(inner)[:, None]
+        levels = [np.zeros(1, int)]
+        while len(below := children[levels[-1]][inner[levels[-1]]].ravel()):
+            levels.append(below)
+        found = []
+        for depth in depths:
+            ends = ~inner
+            for level in levels[depth : depth + 1]:
+                ends[level] = True
+            for level in reversed(levels[:depth]):
+                split = level[inner[level]]
+                left, right = children[split].T
+                ends[split] = ends[left] & ends[right] & (chosen[left] == chosen[right])
+            at, over = np.arange(len(nodes)), ends.copy()
+            for level in levels[1:]:
+                above = parent[level]
+                at[level] = np.where(over[above], at[above], level)
+                over[level] |= over[above]
+            found.append(shares[at[~inner]])
+        by_leaf = np.concatenate(found, axis=1)
+        return pd.DataFrame({"tree": int(nodes["treeID"].iloc[0]), "leaf": np.arange(len(by_leaf)), "votes": list(by_leaf)})
+
+    return votes
+
+
+def depth_sweep(matrix: DataFrame, depths: list[int], trees: int = 20, seed: int = 1) -> DataFrame:
+    """Validation accuracy of a random forest per depth (Spark allows depths up to 30).
+
+    A forest grows level by level, so its first levels are the forest of a smaller depth: one is
+    fitted, of the largest depth, and cut at each. Validation rows pass it once, which gives the
+    leaves they reach; a leaf's votes after each cut come from the saved nodes. Spark draws the
+    features of a split in the order in which it splits nodes. That order is by level, the same
+    for all depths, as long as the nodes of a level fit into ``maxMemoryInMB``; beyond that a
+    forest fitted with a smaller depth draws others, from the same seed.
+    """
+    spark = matrix.sparkSession
     rows = materialize(scoring.stable_split(assembled(matrix)))
     train, valid = rows.where(F.col("part") == "train"), rows.where(F.col("part") == "valid")
-    accuracy = MulticlassClassificationEvaluator(labelCol=LABEL, metricName="accuracy")
-
-    def measure(depth: int) -> Callable:
-        forest = RandomForestClassifier(labelCol=LABEL, maxDepth=depth, numTrees=trees, seed=seed)
-        return lambda: (depth, accuracy.evaluate(forest.fit(train).transform(valid)))
-
-    spark = matrix.sparkSession
-    found = at_once(spark, [measure(d) for d in depths], parallelism)
-    return spark.createDataFrame(found, "depth INT, accuracy DOUBLE")
+    forest = RandomForestClassifier(labelCol=LABEL, maxDepth=max(depths), numTrees=trees, seed=seed).fit(train)
+    path = f"{shared_folder(spark).rstrip('/')}/matchlog-{uuid.uuid4().hex}"
+    forest.save(path)
+    nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").drop("split")
+    votes = nodes.groupBy("treeID").applyInPandas(cut_votes(depths), "tree INT, leaf INT, votes ARRAY<DOUBLE>")
+    reached = materialize(
+        forest.setLeafCol("leaves")
+        .transform(valid)
+        .select(F.monotonically_increasing_id().alias("row"), F.col(LABEL).alias("label"), "leaves")
+        .select("row", "label", F.posexplode(vector_to_array("leaves")).alias("tree", "leaf"))
+        .withColumn("leaf", F.col("leaf").cast("int"))
+    )
+    # added in the order of the trees, as the model does
+    sums = (
+        reached.join(votes, ["tree", "leaf"])
+        .groupBy("row", "label")
+        .agg(F.array_sort(F.collect_list(F.struct("tree", "votes"))).alias("trees"))
+        .select("label", F.reduce(F.col("trees.votes"), F.array_repeat(F.lit(0.0), forest.numClasses * len(depths)), lambda total, own: F.zip_with(total, own, lambda a, b: a + b)).alias("sums"))
+    )
+    cut = [F.slice("sums", 1 + i * forest.numClasses, forest.numClasses) for i in range(len(depths))]
+    hits = [F.avg((F.array_position(c, F.array_max(c)) - 1 == F.col("label")).cast("double")) for c in cut]
+    return spark.createDataFrame(list(zip(depths, map(float, sums.agg(*hits).first()))), "depth INT, accuracy DOUBLE")
 
 
 def importances(model, names: list[str]) -> DataFrame:

@@ -638,7 +638,7 @@ def all_games_answered(spark, sf_dir):
 
 @query
 def rf_depth_sweep(spark, sf_dir):
-    return models.depth_sweep(_matrix(spark, sf_dir), list(range(1, 31)), parallelism=8)
+    return models.depth_sweep(_matrix(spark, sf_dir), list(range(1, 31)))
 
 
 @query

@@ -1,6 +1,6 @@
 import pytest
 from pyspark.ml import PipelineModel
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.sql import functions as F
 
 from matchlog.plans import models, scoring
@@ -84,6 +84,26 @@ def test_depths(matrix):
     assert [r.depth for r in got] == [1, 3] and all(0.5 < r.accuracy <= 1 for r in got)
 
 
+def test_one_forest_gives_all_depths(spark, monkeypatch):
+    """One forest is fitted, and each depth has the accuracy of a forest fitted with it."""
+    noise = [F.pmod(F.xxhash64(F.col("id"), F.lit(k)), F.lit(50)) / 50.0 for k in range(6)]
+    games = spark.range(600).select(
+        F.col("id").cast("int").alias("game_id"),
+        (noise[0] + noise[1] * noise[2] + noise[5] > 1.2).cast("int").alias("winner"),
+        *[noise[k].alias(f"f{k}") for k in range(5)],
+    )
+    depths, fits, fit = [6, 1, 0, 3, 30, 12, 2], [], models.RandomForestClassifier.fit
+    monkeypatch.setattr(models.RandomForestClassifier, "fit", lambda self, *a: fits.append(self.getMaxDepth()) or fit(self, *a))
+    got = models.depth_sweep(games, depths, trees=7).collect()
+    assert fits == [30] and [r.depth for r in got] == depths
+    rows = materialize(scoring.stable_split(models.assembled(games)))
+    accuracy = MulticlassClassificationEvaluator(labelCol="winner", metricName="accuracy")
+    for r in got:
+        forest = models.RandomForestClassifier(labelCol="winner", maxDepth=r.depth, numTrees=7, seed=1)
+        assert r.accuracy == accuracy.evaluate(forest.fit(rows.where("part = 'train'")).transform(rows.where("part = 'valid'")))
+    assert len({r.accuracy for r in got}) > 3
+
+
 def test_search(matrix):
     small = models.BOUNDS | {"iterations": (2, 3), "leaves": (4, 5)}
     got = models.cv_search(matrix, trials=2, folds=2, bounds=small).collect()
