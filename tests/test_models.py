@@ -79,6 +79,22 @@ def test_halving(matrix):
         assert r.auc == pytest.approx(sum(aucs) / 3, abs=1e-9)
 
 
+def test_fits_side_by_side_share_the_cores(spark, monkeypatch):
+    """Rows of a fit lie in as many partitions as it has cores, or as their number needs."""
+    noise = [F.pmod(F.xxhash64(F.col("id"), F.lit(k)), F.lit(9973)) / 9973.0 for k in range(12)]
+    games = spark.range(300_000).select(
+        F.col("id").cast("int").alias("game_id"),
+        F.pmod("id", F.lit(2)).cast("int").alias("winner"),
+        *[n.alias(f"f{k}") for k, n in enumerate(noise)],
+    )
+    assert spark.sparkContext.defaultParallelism == 8
+    assert models.fold_rows(games, 3).rdd.getNumPartitions() == 2  # 300,000 rows
+    assert models.fold_rows(games, 3, parallelism=2).rdd.getNumPartitions() == 4
+    monkeypatch.setattr(models, "FIT_ROWS", 60_000)
+    rows = models.fold_rows(games, 3)
+    assert rows.rdd.getNumPartitions() == 5 and rows.select("game_id").distinct().count() == 300_000
+
+
 def test_depths(matrix):
     got = models.depth_sweep(matrix, [1, 3], trees=3).collect()
     assert [r.depth for r in got] == [1, 3] and all(0.5 < r.accuracy <= 1 for r in got)
@@ -94,9 +110,11 @@ def test_one_forest_gives_all_depths(spark, monkeypatch):
     )
     depths, fits, fit = [6, 1, 0, 3, 30, 12, 2], [], models.RandomForestClassifier.fit
     monkeypatch.setattr(models.RandomForestClassifier, "fit", lambda self, *a: fits.append(self.getMaxDepth()) or fit(self, *a))
+    tables = []  # the order of a table's rows decides what is drawn, so both sides read one
+    monkeypatch.setattr(models, "materialize", lambda df: tables.append(materialize(df)) or tables[-1])
     got = models.depth_sweep(games, depths, trees=7).collect()
     assert fits == [30] and [r.depth for r in got] == depths
-    rows = materialize(scoring.stable_split(models.assembled(games)))
+    rows = tables[0]
     accuracy = MulticlassClassificationEvaluator(labelCol="winner", metricName="accuracy")
     for r in got:
         forest = models.RandomForestClassifier(labelCol="winner", maxDepth=r.depth, numTrees=7, seed=1)
