@@ -10,9 +10,10 @@ v at that time, where w may stand starts as where u may, and later merges only t
 becomes an entry of the transition table; the whole table, of the square of the vocabulary's
 size, is never held.
 
-A word is encoded by walking its positions once: each position has one state (the last token
-of its prefix's only path), and each vocabulary entry that starts there is taken if the table
-has the arc. Decoding emits the arcs' labels.
+A word is encoded by a walk that takes the longest vocabulary entry the table has an arc for,
+and steps back where none leads on. A prefix of the word has one path, and so each position one
+state (that path's last token): none is met twice, and the path that spells the word is the
+only one. Decoding emits the arcs' labels.
 
 A null text is an empty one and has no tokens. Rows with a null or repeated id are kept.
 """
@@ -24,6 +25,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +45,21 @@ def byte_symbols() -> list[str]:
     return [chr(b if b in printable else next(spare)) for b in range(256)]
 
 
-def ascii_form(pattern: str) -> re.Pattern | None:
-    """The pattern for ASCII texts, its classes spelled out for the quicker engine; None if it
-    has classes other than letters, numbers and white space."""
-    spelled = {r"\p{L}": "A-Za-z", r"\p{N}": "0-9", r"\s": r"\t-\r\x20"}
+def class_members(name: str, below: int) -> str:
+    """The code points of a class, as the members of a character class."""
+    found, member = [], regex.compile(name)
+    for c in filter(member.match, map(chr, range(below))):
+        if found and ord(c) == ord(found[-1][1]) + 1:
+            found[-1] = found[-1][0], c
+        else:
+            found.append((c, c))
+    return "".join(f"\\u{ord(a):04x}-\\u{ord(b):04x}" for a, b in found)
+
+
+def spelled_form(pattern: str, below: int) -> re.Pattern | None:
+    """The pattern for texts of code points below ``below``, its classes spelled out for the
+    quicker engine; None if it has classes other than letters, numbers and white space."""
+    spelled = {name: class_members(as_, below) for name, as_ in ((r"\p{L}", r"\p{L}"), (r"\p{N}", r"\p{N}"), (r"\s", r"\p{White_Space}"))}
 
     def members(found: re.Match) -> str:
         text = found[0]
@@ -68,7 +81,9 @@ class Words:
     library itself.
     """
 
-    COMMON = regex.compile("[\\x00-\u024f\u2010-\u2027\u20ac]*+")
+    COMMON = re.compile("[\\x00-\u024f\u2010-\u2027\u20ac]*")
+    #: Above what common characters are lower-cased to.
+    BELOW = 0x3000
 
     def __init__(self, spec: dict):
         steps = [s["type"] for s in spec["normalizer"]["normalizers"]]
@@ -77,7 +92,8 @@ class Words:
             raise ValueError("this tokenizer file has other normalising or splitting steps")
         # white space as the tokenizers' regular expressions have it
         self.pattern = regex.compile(split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
-        self.ascii_pattern = ascii_form(split["pattern"]["Regex"])
+        self.ascii_pattern = spelled_form(split["pattern"]["Regex"], 0x80)
+        self.common_pattern = spelled_form(split["pattern"]["Regex"], self.BELOW) or self.pattern
         self.spec, self.library = spec, None
         self.bytes = {c: b for b, c in enumerate(byte_symbols())}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -87,7 +103,7 @@ class Words:
         if self.ascii_pattern and text.isascii():
             return self.ascii_pattern.findall(text.lower())
         if self.COMMON.fullmatch(text):
-            return self.pattern.findall(unicodedata.normalize("NFC", text).lower())
+            return self.common_pattern.findall(unicodedata.normalize("NFC", text).lower())
         if self.library is None:
             from tokenizers import Tokenizer
 
@@ -132,16 +148,28 @@ class Automaton:
                 dead.add(w)  # no path has u before v any more: the gadget adds nothing
                 continue
             self.rules[u, v], self.made[w], self.left[w], self.right[w] = k, k, u, v
-        self.middle, self.end, self.prefixes = {}, {}, set()
+        self.end: dict[str, int] = {}
+        #: Nodes of the entries' spellings, by character; under "" those (length, id) that stand
+        #: on the way to a node and may be followed by others, shortest first.
+        self.trie: dict = {"": ()}
+        middle: dict[str, int] = {}
         for label, i in vocabulary.items():
             if i in dead:
                 continue
             last = bool(self.suffix) and label.endswith(self.suffix)
             text = label[: len(label) - len(self.suffix)] if last else label
-            (self.end if last or not self.suffix else self.middle)[text] = i
-            if not self.suffix:
-                self.middle[text] = i
-            self.prefixes.update(text[:n] for n in range(1, len(text) + 1))
+            if last or not self.suffix:
+                self.end[text] = i
+            if not last:
+                middle[text] = i
+        for text in sorted({*self.end, *middle}, key=len):  # before an entry those it starts with
+            node = self.trie
+            for c in text:
+                above, node = node[""], node.setdefault(c, {})
+                node.setdefault("", above)
+            if text in middle:
+                node[""] += ((len(text), middle[text]),)
+        self.longest = max(map(len, [*self.end, *middle]), default=0)
         self.symbols = byte_symbols()
         self.most_arcs = 1 << 20
 
@@ -167,36 +195,45 @@ class Automaton:
             known = self.table[a, b] = self._unrolled(a, b, NEVER)
         return known
 
+    def _starting(self, text: str, at: int) -> tuple[tuple[int, int], ...]:
+        """Entries (length, id) that stand at a position of the text, shortest first."""
+        node, rest = self.trie, text[at : at + self.longest]
+        for c in rest:
+            below = node.get(c)
+            if below is None:
+                return node[""]
+            node = below
+        if at + len(rest) < len(text):
+            return node[""]
+        found = tuple([e for e in node[""] if e[0] < len(rest)])  # all that is left is a last entry or none
+        last = self.end.get(rest)
+        return found if last is None else (*found, (len(rest), last))
+
     def encode(self, word: str) -> list[int]:
         """Ids of one pre-token."""
-        text = "".join([self.symbols[b] for b in word.encode()])
-        n = len(text)
-        state: list[int] = [-1] * (n + 1)
-        came = [0] * (n + 1)
-        middle, prefixes, table = self.middle, self.prefixes, self.table
-        for i in range(n):
-            here = state[i]
-            if i and here < 0:
-                continue
-            for j in range(i + 1, n + 1):
-                part = text[i:j]
-                if part not in prefixes:
-                    break
-                token = (self.end if j == n else middle).get(part)
-                if token is None or state[j] >= 0:
+        text = word if word.isascii() and word.isprintable() and " " not in word else "".join([self.symbols[b] for b in word.encode()])
+        at, here, ids, trail, size, table = 0, -1, [], [], len(text), self.table
+        while at < size:
+            entries = self._starting(text, at)
+            k = len(entries)
+            while True:
+                if not k:
+                    if not trail:
+                        raise ValueError(f"no path spells {word!r}")
+                    at, here, entries, k = trail.pop()
+                    ids.pop()
                     continue
-                if i:
+                k -= 1
+                length, token = entries[k]
+                if here >= 0:
                     known = table.get((here, token))
                     if not (self.arc(here, token) if known is None else known):
                         continue
-                state[j], came[j] = token, i
-        if n and state[n] < 0:
-            raise ValueError(f"no path spells {word!r}")
-        ids = []
-        while n:
-            ids.append(state[n])
-            n = came[n]
-        return ids[::-1]
+                trail.append((at, here, entries, k))
+                ids.append(token)
+                at, here = at + length, token
+                break
+        return ids
 
     def decode(self, ids: list[int]) -> str:
         """Labels of the arcs, joined by blanks, as a tokenizer without a decoder does."""
@@ -204,52 +241,41 @@ class Automaton:
 
 
 class Encoder:
-    """Whole texts to ids, with a cache of words bounded to ``cache`` entries."""
+    """Whole texts to ids, with a cache of words in two halves of ``cache`` entries together: when
+    one is full, the words met since it was begun stay and the others go."""
 
-    def __init__(self, spec: dict, cache: int = 1 << 18):
+    def __init__(self, spec: dict, cache: int = 1 << 19):
         self.words, self.automaton, self.most = Words(spec), Automaton(spec), cache
-        self.cache: dict[str, bytes] = {}
-        self.emitted: dict[str, tuple[bytes, str]] = {}
-
-    def _miss(self, word: str) -> bytes:
-        if len(self.cache) >= self.most:
-            self.cache.clear()
-        ids = self.cache.get(word)
-        if ids is None:
-            ids = self.cache[word] = np.array(self.automaton.encode(word), "<u4").tobytes()
-        return ids
+        self.recent: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
+
+    def _word(self, word: str) -> tuple[bytes, str]:
+        """A word that was not met lately: its ids, and its labels, emitted when it is met."""
+        known = self.recent.get(word) or self.older.get(word)
+        if known is None:
+            ids = self.automaton.encode(word)
+            known = np.array(ids, "<u4").tobytes(), self.automaton.decode(ids)
+        if len(self.recent) >= self.most // 2:
+            self.older, self.recent = self.recent, {}
+        self.recent[word] = known
+        return known
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        out, cache = [], self.cache
-        for special, words in self.words.parts(text):
-            if special is not None:
-                out.append(special.to_bytes(4, "little"))
-            for word in words:
-                out.append(cache.get(word) or self._miss(word))
-        return b"".join(out)
+        return self.round_trip(text)[0]
 
     def decode(self, ids: bytes) -> str:
         return self.automaton.decode(np.frombuffer(ids, "<u4").tolist())
 
     def round_trip(self, text: str) -> tuple[bytes, str]:
-        """Ids, and the labels they are decoded to: a word's labels are emitted when it is
-        first met and kept with its ids."""
-        ids, labels, cache = [], [], self.emitted
+        """Ids, and the labels they are decoded to."""
+        coded: list[tuple[bytes, str]] = []
         for special, words in self.words.parts(text):
             if special is not None:
-                ids.append(special.to_bytes(4, "little"))
-                labels.append(self.automaton.labels[special])
-            for word in words:
-                known = cache.get(word)
-                if known is None:
-                    if len(cache) >= self.most:
-                        cache.clear()
-                    found = self._miss(word)
-                    known = cache[word] = found, self.decode(found)
-                ids.append(known[0])
-                labels.append(known[1])
-        return b"".join(ids), " ".join(labels)
+                coded.append((special.to_bytes(4, "little"), self.automaton.labels[special]))
+            recent, word = self.recent.get, self._word
+            coded += [recent(w) or word(w) for w in words]
+        return b"".join([ids for ids, _ in coded]), " ".join([labels for _, labels in coded])
 
 
 def tokenizer_spec(path: str) -> dict:
@@ -257,6 +283,12 @@ def tokenizer_spec(path: str) -> dict:
         return json.load(f)
 
 
+@lru_cache(1)
+def worker_encoder(spec: str) -> Encoder:
+    """The encoder of a tokenizer file's content, which a worker keeps from task to task."""
+    return Encoder(json.loads(spec))
+
+
 def encode(docs: DataFrame, path: str, key: str = "doc_id", value: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids array<int>, decoded) of each row. The file is read by the driver
     and its content, bounded by the vocabulary, broadcast."""
@@ -269,11 +301,11 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", value: str = "text"
 
 
 def _run(docs: DataFrame, path: str, key: str, value: str, schema: str, digest: bool) -> DataFrame:
-    spec = docs.sparkSession.sparkContext.broadcast(tokenizer_spec(path))
+    spec = docs.sparkSession.sparkContext.broadcast(json.dumps(tokenizer_spec(path)))
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(spec.value)
+        coder = worker_encoder(spec.value)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)

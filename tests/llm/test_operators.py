@@ -1,6 +1,7 @@
 """Each operator against brute force, and its results on nulls, empty and long texts, repeats."""
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter
@@ -8,7 +9,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -556,6 +557,41 @@ def test_ascii_texts_split_as_by_the_whole_pattern(text):
     assert ids == CODER.encode(text) and labels == CODER.decode(ids)
 
 
+@given(st.text(st.characters(max_codepoint=0x24F) | st.sampled_from("\u2010\u2019\u2027\u20ac'sdlm")))
+@settings(max_examples=300, deadline=None)
+def test_common_texts_split_as_by_the_whole_pattern(text):
+    words, lowered_text = CODER.words, text.lower()
+    assert words.common_pattern is not words.pattern
+    assert words.common_pattern.findall(lowered_text) == words.pattern.findall(lowered_text)
+
+
+def test_frequent_words_stay_when_the_cache_is_full(monkeypatch):
+    coder, coded = bpe.Encoder(bpe.tokenizer_spec(PATH), cache=64), Counter()
+    plain = coder.automaton.encode
+    monkeypatch.setattr(coder.automaton, "encode", lambda word: coded.update([word]) or plain(word))
+    rare = ["".join(x) for x in itertools.product("bcdfg", "aeiou", "klmnp", "aeo")]
+    for word in rare:
+        text = f"often {word} again"
+        ids = LIBRARY.encode(text, add_special_tokens=False).ids
+        assert coder.round_trip(text) == (np.array(ids, "<u4").tobytes(), LIBRARY.decode(ids, skip_special_tokens=False))
+    assert coded["often"] == coded["again"] == 1
+    assert len(coder.recent) + len(coder.older) <= 64
+
+
+@given(st.text("abehinorst", max_size=60))
+@example("th" * 400)
+@settings(max_examples=300, deadline=None)
+def test_no_position_of_a_word_is_left_twice(word):
+    automaton, left = CODER.automaton, []
+    plain = automaton._starting
+    automaton._starting = lambda text, at: left.append(at) or plain(text, at)
+    try:
+        automaton.encode(word)
+    finally:
+        del automaton._starting
+    assert len(left) == len(set(left))
+
+
 def test_sketches_never_refute_a_link():
     rng = np.random.default_rng(3)
     for n in (1, 5, 100, 3000):
