@@ -244,7 +244,7 @@ class Encoder:
     """Whole texts to ids, with a cache of words in two halves of ``cache`` entries together: when
     one is full, the words met since it was begun stay and the others go."""
 
-    def __init__(self, spec: dict, cache: int = 1 << 19):
+    def __init__(self, spec: dict, cache: int = 1 << 18):
         self.words, self.automaton, self.most = Words(spec), Automaton(spec), cache
         self.recent: dict[str, tuple[bytes, str]] = {}
         self.older: dict[str, tuple[bytes, str]] = {}
@@ -286,7 +286,7 @@ def tokenizer_spec(path: str) -> dict:
 @lru_cache(1)
 def worker_encoder(spec: str) -> Encoder:
     """The encoder of a tokenizer file's content, which a worker keeps from task to task."""
-    return Encoder(json.loads(spec))
+    return Encoder(json.loads(spec), 1 << 19)
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", value: str = "text") -> DataFrame:
@@ -295,17 +295,18 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", value: str = "text")
     return _run(docs, path, key, value, "doc_id long, n_tokens long, ids array<int>, decoded string", False)
 
 
-def digests(docs: DataFrame, path: str, key: str = "doc_id", value: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row."""
-    return _run(docs, path, key, value, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", True)
+def digests(docs: DataFrame, path: str, key: str = "doc_id", value: str = "text", keep: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row. With ``keep`` workers keep their
+    encoder and its memory after a task, which is for jobs that do nothing else."""
+    return _run(docs, path, key, value, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", True, keep)
 
 
-def _run(docs: DataFrame, path: str, key: str, value: str, schema: str, digest: bool) -> DataFrame:
+def _run(docs: DataFrame, path: str, key: str, value: str, schema: str, digest: bool, keep: bool = False) -> DataFrame:
     spec = docs.sparkSession.sparkContext.broadcast(json.dumps(tokenizer_spec(path)))
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = worker_encoder(spec.value)
+        coder = worker_encoder(spec.value) if keep else Encoder(json.loads(spec.value))
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)

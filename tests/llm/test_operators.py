@@ -565,6 +565,10 @@ def test_common_texts_split_as_by_the_whole_pattern(text):
     assert words.common_pattern.findall(lowered_text) == words.pattern.findall(lowered_text)
 
 
+def test_digests_with_a_kept_encoder(docs):
+    assert by_id(bpe.digests(docs.repartition(12), PATH, keep=True)) == by_id(bpe.digests(docs, PATH))
+
+
 def test_frequent_words_stay_when_the_cache_is_full(monkeypatch):
     coder, coded = bpe.Encoder(bpe.tokenizer_spec(PATH), cache=64), Counter()
     plain = coder.automaton.encode
