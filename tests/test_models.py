@@ -3,6 +3,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.sql import functions as F
 
+from matchlog import queries
 from matchlog.plans import models, scoring
 from matchlog.session import materialize
 from matchlog.sources import sinks
@@ -79,6 +80,35 @@ def test_halving(matrix):
         assert r.auc == pytest.approx(sum(aucs) / 3, abs=1e-9)
 
 
+def test_every_trial_has_all_its_rounds(matrix):
+    """Without ``first`` a trial's AUC is a plain fit's with the rounds it drew, also if it lost."""
+    small = models.BOUNDS | {"iterations": (6, 14), "leaves": (2, 9)}
+    got = models.halving_search(matrix, trials=4, folds=2, bounds=small).orderBy("trial").collect()
+    drawn = models.sample_parameters(4, small)
+    assert sorted(r.rungs for r in got) == [1, 1, 2, 2]
+    assert [r.rounds for r in got] == [int(d["iterations"]) for d in drawn]
+    assert min(r.auc for r in got if r.rungs == 2) >= max(r.auc for r in got if r.rungs == 1)
+    rows = models.fold_rows(matrix, 2)
+    assert rows.sparkSession.sparkContext.getCheckpointDir()
+    for r, d in zip(got, drawn):
+        aucs = []
+        for k in range(2):
+            model = models.gbt(**models.tree_parameters(d)).fit(rows.where(F.col("fold") != k))
+            held = model.transform(rows.where(F.col("fold") == k))
+            aucs.append(BinaryClassificationEvaluator(labelCol="winner", numBins=0).evaluate(held))
+        assert r.auc == pytest.approx(sum(aucs) / 2, abs=1e-9)
+
+
+def test_registered_search_asks_for_all_rounds(spark, matrix, monkeypatch):
+    """Each of its fits is asked for the rounds its trial drew; one is fitted here."""
+    asked, gbt = [], models.gbt
+    monkeypatch.setattr(models, "gbt", lambda seed, **p: asked.append(p["maxIter"]) or gbt(seed, **p | {"maxIter": 1, "maxDepth": 1}))
+    monkeypatch.setattr(queries, "_matrix", lambda spark, folder: matrix)
+    got = queries.cv_search(spark, "").orderBy("trial").collect()
+    rounds = [int(d["iterations"]) for d in models.sample_parameters(6)]
+    assert [r.rounds for r in got] == rounds and sorted(asked) == sorted(5 * rounds)
+
+
 def test_fits_side_by_side_share_the_cores(spark, monkeypatch):
     """Rows of a fit lie in as many partitions as it has cores, or as their number needs."""
     noise = [F.pmod(F.xxhash64(F.col("id"), F.lit(k)), F.lit(9973)) / 9973.0 for k in range(12)]
